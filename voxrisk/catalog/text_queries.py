@@ -232,7 +232,7 @@ def parse_douyin(spark, sf_dir):
 SELECT comment_id AS parent_id, comment_id || '_sub_0' AS comment_id, user_name, substr(content, 1, 60) AS raw_content FROM comments""")
 def flatten_replies(spark, sf_dir):
     arrays = parsers.comment_arrays(parsers.parsed_lines(raw.lines(spark, sf_dir, "tieba")), clean=False)
-    rows = parsers.flatten(arrays).filter("is_reply")
+    rows = parsers.flatten(arrays, clean=False).filter("is_reply")
     return rows.select("parent_id", "comment_id", "user_name", F.col("content").alias("raw_content"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxrisk.functions import text as tx
@@ -17,6 +17,17 @@ from voxrisk.functions.lexicon import MAX_INLINE_WORDS, Categorised
 NEGATIVE_BELOW, POSITIVE_ABOVE = 0.35, 0.65
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns that are evaluated once per row, whatever follows.
+
+    A filter on a projected column is moved below the projection, and the text would be
+    searched again there, several times over, before any shuffle. Predicates are not
+    moved below a generator, so the columns come out of one.
+    """
+    made = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
 def _checked(words: Sequence) -> Sequence:
     if len(words) > MAX_INLINE_WORDS:
         raise ValueError(
@@ -92,16 +103,22 @@ def risk_level_v2(score: Column) -> Column:
     )
 
 
-def risk_score_v1(score: Column, n_words: Column, content: Column) -> Column:
+def text_points_v1(content: Column) -> Column:
     size = F.length(content)
-    points = (
-        F.when(score < 0.2, 30).when(score < 0.35, 20).when(score < 0.5, 10).otherwise(0)
-        + F.least(n_words * 10, F.lit(40))
-        + F.when(size < 5, 15).when(size > 500, 5).otherwise(0)
+    return (
+        F.when(size < 5, 15).when(size > 500, 5).otherwise(0)
         + F.when(tx.repeated_punct(content), 5).otherwise(0)
         + F.when(tx.repeated_emoji(content, "v1"), 5).otherwise(0)
         + F.when(tx.all_upper(content), 5).otherwise(0)
     )
+
+
+def risk_score_v1(score: Column, n_words: Column, text_points: Column) -> Column:
+    points = (
+        F.when(score < 0.2, 30).when(score < 0.35, 20).when(score < 0.5, 10).otherwise(0)
+        + F.least(n_words * 10, F.lit(40))
+        + text_points
+    )
     return F.least(points, F.lit(100))
 
 

@@ -19,10 +19,10 @@ def with_sentiment(df: DataFrame, profile: Profile, content: str = "content", sc
     ``score`` replaces the lexicon score, e.g. with a trained model's probability.
     """
     if score is None:
-        hits = (
-            df.withColumn("_low", F.lower(content))
-            .withColumn("_pos", sc.count_contained(F.col("_low"), profile.positive))
-            .withColumn("_neg", sc.count_contained(F.col("_low"), profile.negative))
+        hits = sc.computed_once(
+            df.withColumn("_low", F.lower(content)),
+            _pos=sc.count_contained(F.col("_low"), profile.positive),
+            _neg=sc.count_contained(F.col("_low"), profile.negative),
         )
         scored = hits.withColumn("sentiment_score", sc.polarity(F.col("_pos"), F.col("_neg")))
         sure = sc.confidence(F.col("_pos"), F.col("_neg"))
@@ -38,13 +38,13 @@ def with_sentiment(df: DataFrame, profile: Profile, content: str = "content", sc
 def with_sensitive(df: DataFrame, profile: Profile, content: str = "content") -> DataFrame:
     """Add the sensitive words of each row: with categories (v2) or flat (v1)."""
     if profile.name == "v2":
-        hits = df.withColumn("sensitive_words", sc.contained_categorised(F.col(content), profile.sensitive))
+        hits = sc.computed_once(df, sensitive_words=sc.contained_categorised(F.col(content), profile.sensitive))
         return hits.withColumns({
             "sensitive_count": F.size("sensitive_words"),
             "sensitive_categories": F.array_distinct(F.transform("sensitive_words", lambda x: x["category"])),
         })
     words = [word for word, _ in profile.sensitive]
-    hits = df.withColumn("sensitive_words", sc.contained_words(F.col(content), words))
+    hits = sc.computed_once(df, sensitive_words=sc.contained_words(F.col(content), words))
     return hits.withColumn("sensitive_count", F.size("sensitive_words"))
 
 
@@ -52,10 +52,11 @@ def with_risk(df: DataFrame, profile: Profile, content: str = "content") -> Data
     """Add ``risk_score`` and ``risk_level`` (and ``risk_factors`` for v2)."""
     text = F.col(content)
     if profile.name == "v2":
+        df = sc.computed_once(df, _text_points=sc.text_features_v2(text))
         factors = F.struct(
             sc.sentiment_points_v2(F.col("sentiment"), F.col("sentiment_score")).alias("sentiment"),
             sc.sensitive_points_v2(F.col("sensitive_count"), F.size("sensitive_categories")).alias("sensitive"),
-            sc.text_features_v2(text).alias("text_features"),
+            F.col("_text_points").alias("text_features"),
         )
         scored = df.withColumn("risk_factors", factors).withColumn(
             "risk_score",
@@ -64,8 +65,11 @@ def with_risk(df: DataFrame, profile: Profile, content: str = "content") -> Data
                 F.lit(100),
             ),
         )
-        return scored.withColumn("risk_level", sc.risk_level_v2(F.col("risk_score")))
-    scored = df.withColumn("risk_score", sc.risk_score_v1(F.col("sentiment_score"), F.col("sensitive_count"), text))
+        return scored.withColumn("risk_level", sc.risk_level_v2(F.col("risk_score"))).drop("_text_points")
+    points = sc.text_points_v1(text)
+    scored = sc.computed_once(df, _text_points=points).withColumn(
+        "risk_score", sc.risk_score_v1(F.col("sentiment_score"), F.col("sensitive_count"), F.col("_text_points"))
+    ).drop("_text_points")
     return scored.withColumn("risk_level", sc.risk_level_v1(F.col("risk_score")))
 
 

@@ -55,10 +55,3 @@ DOUYIN_RAW = (
     "user_id STRING, digg_count BIGINT, like_count BIGINT, reply_total BIGINT, "
     "reply_comment_total BIGINT, create_time BIGINT, ip_label STRING, ip_location STRING, is_reply BOOLEAN"
 )
-
-RAW_SCHEMAS = {
-    "bilibili": BILIBILI_RAW,
-    "tieba": TIEBA_RAW,
-    "zhihu": ZHIHU_RAW,
-    "douyin": DOUYIN_RAW,
-}

@@ -19,6 +19,7 @@ def build_session(master: str = "local[*]", app: str = "voxrisk", **conf: str) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():

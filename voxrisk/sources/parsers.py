@@ -8,20 +8,23 @@ platforms are added with ``register_parser``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxrisk.functions import text as tx
-from voxrisk.schema import COMMENT_COLUMNS, RAW_SCHEMAS, struct
+from voxrisk.schema import (
+    BILIBILI_RAW, COMMENT_COLUMNS, DOUYIN_RAW, TIEBA_RAW, ZHIHU_RAW, struct,
+)
 
 # --- Fixed values: names for missing authors -------------------------------------
 UNKNOWN_USER, ZHIHU_USER, DOUYIN_USER = "未知用户", "知乎用户", "抖音用户"
 ZHIHU_NO_IP = "未知IP"
 
 FIELDS = (
-    "comment_id STRING, platform STRING, raw STRING, content STRING, user_name STRING, user_id STRING, "
+    "comment_id STRING, platform STRING, raw STRING, user_name STRING, user_id STRING, "
     "user_level INT, like_count BIGINT, reply_count BIGINT, publish_time TIMESTAMP, ip_location STRING, "
     "is_reply BOOLEAN, parent_id STRING, source_url STRING"
 )
@@ -29,17 +32,27 @@ FIELDS = (
 REPLY_BITS = 16
 
 
-Parser = Callable[[Column, bool], Column]
-PARSERS: dict[str, Parser] = {}
-_schemas = dict(RAW_SCHEMAS)
+# A parser maps (record, id of the main comment) to the comments of the record.
+Parser = Callable[[Column, Column], Column]
+# An id rule maps (record, cleaned main text) to the id of the main comment.
+IdRule = Callable[[Column, Column], Column]
+
+
+@dataclass(frozen=True)
+class Platform:
+    schema: str
+    text: Callable[[Column], Column]
+    main_id: IdRule
+    parse: Parser
+
 
+PLATFORMS: dict[str, Platform] = {}
 
-def register_parser(platform: str, raw_schema: str = "") -> Callable[[Parser], Parser]:
-    """Add a platform: its read schema (if new) and its record-to-comments mapping."""
+
+def register_parser(name: str, schema: str, text: Callable[[Column], Column], main_id: IdRule) -> Callable[[Parser], Parser]:
+    """Add a platform: its read schema, main text, id rule and parser."""
     def add(parser: Parser) -> Parser:
-        PARSERS[platform] = parser
-        if raw_schema:
-            _schemas[platform] = raw_schema
+        PLATFORMS[name] = Platform(schema, text, main_id, parser)
         return parser
     return add
 
@@ -47,19 +60,18 @@ def register_parser(platform: str, raw_schema: str = "") -> Callable[[Parser], P
 def read_schema() -> T.StructType:
     """The fields of all platforms together, plus the text of a line that fails."""
     fields: dict[str, T.StructField] = {}
-    for ddl in _schemas.values():
-        for field in struct(ddl).fields:
+    for platform in PLATFORMS.values():
+        for field in struct(platform.schema).fields:
             if fields.setdefault(field.name, field).dataType != field.dataType:
                 raise ValueError(f"field {field.name} has two types")
     return T.StructType([*fields.values(), T.StructField("_corrupt", T.StringType())])
 
 
-def comment(platform: str, clean: bool, raw: Column, **given: Column) -> Column:
+def comment(platform: str, raw: Column, **given: Column) -> Column:
     """A comment struct; fields not given are null (counts 0, ``is_reply`` false)."""
-    text = tx.blank_if_null(raw)
     values = {
-        "platform": F.lit(platform), "raw": text, "content": tx.clean_content(text) if clean else text,
-        "like_count": F.lit(0), "reply_count": F.lit(0), "is_reply": F.lit(False), **given,
+        "platform": F.lit(platform), "raw": tx.blank_if_null(raw), "like_count": F.lit(0), "reply_count": F.lit(0),
+        "is_reply": F.lit(False), **given,
     }
     return F.struct(*[
         values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in struct(FIELDS).fields
@@ -70,6 +82,11 @@ def _or_zero(count: Column) -> Column:
     return F.coalesce(count, F.lit(0))
 
 
+def _given(value: Column) -> Column:
+    """Null for the empty string and for 0."""
+    return F.nullif(F.nullif(value, F.lit("")), F.lit("0"))
+
+
 def _with_replies(main: Column, replies: Column, reply: Callable[[Column, Column], Column]) -> Column:
     none = F.array().cast(T.ArrayType(struct(FIELDS)))
     return F.concat(F.array(main), F.coalesce(F.transform(replies, reply), none))
@@ -79,16 +96,14 @@ def _minute(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyy-M-d H:m"))
 
 
-@register_parser("bilibili")
-def bilibili(r: Column, clean: bool) -> Column:
-    rpid = F.nullif(F.nullif(r["rpid"], F.lit("")), F.lit("0"))
-    text = tx.blank_if_null(r["comment"])
-    shown = tx.clean_content(text) if clean else text
-    main_id = F.coalesce(rpid, tx.short_hash_id("bili_", shown))
+@register_parser(
+    "bilibili", BILIBILI_RAW, lambda r: r["comment"],
+    lambda r, cleaned: F.coalesce(_given(r["rpid"]), tx.short_hash_id("bili_", cleaned)),
+)
+def bilibili(r: Column, main_id: Column) -> Column:
     main = comment(
-        "bilibili", clean, r["comment"], comment_id=main_id,
-        user_name=F.coalesce(r["user"]["name"], F.lit(UNKNOWN_USER)),
-        user_id=F.nullif(F.nullif(r["user"]["mid"], F.lit("")), F.lit("0")),
+        "bilibili", r["comment"], comment_id=main_id,
+        user_name=F.coalesce(r["user"]["name"], F.lit(UNKNOWN_USER)), user_id=_given(r["user"]["mid"]),
         user_level=r["user"]["level"], like_count=_or_zero(r["like"]), reply_count=_or_zero(r["reply_count"]),
         publish_time=F.timestamp_seconds(F.nullif(r["ctime"], F.lit(0))),
         ip_location=tx.strip_ip_prefix(r["user"]["ip"]),
@@ -100,7 +115,7 @@ def bilibili(r: Column, clean: bool) -> Column:
         name = F.when(is_object, F.get_json_object(x["user"], "$.name")).otherwise(x["user"])
         level = F.when(is_object, F.get_json_object(x["user"], "$.level").cast("int")).otherwise(x["level"])
         return comment(
-            "bilibili", clean, x["comment"], comment_id=F.concat(main_id, F.lit("_reply_"), i.cast("string")),
+            "bilibili", x["comment"], comment_id=F.concat(main_id, F.lit("_reply_"), i.cast("string")),
             user_name=F.coalesce(name, F.lit(UNKNOWN_USER)), user_level=level, like_count=_or_zero(x["like"]),
             ip_location=tx.strip_ip_prefix(x["ip"]), is_reply=F.lit(True), parent_id=main_id,
         )
@@ -108,19 +123,17 @@ def bilibili(r: Column, clean: bool) -> Column:
     return _with_replies(main, r["replies"], reply)
 
 
-@register_parser("tieba")
-def tieba(r: Column, clean: bool) -> Column:
-    main_id = tx.blank_if_null(r["pid"])
+@register_parser("tieba", TIEBA_RAW, lambda r: r["content"], lambda r, _: tx.blank_if_null(r["pid"]))
+def tieba(r: Column, main_id: Column) -> Column:
     main = comment(
-        "tieba", clean, r["content"], comment_id=main_id, user_name=F.coalesce(r["author"], F.lit(UNKNOWN_USER)),
+        "tieba", r["content"], comment_id=main_id, user_name=F.coalesce(r["author"], F.lit(UNKNOWN_USER)),
         user_id=tx.blank_if_null(r["user_id"]), reply_count=_or_zero(r["total_lzl"]),
         publish_time=_minute(r["time"]), ip_location=r["ip_location"],
     )
 
     def reply(x: Column, i: Column) -> Column:
         return comment(
-            "tieba", clean, F.coalesce(x["content"], x["text"]),
-            comment_id=F.concat(main_id, F.lit("_sub_"), i.cast("string")),
+            "tieba", F.coalesce(x["content"], x["text"]), comment_id=F.concat(main_id, F.lit("_sub_"), i.cast("string")),
             user_name=F.coalesce(x["author"], x["user"], F.lit(UNKNOWN_USER)), publish_time=_minute(x["time"]),
             ip_location=x["ip_location"], is_reply=F.lit(True), parent_id=main_id,
         )
@@ -128,23 +141,26 @@ def tieba(r: Column, clean: bool) -> Column:
     return _with_replies(main, r["sub_replies"], reply)
 
 
-@register_parser("zhihu")
-def zhihu(r: Column, clean: bool) -> Column:
-    text = tx.blank_if_null(r["content"])
-    shown = tx.clean_content(text) if clean else text
+@register_parser(
+    "zhihu", ZHIHU_RAW, lambda r: r["content"],
+    lambda r, cleaned: tx.short_hash_id("zhihu_", F.substring(cleaned, 1, 100)),
+)
+def zhihu(r: Column, main_id: Column) -> Column:
     return F.array(comment(
-        "zhihu", clean, r["content"], comment_id=tx.short_hash_id("zhihu_", F.substring(shown, 1, 100)),
+        "zhihu", r["content"], comment_id=main_id,
         user_name=F.coalesce(r["author"], F.lit(ZHIHU_USER)), like_count=_or_zero(r["vote"]),
         publish_time=F.try_to_timestamp(r["time"], F.lit("yyyy-MM-dd HH:mm:ss")),
         ip_location=F.nullif(r["ip"], F.lit(ZHIHU_NO_IP)), source_url=r["url"],
     ))
 
 
-@register_parser("douyin")
-def douyin(r: Column, clean: bool) -> Column:
+@register_parser(
+    "douyin", DOUYIN_RAW, lambda r: F.coalesce(r["text"], r["content"]), lambda r, _: tx.blank_if_null(r["cid"])
+)
+def douyin(r: Column, main_id: Column) -> Column:
     reply = F.coalesce(r["is_reply"], F.lit(False))
     return F.array(comment(
-        "douyin", clean, F.coalesce(r["text"], r["content"]), comment_id=tx.blank_if_null(r["cid"]),
+        "douyin", F.coalesce(r["text"], r["content"]), comment_id=main_id,
         user_name=F.coalesce(r["nickname"], r["user_name"], F.lit(DOUYIN_USER)), user_id=tx.blank_if_null(r["user_id"]),
         like_count=F.coalesce(r["digg_count"], r["like_count"], F.lit(0)),
         reply_count=F.coalesce(r["reply_total"], r["reply_comment_total"], F.lit(0)),
@@ -154,12 +170,19 @@ def douyin(r: Column, clean: bool) -> Column:
     ))
 
 
+def _by_platform(pick: Callable[[Platform], Column], otherwise: Column) -> Column:
+    out = otherwise
+    for name, platform in PLATFORMS.items():
+        out = F.when(F.col("platform") == name, pick(platform)).otherwise(out)
+    return out
+
+
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """Lines (line, source_file, ord, platform) with the record and ``parse_error``."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     read = lines.withColumn("record", F.from_json("line", read_schema(), options))
     error = (
-        F.when(~F.col("platform").isin(*PARSERS), F.concat(F.lit("unsupported platform: "), F.col("platform")))
+        F.when(~F.col("platform").isin(*PLATFORMS), F.concat(F.lit("unsupported platform: "), F.col("platform")))
         .when(F.col("record").isNull() | F.col("record._corrupt").isNotNull(), F.lit("malformed JSON"))
     )
     return read.withColumn("parse_error", error)
@@ -167,25 +190,32 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
 
 def comment_arrays(parsed: DataFrame, clean: bool = True) -> DataFrame:
     """Adds ``comments``, the array of comments each record yields (null on error)."""
-    record = F.col("record")
-    made = F.lit(None).cast(T.ArrayType(struct(FIELDS)))
-    for name, parser in PARSERS.items():
-        made = F.when(F.col("platform") == name, parser(record, clean)).otherwise(made)
-    return parsed.withColumn("comments", F.when(F.col("parse_error").isNull(), made))
-
-
-def flatten(arrays: DataFrame) -> DataFrame:
-    """One row per comment or reply, in record order."""
-    rows = arrays.select("source_file", "ord", F.posexplode("comments").alias("part", "c"))
+    record, none = F.col("record"), F.lit(None)
+    shown = tx.clean_content if clean else tx.blank_if_null
+    main_id = _by_platform(lambda p: p.main_id(record, shown(p.text(record))), none.cast("string"))
+    made = _by_platform(lambda p: p.parse(record, F.col("_id")), none.cast(T.ArrayType(struct(FIELDS))))
+    return parsed.withColumn("_id", main_id).withColumn("comments", F.when(F.col("parse_error").isNull(), made)).drop("_id")
+
+
+def flatten(arrays: DataFrame, clean: bool = True) -> DataFrame:
+    """One row per comment or reply, in record order, its text cleaned.
+
+    The outer explode keeps Spark from testing the whole array expression in a filter of
+    its own; the rows of failed records are dropped after it.
+    """
+    rows = arrays.select("source_file", "ord", F.posexplode_outer("comments").alias("part", "c"))
+    rows = rows.filter(F.col("part").isNotNull())
+    raw = F.col("c.raw")
     place = F.col("ord") + F.least(F.col("part"), F.lit((1 << REPLY_BITS) - 1))
     return rows.select(
-        "c.*", tx.content_metadata(F.col("c.raw")).alias("content_metadata"), "source_file", place.alias("ord")
+        "c.*", (tx.clean_content(raw) if clean else raw).alias("content"),
+        tx.content_metadata(raw).alias("content_metadata"), "source_file", place.alias("ord"),
     ).select(*COMMENT_COLUMNS)
 
 
 def parse_lines(lines: DataFrame, clean: bool = True) -> DataFrame:
     """Comments of all lines that parse."""
-    return flatten(comment_arrays(parsed_lines(lines), clean))
+    return flatten(comment_arrays(parsed_lines(lines), clean), clean)
 
 
 def bad_records(lines: DataFrame) -> DataFrame:

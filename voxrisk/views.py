@@ -41,8 +41,20 @@ LATIN_V1 = Profile("v1", LATIN_POSITIVE[:8], LATIN_NEGATIVE[:8],
                    concentration=LATIN_V2.concentration, overseas=LATIN_V2.overseas)
 
 
+# Read schemas of the given tables; naming them saves a look into every file.
+SCHEMAS = {
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _platform(lang: Column) -> Column:
@@ -69,7 +81,9 @@ def _user_name() -> Column:
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    # both sides are large at scale and meet by document; dealing the text out by that
+    # key first also spreads the work when the file comes as a single piece
+    docs = table(spark, sf_dir, "documents").repartition("doc_id")
     events = table(spark, sf_dir, "events").select(
         "event_id", F.col("user_id").alias("e_user"), "ts", "value"
     )
