@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from voxrisk.catalog import comment_queries, people_queries, text_queries
+from voxrisk.catalog import comment_queries, people_queries, report_queries, text_queries
 from voxrisk.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "comment_queries", "people_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "comment_queries", "people_queries", "report_queries", "text_queries"]

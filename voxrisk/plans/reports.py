@@ -84,17 +84,12 @@ def with_report_fields(report: DataFrame, source_url: str = "", generated_at: st
     return report.withColumns({"source_url": F.lit(source_url), "generated_at": stamp})
 
 
-def report_v1(
-    comments: DataFrame, scope: Sequence[str] = ("source_file",), profile: Profile = V1, *, keywords_k: int = 20,
-    **detector_limits: float,
+def assessment_v1(
+    scored: DataFrame, keys: Sequence[str], profile: Profile = V1, **detector_limits: float
 ) -> DataFrame:
-    """Sentiment, bots, anomalies and topics folded into the v1 assessment per scope."""
-    keys, rows = _keyed(comments, scope)
-    scored = sentiment.with_risk(
-        sentiment.with_sensitive(sentiment.with_sentiment(rows, profile), profile), profile
-    )
+    """Sub-scores, warnings and advice from v1-scored comments."""
     mood = sentiment.distribution(scored, keys, "v1").withColumnRenamed("total", "total_comments")
-    accounts = bots.bot_summary(bots.bot_scores(bots.bot_features(rows, keys), keys), keys).select(
+    accounts = bots.bot_summary(bots.bot_scores(bots.bot_features(scored, keys), keys), keys).select(
         *keys, F.col("total_users").alias("bot_users"), F.col("high_risk").alias("bot_high"),
         F.col("medium_risk").alias("bot_medium"), F.col("low_risk").alias("bot_low"),
         F.col("high_risk_ratio").alias("bot_high_ratio"), F.col("avg_risk_score").alias("bot_avg_score"),
@@ -102,17 +97,30 @@ def report_v1(
     odd = an.anomaly_summary(
         an.anomalies(scored, keys, words=profile.concentration, overseas=profile.overseas, **detector_limits), keys
     )
+    out = risk.assess_v1(mood.join(accounts, list(keys), "left").join(odd, list(keys), "left"))
+    out = out.withColumn("warnings", risk.warnings_v1())
+    return out.withColumn("recommendations", risk.recommendations_v1())
+
+
+def report_v1(
+    comments: DataFrame, scope: Sequence[str] = ("source_file",), profile: Profile = V1, *, keywords_k: int = 20,
+    **detector_limits: float,
+) -> DataFrame:
+    """Sentiment, bots, anomalies and topics folded into the v1 assessment per scope."""
+    keys, rows = _keyed(comments, scope)
+    scored = sentiment.with_risk(
+        sentiment.with_sensitive(sentiment.with_sentiment(rows, profile), profile), profile
+    )
+    assessed = assessment_v1(scored, keys, profile, **detector_limits)
     words = topics.keywords_count(rows, keys, profile.stopwords, keywords_k)
-    leaning = topics.orientation(mood.withColumnRenamed("total_comments", "total"))
+    leaning = topics.orientation(assessed.withColumnRenamed("total_comments", "total"))
     themes = topics.topic_summary(
         words, topics.topic_clusters(rows, keys, words),
         topics.sensitive_keyword_counts(rows, keys, profile.topic_sensitive), leaning, keys, weight="n",
     ).drop("total", "orientation")
     span = quality.time_range(rows, keys)
-    joined = mood.join(accounts, keys, "left").join(odd, keys, "left").join(themes, keys, "left").join(span, keys, "left")
-    out = risk.assess_v1(joined).withColumn("platform", F.array_join("platforms", ", "))
-    out = out.withColumn("warnings", risk.warnings_v1())
-    return out.withColumn("recommendations", risk.recommendations_v1()).drop(ALL)
+    out = assessed.join(themes, keys, "left").join(span, keys, "left")
+    return out.withColumn("platform", F.array_join("platforms", ", ")).drop(ALL)
 
 
 def report_row_v1(report: DataFrame, scope: Sequence[str]) -> DataFrame:
