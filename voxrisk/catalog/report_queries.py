@@ -103,11 +103,19 @@ _detector("night_activity", lambda s, d: an.night_activity(_measures(s, d), an.h
 _detector("location_concentration", lambda s, d: an.location_concentration(_located(s, d), BY_SOURCE, LOCATION))
 _detector("overseas_activity", lambda s, d: an.overseas_activity(_located(s, d), BY_SOURCE))
 _detector("negative_spike", lambda s, d: an.negative_spike(_measures(s, d), BY_SOURCE, NEGATIVE))
-_detector("content_duplication", lambda s, d: an.content_duplication(_measures(s, d), BY_SOURCE, DUPLICATE))
 _detector("spam_short", lambda s, d: an.spam_short(_measures(s, d), BY_SOURCE, SHORT))
 _detector("keyword_concentration", lambda s, d: an.keyword_concentration(_measures(s, d), BY_SOURCE))
 
 
+@query("content_duplication", f"""{st.COMMENTS},
+sm AS (SELECT platform AS source_file, count(*) AS total, 1 - CAST(count(DISTINCT content) AS DOUBLE) / count(*) AS dup FROM comments GROUP BY 1)
+{_DUP}""")
+def content_duplication(spark, sf_dir):
+    rows = views.comments(spark, sf_dir).withColumn("source_file", F.col("platform"))
+    measures = an.scope_measures(rows, BY_SOURCE, LATIN_V1.concentration, scored=False)
+    return _shown(an.content_duplication(measures, BY_SOURCE, DUPLICATE))
+
+
 @query("high_risk_content", f"{_BASE.replace('risk_score >= 60', 'risk_score >= 15')} {_RISKY}")
 def high_risk_content(spark, sf_dir):
     measures = an.scope_measures(_scored(spark, sf_dir), BY_SOURCE, LATIN_V1.concentration, high_risk=15)

@@ -28,7 +28,8 @@ def lexicon_join(df: DataFrame, words: DataFrame, keep: Sequence[str] = ("ord",)
     has_category = "category" in words.columns
     small = inline_words(words)
     if small is not None:
-        hits = df.select(*keep, F.explode(sc.contained_words(F.col(content), small)).alias("word"))
+        hits = df.select(*keep, F.explode_outer(sc.contained_words(F.col(content), small)).alias("word"))
+        hits = hits.filter(F.col("word").isNotNull())
         return hits.join(words, "word") if has_category else hits
     return substring_join(df, words, keep, content)
 
@@ -39,7 +40,7 @@ def substring_join(df: DataFrame, words: DataFrame, keep: Sequence[str], content
     grams = F.array_distinct(F.flatten(F.array(*[
         F.regexp_extract_all(F.col(content), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(lengths)
     ])))
-    offered = df.select(*keep, F.explode(grams).alias("word"))
+    offered = df.select(*keep, F.explode_outer(grams).alias("word"))
     return offered.join(words, "word")
 
 

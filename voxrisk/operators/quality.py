@@ -10,29 +10,26 @@ from pyspark.sql import functions as F
 from voxrisk.functions import text as tx
 
 
-def cleaning_report(raw: DataFrame, cleaned: DataFrame, scope: Sequence[str] = ("source_file",), content: str = "content") -> DataFrame:
-    """Per scope: raw records, parse errors, cleaned rows and cleaning totals.
+def cleaning_report(raw: DataFrame, scope: Sequence[str] = ("source_file",)) -> DataFrame:
+    """Per scope: records read, parse errors, cleaned rows and what cleaning touched.
 
     ``raw`` has one row per input line with ``parse_error`` (null when parsed) and
-    ``texts`` (the raw contents of its comment and replies).
+    ``texts`` (the raw contents of its comment and replies). One pass over the lines.
     """
-    counts = raw.groupBy(*scope).agg(
-        F.count_if(F.col("parse_error").isNull()).alias("total_raw"),
+    rows = raw.select(*scope, "parse_error", F.posexplode_outer("texts").alias("_pos", "_raw"))
+    known = F.coalesce(F.col("_raw"), F.lit(""))
+    rows = rows.withColumns({"_bare": tx.strip_html(known), "_size": F.length(known)})
+    bare = F.col("_bare")
+    return rows.groupBy(*scope).agg(
+        F.count_if(F.col("_pos") == 0).alias("total_raw"),
         F.count("parse_error").alias("errors"),
+        F.count("_pos").alias("total_cleaned"),
+        F.sum(F.col("_size") - F.length(bare)).alias("html_removed"),
+        F.sum(tx.count_urls(bare)).alias("url_marked"),
+        F.sum(tx.count_mentions(bare)).alias("mention_marked"),
+        F.sum(tx.count_bracket_emoji(bare)).alias("emoji_normalized"),
+        F.count_if(F.col("_size") > 0).alias("whitespace_normalized"),
     )
-    text = F.explode("texts").alias("_t")
-    totals = raw.select(*scope, text).select(*scope, tx.blank_if_null(F.col("_t")).alias("_t"))
-    totals = totals.select(*scope, tx.html_chars_removed(F.col("_t")).alias("_html"), tx.strip_html(F.col("_t")).alias("_t"))
-    totals = totals.groupBy(*scope).agg(
-        F.sum("_html").alias("html_removed"),
-        F.sum(tx.count_urls(F.col("_t"))).alias("url_marked"),
-        F.sum(tx.count_mentions(F.col("_t"))).alias("mention_marked"),
-        F.sum(tx.count_bracket_emoji(F.col("_t"))).alias("emoji_normalized"),
-        F.count_if(F.col("_t") != "").alias("whitespace_normalized"),
-    )
-    rows = cleaned.groupBy(*scope).agg(F.count("*").alias("total_cleaned"))
-    keys = list(scope)
-    return counts.join(rows, keys, "left").join(totals, keys, "left").na.fill(0)
 
 
 def platform_stats(cleaned: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

@@ -22,7 +22,9 @@ def token_rows(df: DataFrame, keep: Sequence[str], stopwords: Sequence[str] = ()
     """One row per token occurrence."""
     content = F.col("content")
     words = tx.cjk_tokens(content) if cjk else tx.tokens(content)
-    return df.select(*keep, F.explode(words).alias("token")).filter(_keep(F.col("token"), stopwords))
+    # outer: a plain explode would split every text once more to test for emptiness
+    rows = df.select(*keep, F.explode_outer(words).alias("token"))
+    return rows.filter(F.col("token").isNotNull() & _keep(F.col("token"), stopwords))
 
 
 def keywords_count(df: DataFrame, scope: Sequence[str], stopwords: Sequence[str], k: int = 20) -> DataFrame:
@@ -42,7 +44,8 @@ def corpus_counts(df: DataFrame, scope: Sequence[str], stopwords: Sequence[str])
     presence = F.transform(
         F.array_distinct(words), lambda w: F.struct(w.alias("token"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
     )
-    rows = df.select(*scope, F.inline(F.concat(occurrence, presence))).filter(_keep(F.col("token"), stopwords))
+    rows = df.select(*scope, F.inline_outer(F.concat(occurrence, presence)))
+    rows = rows.filter(F.col("token").isNotNull() & _keep(F.col("token"), stopwords))
     return rows.groupBy(*scope, "token").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
@@ -127,8 +130,8 @@ def orientation(distribution: DataFrame) -> DataFrame:
 
 def sensitive_keyword_counts(df: DataFrame, scope: Sequence[str], words: Sequence[str], k: int = 10) -> DataFrame:
     """Rows containing each word, the ``k`` most frequent, with a level."""
-    hits = df.select(*scope, F.explode(sc.contained_words(F.col("content"), words)).alias("word"))
-    counts = hits.groupBy(*scope, "word").agg(F.count("*").alias("n"))
+    hits = df.select(*scope, F.explode_outer(sc.contained_words(F.col("content"), words)).alias("word"))
+    counts = hits.filter(F.col("word").isNotNull()).groupBy(*scope, "word").agg(F.count("*").alias("n"))
     top = top_k(counts, scope, [F.desc("n"), F.col("word")], k)
     return top.withColumn("level", F.when(F.col("n") > 50, "high").when(F.col("n") > 20, "medium").otherwise("low"))
 

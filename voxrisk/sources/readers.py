@@ -40,16 +40,16 @@ def platform_of_record(line: Column) -> Column:
     return out
 
 
-def read_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Non-blank lines with ``source_file`` and ``ord``, their order in the file.
+def read_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Non-blank lines (with a pattern: of all matching files below) with ``source_file`` and ``ord``, their order in the file.
 
     ``ord`` joins the place of the file block (in MiB), the row number inside the task
     and 16 free bits for the replies of a record, so it needs neither a sort nor a
     single reader.
     """
     reader = spark.read
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    if pattern:
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     block = F.shiftright(F.col("_metadata.file_block_start"), 20)
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 28) - 1))
     lines = reader.text(path).select(
@@ -76,9 +76,11 @@ def scan_jsonl(spark: SparkSession, path: str, platform: str | None = None, clea
     return parse_lines(with_platform(read_lines(spark, path), platform), clean)
 
 
-def scan_dir(spark: SparkSession, path: str, platform: str | None = None, clean: bool = True) -> DataFrame:
-    """Comments of every ``*.jsonl`` below a folder."""
-    return parse_lines(with_platform(read_lines(spark, path, recursive=True), platform), clean)
+def scan_dir(
+    spark: SparkSession, path: str, platform: str | None = None, clean: bool = True, pattern: str = "*.jsonl"
+) -> DataFrame:
+    """Comments of every matching file below a folder."""
+    return parse_lines(with_platform(read_lines(spark, path, pattern), platform), clean)
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

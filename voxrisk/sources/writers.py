@@ -32,12 +32,12 @@ def sink_csv(df: DataFrame, path: str) -> None:
     flat(df).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
-def sink_report(reports: DataFrame, path: str, scope: Sequence[str], formats: Sequence[str] = ("md", "json")) -> dict[str, str]:
-    """Reports in the chosen formats (md, json, html, txt), a folder per format."""
-    saved = {}
-    for kind in formats:
-        target = f"{path.rstrip('/')}/{kind}"
-        text = render.FORMATS[kind]().alias("report")
-        reports.select(*scope, text).write.mode("overwrite").json(target)
-        saved[kind] = target
-    return saved
+def sink_report(reports: DataFrame, path: str, scope: Sequence[str], formats: Sequence[str] = ("md", "json")) -> None:
+    """Reports in the chosen formats (md, json, html, txt), a folder per format.
+
+    All texts are made in one job, so the analysis behind the reports runs once.
+    """
+    texts = F.array(*[
+        F.struct(F.lit(kind).alias("format"), render.FORMATS[kind]().alias("report")) for kind in formats
+    ])
+    reports.select(*scope, F.inline(texts)).write.mode("overwrite").partitionBy("format").json(path)
