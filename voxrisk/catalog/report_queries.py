@@ -84,27 +84,26 @@ def volume_spike(spark, sf_dir):
     return _shown(an.volume_spike(an.hourly_counts(views.activity(spark, sf_dir), BY_SOURCE), BY_SOURCE, SPIKE))
 
 
-def _measures(spark, sf_dir):
-    return an.scope_measures(_scored(spark, sf_dir), BY_SOURCE, LATIN_V1.concentration)
+def _features(spark, sf_dir):
+    return an.anomaly_features(_scored(spark, sf_dir), BY_SOURCE, LATIN_V1.concentration)
 
 
-def _located(spark, sf_dir):
-    return an.location_measures(views.comments(spark, sf_dir), BY_SOURCE, LATIN_V1.overseas)
-
-
-def _detector(name, run):
+def _detector(name, detector):
     @query(name, f"{_BASE} {_PARTS[name]}")
     def detect(spark, sf_dir):
-        return _shown(run(spark, sf_dir))
+        features = _features(spark, sf_dir)
+        hourly = an.hourly_counts(features, BY_SOURCE)
+        summary = an.scope_summary(features, hourly, BY_SOURCE, LATIN_V1.concentration, LATIN_V1.overseas)
+        return _shown(an.found(summary, BY_SOURCE, detector()))
     return detect
 
 
-_detector("night_activity", lambda s, d: an.night_activity(_measures(s, d), an.hourly_counts(views.comments(s, d), BY_SOURCE), BY_SOURCE, NIGHT))
-_detector("location_concentration", lambda s, d: an.location_concentration(_located(s, d), BY_SOURCE, LOCATION))
-_detector("overseas_activity", lambda s, d: an.overseas_activity(_located(s, d), BY_SOURCE))
-_detector("negative_spike", lambda s, d: an.negative_spike(_measures(s, d), BY_SOURCE, NEGATIVE))
-_detector("spam_short", lambda s, d: an.spam_short(_measures(s, d), BY_SOURCE, SHORT))
-_detector("keyword_concentration", lambda s, d: an.keyword_concentration(_measures(s, d), BY_SOURCE))
+_detector("night_activity", lambda: an.night_activity(NIGHT))
+_detector("location_concentration", lambda: an.location_concentration(LOCATION))
+_detector("overseas_activity", an.overseas_activity)
+_detector("negative_spike", lambda: an.negative_spike(NEGATIVE))
+_detector("spam_short", lambda: an.spam_short(SHORT))
+_detector("keyword_concentration", an.keyword_concentration)
 
 
 @query("content_duplication", f"""{st.COMMENTS},
@@ -112,19 +111,19 @@ sm AS (SELECT platform AS source_file, count(*) AS total, 1 - CAST(count(DISTINC
 {_DUP}""")
 def content_duplication(spark, sf_dir):
     rows = views.comments(spark, sf_dir).withColumn("source_file", F.col("platform"))
-    measures = an.scope_measures(rows, BY_SOURCE, LATIN_V1.concentration, scored=False)
-    return _shown(an.content_duplication(measures, BY_SOURCE, DUPLICATE))
+    measures = an.scope_measures(an.anomaly_features(rows, BY_SOURCE), BY_SOURCE)
+    return _shown(an.found(measures, BY_SOURCE, an.content_duplication(DUPLICATE)))
 
 
 @query("high_risk_content", f"{_BASE.replace('risk_score >= 60', 'risk_score >= 15')} {_RISKY}")
 def high_risk_content(spark, sf_dir):
-    measures = an.scope_measures(_scored(spark, sf_dir), BY_SOURCE, LATIN_V1.concentration, high_risk=15)
-    return _shown(an.high_risk_content(measures, BY_SOURCE))
+    measures = an.scope_measures(_features(spark, sf_dir), BY_SOURCE, LATIN_V1.concentration, high_risk=15)
+    return _shown(an.found(measures, BY_SOURCE, an.high_risk_content()))
 
 
 def _anomalies(spark, sf_dir):
     return an.anomalies(
-        _scored(spark, sf_dir), BY_SOURCE, words=LATIN_V1.concentration, overseas=LATIN_V1.overseas, volume_factor=SPIKE, night_limit=NIGHT,
+        _features(spark, sf_dir), BY_SOURCE, words=LATIN_V1.concentration, overseas=LATIN_V1.overseas, volume_factor=SPIKE, night_limit=NIGHT,
         location_limit=LOCATION, negative_limit=NEGATIVE, duplicate_limit=DUPLICATE, short_limit=SHORT)
 
 
@@ -174,9 +173,9 @@ def report_one(spark, sf_dir):
 
 def _assessment(spark, sf_dir):
     """The inputs of the v1 assessment only, without topics."""
-    rows = _scored(spark, sf_dir)
+    features = reports.row_features_v1(views.comments(spark, sf_dir), BY_SOURCE, LATIN_V1)
     return reports.assessment_v1(
-        rows, BY_SOURCE, LATIN_V1, volume_factor=SPIKE, night_limit=NIGHT, location_limit=LOCATION, negative_limit=NEGATIVE,
+        features, BY_SOURCE, LATIN_V1, volume_factor=SPIKE, night_limit=NIGHT, location_limit=LOCATION, negative_limit=NEGATIVE,
         duplicate_limit=DUPLICATE, short_limit=SHORT)
 
 

@@ -223,12 +223,12 @@ _SERIES = "SELECT l_suppkey % 20 AS series, CAST(l_partkey AS DOUBLE) AS x, avg(
 e AS (SELECT series, min(x) AS lo, max(x) AS hi, CAST(sum(c) * 2 AS BIGINT) AS n FROM p GROUP BY 1 HAVING max(x) > min(x)),
 g AS (SELECT series, i, lo + i * ((hi - lo) / (n - 1)) AS gx FROM (SELECT *, unnest(range(n)) AS i FROM e)),
 b AS (SELECT series, x AS x0, y AS y0, lead(x) OVER (PARTITION BY series ORDER BY x) AS x1, lead(y) OVER (PARTITION BY series ORDER BY x) AS y1 FROM p)
-SELECT g.series AS series, i, round(gx, 4) AS x, round(CASE WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) / (x1 - x0) * (gx - x0) END, 4) AS y
+SELECT g.series AS series, i, round(gx, 4) AS x, round(CASE WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) / (x1 - x0) * (gx - x0) END, 6) AS y
 FROM g ASOF JOIN b ON g.series = b.series AND g.gx >= b.x0""")
 def interpolate_linear(spark, sf_dir):
     rows = views.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("series"), "l_partkey", "l_extendedprice")
     out = prep.interpolate_linear(rows, ["series"], "l_partkey", "l_extendedprice")
-    return out.select("series", "i", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return out.select("series", "i", F.round("x", 4).alias("x"), F.round("y", 6).alias("y"))
 
 
 # --- models ----------------------------------------------------------------------

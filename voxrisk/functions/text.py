@@ -32,6 +32,7 @@ REPEATED_PUNCT = "[!！?？]{3,}"
 REPEATED_BRACKET_EMOJI = rf"\[[{WORD}]+\]{{3,}}"
 REPEATED_UNICODE_EMOJI = r"[\x{1F600}-\x{1F64F}]{3,}"
 TOKEN_BREAK = f"[{BLANK}" + r"\.,!?;:'\"()（），。！？；：、]+"
+TOKEN = f"[^{BLANK}" + r"\.,!?;:'\"()（），。！？；：、]{2,}"
 CJK_PAIR = r"(?=([\x{4e00}-\x{9fff}]{2}))"
 LATIN_RUN = r"[a-zA-Z\x{c0}-\x{24f}0-9]+"
 IP_PREFIX = "IP属地："
@@ -134,9 +135,9 @@ def text_key(text: Column) -> Column:
     return F.when(F.length(text) <= 64, text).otherwise(F.concat(F.lit("sha256:"), F.sha2(text, 256)))
 
 
-def tokens(text: Column, min_length: int = 2) -> Column:
-    """Words between blanks and punctuation, at least ``min_length`` long."""
-    return F.filter(F.split(text, TOKEN_BREAK), lambda w: F.length(w) >= min_length)
+def tokens(text: Column) -> Column:
+    """Words between blanks and punctuation, two or more characters long."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
 def cjk_tokens(text: Column) -> Column:

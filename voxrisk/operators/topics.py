@@ -39,12 +39,13 @@ def corpus_counts(df: DataFrame, scope: Sequence[str], stopwords: Sequence[str])
     A row sends each token once per occurrence and once for itself; both are summed
     on the map side before anything is moved.
     """
-    words = tx.tokens(F.col("content"))
+    rows = sc.computed_once(df.select(*scope, "content"), _words=tx.tokens(F.col("content")))
+    words = F.col("_words")
     occurrence = F.transform(words, lambda w: F.struct(w.alias("token"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
     presence = F.transform(
         F.array_distinct(words), lambda w: F.struct(w.alias("token"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
     )
-    rows = df.select(*scope, F.inline_outer(F.concat(occurrence, presence)))
+    rows = rows.select(*scope, F.inline_outer(F.concat(occurrence, presence)))
     rows = rows.filter(F.col("token").isNotNull() & _keep(F.col("token"), stopwords))
     return rows.groupBy(*scope, "token").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
@@ -130,8 +131,13 @@ def orientation(distribution: DataFrame) -> DataFrame:
 
 def sensitive_keyword_counts(df: DataFrame, scope: Sequence[str], words: Sequence[str], k: int = 10) -> DataFrame:
     """Rows containing each word, the ``k`` most frequent, with a level."""
-    hits = df.select(*scope, F.explode_outer(sc.contained_words(F.col("content"), words)).alias("word"))
-    counts = hits.filter(F.col("word").isNotNull()).groupBy(*scope, "word").agg(F.count("*").alias("n"))
+    return word_ranking(df.select(*scope, sc.contained_words(F.col("content"), words).alias("_words")), scope, "_words", k)
+
+
+def word_ranking(df: DataFrame, scope: Sequence[str], words: str, k: int = 10) -> DataFrame:
+    """The most frequent words of an array column, with a level."""
+    hits = df.select(*scope, F.explode_outer(words).alias("word")).filter(F.col("word").isNotNull())
+    counts = hits.groupBy(*scope, "word").agg(F.count("*").alias("n"))
     top = top_k(counts, scope, [F.desc("n"), F.col("word")], k)
     return top.withColumn("level", F.when(F.col("n") > 50, "high").when(F.col("n") > 20, "medium").otherwise("low"))
 

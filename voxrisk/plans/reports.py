@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxrisk.functions import scoring
 from voxrisk.functions.lexicon import V1, V2, Profile
 from voxrisk.operators import anomalies as an
 from voxrisk.operators import bots, filters, quality, regions, risk, sentiment, topics, users
@@ -84,18 +85,33 @@ def with_report_fields(report: DataFrame, source_url: str = "", generated_at: st
     return report.withColumns({"source_url": F.lit(source_url), "generated_at": stamp})
 
 
+def row_features_v1(comments: DataFrame, keys: Sequence[str], profile: Profile = V1) -> DataFrame:
+    """The v1 row inputs without the text, scored once and cut from their source."""
+    scored = sentiment.with_risk(
+        sentiment.with_sensitive(sentiment.with_sentiment(comments, profile), profile), profile
+    )
+    carried = F.struct("content", "ip_location", "sentiment", "sentiment_score", "risk_score")
+    people = bots.bot_features(scored.withColumn("_row", carried), [*keys, "_row"]).drop("content_key")
+    rows = people.select("*", "_row.*").drop("_row")
+    own = ("content", "ord", "publish_time", "ip_location", "sentiment", "risk_score")  # added again below
+    kept = [name for name in rows.columns if name not in own]
+    topic_words = scoring.contained_words(F.col("content"), profile.topic_sensitive)
+    rows = rows.withColumn("topic_words", topic_words)
+    return cut_lineage(an.anomaly_features(rows, [*kept, "topic_words"], profile.concentration))
+
+
 def assessment_v1(
-    scored: DataFrame, keys: Sequence[str], profile: Profile = V1, **detector_limits: float
+    features: DataFrame, keys: Sequence[str], profile: Profile = V1, **detector_limits: float
 ) -> DataFrame:
-    """Sub-scores, warnings and advice from v1-scored comments."""
-    mood = sentiment.distribution(scored, keys, "v1").withColumnRenamed("total", "total_comments")
-    accounts = bots.bot_summary(bots.bot_scores(bots.bot_features(scored, keys), keys), keys).select(
+    """Sub-scores, warnings and advice from the rows of ``row_features_v1``."""
+    mood = sentiment.distribution(features, keys, "v1").withColumnRenamed("total", "total_comments")
+    accounts = bots.bot_summary(bots.bot_scores(features, keys), keys).select(
         *keys, F.col("total_users").alias("bot_users"), F.col("high_risk").alias("bot_high"),
         F.col("medium_risk").alias("bot_medium"), F.col("low_risk").alias("bot_low"),
         F.col("high_risk_ratio").alias("bot_high_ratio"), F.col("avg_risk_score").alias("bot_avg_score"),
     )
     odd = an.anomaly_summary(
-        an.anomalies(scored, keys, words=profile.concentration, overseas=profile.overseas, **detector_limits), keys
+        an.anomalies(features, keys, words=profile.concentration, overseas=profile.overseas, **detector_limits), keys
     )
     out = risk.assess_v1(mood.join(accounts, list(keys), "left").join(odd, list(keys), "left"))
     out = out.withColumn("warnings", risk.warnings_v1())
@@ -106,19 +122,20 @@ def report_v1(
     comments: DataFrame, scope: Sequence[str] = ("source_file",), profile: Profile = V1, *, keywords_k: int = 20,
     **detector_limits: float,
 ) -> DataFrame:
-    """Sentiment, bots, anomalies and topics folded into the v1 assessment per scope."""
+    """Sentiment, bots, anomalies and topics folded into the v1 assessment per scope.
+
+    The text is read three times: for the row features, the keywords, the topic labels.
+    """
     keys, rows = _keyed(comments, scope)
-    scored = sentiment.with_risk(
-        sentiment.with_sensitive(sentiment.with_sentiment(rows, profile), profile), profile
-    )
-    assessed = assessment_v1(scored, keys, profile, **detector_limits)
-    words = topics.keywords_count(rows, keys, profile.stopwords, keywords_k)
+    features = row_features_v1(rows, keys, profile)
+    assessed = cut_lineage(assessment_v1(features, keys, profile, **detector_limits))  # one row per scope
+    words = cut_lineage(topics.keywords_count(rows, keys, profile.stopwords, keywords_k))  # k rows per scope
     leaning = topics.orientation(assessed.withColumnRenamed("total_comments", "total"))
     themes = topics.topic_summary(
-        words, topics.topic_clusters(rows, keys, words),
-        topics.sensitive_keyword_counts(rows, keys, profile.topic_sensitive), leaning, keys, weight="n",
+        words, topics.topic_clusters(rows, keys, words), topics.word_ranking(features, keys, "topic_words"), leaning, keys,
+        weight="n",
     ).drop("total", "orientation")
-    span = quality.time_range(rows, keys)
+    span = quality.time_range(features, keys)
     out = assessed.join(themes, keys, "left").join(span, keys, "left")
     return out.withColumn("platform", F.array_join("platforms", ", ")).drop(ALL)
 
