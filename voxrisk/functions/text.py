@@ -32,19 +32,30 @@ REPEATED_PUNCT = "[!！?？]{3,}"
 REPEATED_BRACKET_EMOJI = rf"\[[{WORD}]+\]{{3,}}"
 REPEATED_UNICODE_EMOJI = r"[\x{1F600}-\x{1F64F}]{3,}"
 TOKEN_BREAK = f"[{BLANK}" + r"\.,!?;:'\"()（），。！？；：、]+"
-TOKEN = f"[^{BLANK}" + r"\.,!?;:'\"()（），。！？；：、]{2,}"
+BLANK_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 CJK_PAIR = r"(?=([\x{4e00}-\x{9fff}]{2}))"
 LATIN_RUN = r"[a-zA-Z\x{c0}-\x{24f}0-9]+"
 IP_PREFIX = "IP属地："
 
+PUNCTUATION = ".,!?;:'\"()（），。！？；：、"
+
 
 def blank_if_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def _spaced(text: Column, characters: str) -> Column:
+    """Each of the characters as a plain space. A pattern that then looks for spaces only
+    is several times faster than one that tests every character against the whole list."""
+    return F.translate(text, characters, " " * len(characters))
+
+
 def strip(text: Column) -> Column:
     """Drop leading and trailing blanks of any kind."""
-    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(text, F.lit(BLANK_CHARS))
 
 
 def strip_html(text: Column) -> Column:
@@ -68,6 +79,14 @@ def count_mentions(text: Column) -> Column:
     return count_matches(text, MENTION)
 
 
+def has_at(text: Column) -> Column:
+    return text.rlike(AT_ANY)
+
+
+def count_at(text: Column) -> Column:
+    return count_matches(text, AT_ANY)
+
+
 def count_bracket_emoji(text: Column) -> Column:
     return count_matches(text, BRACKET_EMOJI)
 
@@ -78,7 +97,7 @@ def count_unicode_emoji(text: Column) -> Column:
 
 def normalize_whitespace(text: Column) -> Column:
     """Runs of blanks become one space; after that a plain trim is enough."""
-    return F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))
+    return F.trim(F.regexp_replace(_spaced(text, BLANK_CHARS), "  +", " "))
 
 
 def clean_content(text: Column) -> Column:
@@ -137,7 +156,7 @@ def text_key(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words between blanks and punctuation, two or more characters long."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(_spaced(text, BLANK_CHARS + PUNCTUATION), F.lit("[^ ]{2,}"), F.lit(0))
 
 
 def cjk_tokens(text: Column) -> Column:

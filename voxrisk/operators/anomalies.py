@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxrisk.functions import text as tx
 from voxrisk.functions.lexicon import CONCENTRATION_WORDS, OVERSEAS_NAMES
+from voxrisk.operators.scaling import keyed, unkeyed
 
 SEVERITIES = ("critical", "high", "medium", "low")
 # Detector order; it decides among anomalies of equal severity.
@@ -19,10 +20,6 @@ DETECTORS = (
 )
 
 
-def _keys(scope: Sequence[str], df: DataFrame) -> tuple[list[str], DataFrame]:
-    return (list(scope), df) if scope else (["_all"], df.withColumn("_all", F.lit(0)))
-
-
 def hourly_counts(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     timed = df.filter(F.col("publish_time").isNotNull())
     return timed.groupBy(*scope, F.date_trunc("hour", "publish_time").alias("hour_start")).agg(F.count("*").alias("n"))
@@ -30,11 +27,10 @@ def hourly_counts(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 def hour_averages(hourly: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Each non-empty hour beside the mean and number of its scope's hours."""
-    keys, work = _keys(scope, hourly)
+    keys, work = keyed(hourly, scope)
     whole = Window.partitionBy(*keys)
-    return work.withColumns({
-        "avg_n": F.avg("n").over(whole), "n_hours": F.count("*").over(whole)
-    }).drop("_all")
+    out = work.withColumns({"avg_n": F.avg("n").over(whole), "n_hours": F.count("*").over(whole)})
+    return unkeyed(out, scope)
 
 
 def _details(**values: Column) -> Column:
@@ -137,10 +133,10 @@ def scope_summary(
     overseas: Sequence[str] = OVERSEAS_NAMES, high_risk: int = 60,
 ) -> DataFrame:
     """Row, region and hour figures of each scope side by side."""
-    keys, rows = _keys(scope, features)
-    _, hours = _keys(scope, hourly)
+    keys, rows = keyed(features, scope)
+    _, hours = keyed(hourly, scope)
     out = scope_measures(rows, keys, words, high_risk).join(location_measures(rows, keys, overseas), keys, "left")
-    return out.join(hours.groupBy(*keys).agg(F.count("*").alias("n_hours")), keys, "left").drop("_all")
+    return unkeyed(out.join(hours.groupBy(*keys).agg(F.count("*").alias("n_hours")), keys, "left"), scope)
 
 
 # --- detectors over that row -----------------------------------------------------

@@ -20,7 +20,7 @@ def bot_features(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
         F.nullif(F.col("ip_location"), F.lit("")).alias("ip"),
         tx.text_key(content).alias("content_key"),
         tx.count_unicode_emoji(content).alias("n_emoji"),
-        tx.count_matches(content, tx.AT_ANY).alias("n_at"),
+        tx.count_at(content).alias("n_at"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxrisk.functions import text as tx
-from voxrisk.operators.scaling import rank_boundaries, time_levels, top_k
+from voxrisk.operators.scaling import keyed, rank_boundaries, time_levels, top_k, unkeyed
 
 MIN_COVERAGE = 0.3
 MIN_TIMED_ROWS = 10
@@ -19,10 +19,6 @@ def region(column: str = "ip_location") -> Column:
     return F.nullif(tx.strip(F.col(column)), F.lit(""))
 
 
-def _by(scope: Sequence[str], df: DataFrame) -> tuple[list[str], DataFrame]:
-    return (list(scope), df) if scope else (["_all"], df.withColumn("_all", F.lit(0)))
-
-
 def coverage(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     out = df.groupBy(*scope).agg(F.count("*").alias("total"), F.count(region()).alias("with_ip"))
     return out.withColumn("coverage", F.try_divide("with_ip", "total"))
@@ -44,7 +40,7 @@ def top_regions(counts: DataFrame, scope: Sequence[str] = (), k: int = 5) -> Dat
 
 def concentration(counts: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Gini coefficient, top-3 share and score from the region counts, which are few."""
-    keys, work = _by(scope, counts)
+    keys, work = keyed(counts, scope)
     whole = Window.partitionBy(*keys)
     work = work.select(
         *keys, "region", "n",
@@ -66,7 +62,7 @@ def concentration(counts: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     )
     out = grouped.withColumns({"gini": gini, "top3_ratio": F.try_divide("_top3", "with_ip")})
     out = out.withColumn("concentration_score", (F.col("gini") * 100).cast("int"))
-    return out.drop("_weighted", "_top3", "_all")
+    return unkeyed(out.drop("_weighted", "_top3"), scope)
 
 
 def wave_spread(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -76,7 +72,7 @@ def wave_spread(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     found by counting (``rank_boundaries``); every row then compares itself with
     them, so no scope is ever sorted as a whole.
     """
-    keys, work = _by(scope, df.select(*scope, region().alias("region"), "publish_time", "ord"))
+    keys, work = keyed(df.select(*scope, region().alias("region"), "publish_time", "ord"), scope)
     timed = work.filter(F.col("region").isNotNull() & F.col("publish_time").isNotNull())
     us = F.unix_micros("publish_time")
     cuts = rank_boundaries(
@@ -102,10 +98,11 @@ def wave_spread(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     enough = F.col("timed_rows") >= MIN_TIMED_ROWS
     wave = enough & (first <= 2) & (last >= 2 * first)
     few = F.greatest("regions_1", "regions_2", "regions_3") <= 3
-    return out.withColumns({
+    out = out.withColumns({
         "wave_detected": wave,
         "pattern": F.when(~enough, "unknown").when(wave, "wave_spread").when(few, "concentrated").otherwise("normal"),
-    }).drop("_all")
+    })
+    return unkeyed(out, scope)
 
 
 def suspicion(df: DataFrame, scope: Sequence[str] = (), min_coverage: float = MIN_COVERAGE) -> DataFrame:
@@ -113,12 +110,12 @@ def suspicion(df: DataFrame, scope: Sequence[str] = (), min_coverage: float = MI
 
     Scopes with too few located rows keep their coverage and a finding only.
     """
-    keys, work = _by(scope, df)
+    keys, work = keyed(df, scope)
     cover = coverage(work, keys)
     focus = concentration(region_counts(work, keys), keys).drop("with_ip")
     spread = wave_spread(work, keys)
     joined = cover.join(focus, keys, "left").join(spread, keys, "left")
-    return score_regions(joined, min_coverage).drop("_all")
+    return unkeyed(score_regions(joined, min_coverage), scope)
 
 
 def score_regions(joined: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
@@ -174,7 +171,7 @@ def top_and_others(df: DataFrame, scope: Sequence[str] = (), k: int = 10, per_us
             *scope, F.col("_last.ip_location").alias("ip_location"), "ord"
         )
     counts = region_counts(rows, scope)
-    keys, work = _by(scope, counts)
+    keys, work = keyed(counts, scope)
     ranked = work.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*_rank_order())))
     name = F.when(F.col("_r") <= k, F.col("region")).otherwise(F.lit(others))
     return ranked.groupBy(*scope, name.alias("region")).agg(F.sum("n").alias("n"))

@@ -13,6 +13,19 @@ GROUP_LIMIT = 1000
 SALTS = 16
 
 
+ALL = "_all"
+
+
+def keyed(df: DataFrame, scope: Sequence[str]) -> tuple[list[str], DataFrame]:
+    """Grouping keys for a scope; the empty scope gets one constant key."""
+    return (list(scope), df) if scope else ([ALL], df.withColumn(ALL, F.lit(0)))
+
+
+def unkeyed(df: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Without the constant key that ``keyed`` added."""
+    return df if scope else df.drop(ALL)
+
+
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank",
     spread_on: Sequence[str] = (),
@@ -77,8 +90,7 @@ def rank_boundaries(
     rank. Result: scope columns, ``cut`` (number) and ``l0..`` (the key at the rank);
     no row for a rank outside the scope.
     """
-    keys = list(scope) or ["_all"]
-    base = df if scope else df.withColumn("_all", F.lit(0))
+    keys, base = keyed(df, scope)
     names = [f"l{i}" for i in range(len(levels))]
     base = base.select(*keys, *[level.alias(name) for level, name in zip(levels, names)])
 
@@ -109,7 +121,7 @@ def rank_boundaries(
             .filter((F.col("_rest") >= lo) & (F.col("_rest") < F.col("_hi")))
             .select(*keys, "cut", *names[: i + 1], (F.col("_rest") - lo).alias("_rest"))
         )
-    return found.select(*(scope or []), "cut", *names)
+    return unkeyed(found.select(*keys, "cut", *names), scope)
 
 
 def head_per_scope(df: DataFrame, scope: Sequence[str], order: str, n: int) -> DataFrame:

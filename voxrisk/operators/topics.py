@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxrisk.functions import scoring as sc
 from voxrisk.functions import text as tx
-from voxrisk.operators.scaling import top_k
+from voxrisk.operators.scaling import keyed, top_k, unkeyed
 
 OTHER_TOPIC = "其他"
 
@@ -169,20 +169,16 @@ def topic_summary(
 ) -> DataFrame:
     """One row per scope. ``leaning`` needs ``total``, ``orientation`` and
     ``orientation_label``; the other inputs are the top-k tables."""
-    keys = list(scope) or ["_all"]
-
-    def keyed(df: DataFrame) -> DataFrame:
-        return df if scope else df.withColumn("_all", F.lit(0))
-
+    keys, base = keyed(leaning, scope)
     packed = F.array_sort(F.collect_list(F.struct("rank", "token")))
-    words = keyed(keywords).groupBy(*keys).agg(
+    words = keyed(keywords, scope)[1].groupBy(*keys).agg(
         F.count("*").alias("top_keywords_count"),
         F.sum(F.when(F.col("rank") <= 10, F.col(weight)).cast("double")).alias("top_weight"),
         F.transform(F.slice(packed, 1, 10), lambda x: x["token"]).alias("top_keywords"),
     )
-    topics = keyed(clusters).groupBy(*keys).agg(F.count("*").alias("topic_clusters_count"))
-    risky = keyed(sensitive).groupBy(*keys).agg(F.count("*").alias("sensitive_keywords_count"))
-    base = keyed(leaning).select(*keys, "total", "orientation", "orientation_label")
+    topics = keyed(clusters, scope)[1].groupBy(*keys).agg(F.count("*").alias("topic_clusters_count"))
+    risky = keyed(sensitive, scope)[1].groupBy(*keys).agg(F.count("*").alias("sensitive_keywords_count"))
+    base = base.select(*keys, "total", "orientation", "orientation_label")
     joined = base.join(words, keys, "left").join(topics, keys, "left").join(risky, keys, "left")
     counts = ("top_keywords_count", "topic_clusters_count", "sensitive_keywords_count")
     out = joined.withColumns({
@@ -190,7 +186,8 @@ def topic_summary(
         "top_5_keywords": F.coalesce(F.slice("top_keywords", 1, 5), F.array().cast("array<string>")),
         "trending_score": trending_score(F.col("total"), F.col("top_weight"), F.col("orientation")),
     })
-    return out.withColumns({
+    out = out.withColumns({
         "has_sensitive": F.col("sensitive_keywords_count") > 0,
         "trending_level": trending_level(F.col("trending_score")),
-    }).drop("_all")
+    })
+    return unkeyed(out, scope)

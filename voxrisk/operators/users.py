@@ -50,7 +50,7 @@ def profile_features(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
         F.length(content).alias("content_length"),
         F.length(bare).alias("bare_length"),
         tx.text_key(bare).alias("bare_key"),
-        content.rlike(tx.AT_ANY).alias("has_at"),
+        tx.has_at(content).alias("has_at"),
         (tx.count_bracket_emoji(content) + tx.count_unicode_emoji(content)).alias("n_emoji"),
     )
 

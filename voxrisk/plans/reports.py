@@ -11,15 +11,9 @@ from voxrisk.functions import scoring
 from voxrisk.functions.lexicon import V1, V2, Profile
 from voxrisk.operators import anomalies as an
 from voxrisk.operators import bots, filters, quality, regions, risk, sentiment, topics, users
+from voxrisk.operators.scaling import keyed, unkeyed
 from voxrisk.session import cut_lineage
 
-ALL = "_all"
-
-
-def _keyed(df: DataFrame, scope: Sequence[str]) -> tuple[list[str], DataFrame]:
-    return (list(scope), df) if scope else ([ALL], df.withColumn(ALL, F.lit(0)))
-
-
 def row_features(comments: DataFrame, keys: Sequence[str], profile: Profile) -> DataFrame:
     """Everything later steps need of a row, without its text.
 
@@ -48,7 +42,7 @@ def report_v2(
     analysis_limit: int | None = None, min_coverage: float = regions.MIN_COVERAGE, features: DataFrame | None = None,
 ) -> DataFrame:
     """Sentiment, regions and users folded into one score and report row per scope."""
-    keys, rows = _keyed(comments, scope)
+    keys, rows = keyed(comments, scope)
     if features is None:
         features = cut_lineage(row_features(rows, keys, profile))
     analysed = features.filter(F.col("sentiment").isNotNull())
@@ -76,7 +70,7 @@ def report_v2(
     joined = area.join(mood, keys, "left").join(people, keys, "left").join(places, keys, "left").join(first_platform, keys)
     out = risk.overall_v2(joined.withColumn("high_risk", F.coalesce("high_risk", F.lit(0))))
     out = out.withColumns({"key_findings": risk.findings_v2(), "recommendations": risk.recommendations_v2()})
-    return out.withColumnRenamed("high_risk", "high_risk_comments").drop(ALL)
+    return unkeyed(out.withColumnRenamed("high_risk", "high_risk_comments"), scope)
 
 
 def with_report_fields(report: DataFrame, source_url: str = "", generated_at: str | None = None) -> DataFrame:
@@ -126,7 +120,7 @@ def report_v1(
 
     The text is read three times: for the row features, the keywords, the topic labels.
     """
-    keys, rows = _keyed(comments, scope)
+    keys, rows = keyed(comments, scope)
     features = row_features_v1(rows, keys, profile)
     assessed = cut_lineage(assessment_v1(features, keys, profile, **detector_limits))  # one row per scope
     words = cut_lineage(topics.keywords_count(rows, keys, profile.stopwords, keywords_k))  # k rows per scope
@@ -137,7 +131,7 @@ def report_v1(
     ).drop("total", "orientation")
     span = quality.time_range(features, keys)
     out = assessed.join(themes, keys, "left").join(span, keys, "left")
-    return out.withColumn("platform", F.array_join("platforms", ", ")).drop(ALL)
+    return unkeyed(out.withColumn("platform", F.array_join("platforms", ", ")), scope)
 
 
 def report_row_v1(report: DataFrame, scope: Sequence[str]) -> DataFrame:

@@ -65,6 +65,9 @@ def with_platform(lines: DataFrame, platform: str | None = None) -> DataFrame:
     if platform is not None:
         return lines.withColumn("platform", F.lit(platform))
     named = lines.withColumn("platform", platform_of_path(F.col("source_file")))
+    marks = [mark for _, group in PATH_MARKS for mark in group]
+    if all(any(mark in path.lower() for mark in marks) for path in lines.inputFiles()):
+        return named  # every file name tells; no file has to be looked into
     known = named.filter(F.col("platform").isNotNull())
     rest = named.filter(F.col("platform").isNull()).drop("platform")
     by_file = rest.groupBy("source_file").agg(platform_of_record(F.min_by("line", "ord")).alias("platform"))
