@@ -257,7 +257,7 @@ def sensitive_category_counts(spark, sf_dir):
 
 def _bins(column: str, bins: int, high: int) -> str:
     width = high / bins
-    return f"""SELECT CAST(b AS BIGINT) AS bin, round(b * {width}, 6) AS bin_low, count(s.ord) AS n FROM range({bins}) t(b)
+    return f"""SELECT CAST(b AS BIGINT) AS bin, CAST(round(b * {width}, 6) AS DOUBLE) AS bin_low, count(s.ord) AS n FROM range({bins}) t(b)
 LEFT JOIN scored2 s ON least(CAST(floor(s.{column} / {width}) AS BIGINT), {bins - 1}) = b GROUP BY b"""
 
 
