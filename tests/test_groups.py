@@ -135,7 +135,7 @@ def test_head_per_scope(spark, n):
 def test_rank_boundaries_with_all_times_equal(spark):
     df = spark.range(500).select(F.lit("x").alias("s"), F.lit("2024-01-01").cast("timestamp").alias("t"), (F.col("id") * 1000003 % 500).alias("ord"))
     cuts = scaling.rank_boundaries(df, ["s"], scaling.time_levels(F.col("t"), F.col("ord")), lambda n: [F.floor(n / 3), F.floor(2 * n / 3), n])
-    assert {r.cut: r.l3 for r in cuts.collect()} == {0: 166, 1: 333}
+    assert {r.cut: r.l2 for r in cuts.collect()} == {0: 166, 1: 333}
 
 
 def test_top_k_is_cut_per_task_before_the_shuffle(spark):

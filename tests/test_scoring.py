@@ -79,6 +79,21 @@ def test_word_files(spark, tmp_path):
     assert lx.inline_words(lx.read_words(spark, str(tmp_path))) == ["真相", "谣言"]
 
 
+def test_category_files_and_fallback(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("#x\n谣言\n共用\n", encoding="utf-8")
+    (tmp_path / "b.txt").write_text("共用\n", encoding="utf-8")
+    files = {"甲": str(tmp_path / "a.txt"), "乙": str(tmp_path / "b.txt"), "丙": str(tmp_path / "none.txt")}
+    assert dict(lx.read_sensitive(spark, files)) == {"谣言": "甲", "共用": "乙"}
+    assert lx.read_sensitive(spark, {"丙": str(tmp_path / "none.txt")}) == lx.categorised(lx.SENSITIVE_V2_FALLBACK)
+
+
+def test_results_joined_back_last_wins(spark):
+    comments = frame(spark, [comment(0), comment(1), comment(2)])
+    results = spark.createDataFrame([("0", 0, "negative"), ("0", 5, "positive"), ("2", 1, "neutral")], "comment_id STRING, ord BIGINT, sentiment STRING")
+    got = {r.comment_id: r.sentiment for r in joins.sentiment_back(comments, results, ["sentiment"]).collect()}
+    assert got == {"0": "positive", "1": None, "2": "neutral"}
+
+
 def test_histogram_keeps_empty_bins_and_the_upper_bound(spark):
     df = spark.createDataFrame([(0,), (5,), (100,)], "risk_score INT")
     bins = {r.bin: r.n for r in sentiment.histogram(df, "risk_score", 20, 0.0, 100.0).collect()}

@@ -92,9 +92,9 @@ def preview_limit(spark, sf_dir):
 
 @query("join_sentiment_back", f"""{st.SCORED_V2}
 SELECT c.comment_id, r.sentiment, round(r.score, 6) AS sentiment_score, CAST(r.risk_score AS BIGINT) AS risk_score
-FROM comments c LEFT JOIN (SELECT comment_id, sentiment, score, risk_score FROM scored2 WHERE ord % 3 <> 0) r USING (comment_id)""")
+FROM comments c LEFT JOIN (SELECT comment_id, sentiment, score, risk_score FROM scored2 WHERE n_sens > 0) r USING (comment_id)""")
 def join_sentiment_back(spark, sf_dir):
-    results = scored(spark, sf_dir).filter(F.col("ord") % 3 != 0)
+    results = scored(spark, sf_dir).filter("sensitive_count > 0")
     twice = results.unionByName(results.withColumns({"ord": F.col("ord") - 1000000000, "sentiment": F.lit("stale")}))
     out = joins.sentiment_back(views.comments(spark, sf_dir), twice)
     return out.select("comment_id", "sentiment", *r6("sentiment_score"), *long("risk_score"))
@@ -407,11 +407,12 @@ def sensitive_keyword_counts(spark, sf_dir):
 _TREND = """CASE WHEN total > 10000 THEN 40 WHEN total > 5000 THEN 35 WHEN total > 1000 THEN 30 WHEN total > 500 THEN 25
     WHEN total > 100 THEN 20 ELSE least(total / 5.0, 20) END + least(weight * 10, 30)
   + CASE WHEN orientation LIKE 'strongly%' THEN 30 WHEN orientation IN ('positive', 'negative') THEN 20 ELSE 10 END"""
-_TREND_SQL = f"""{st.SCORED_V1}, {_LEAN}, {_TOKENS}, {_TOP_KW},
+TOPIC_CTES = f"""{_LEAN}, {_TOKENS}, {_TOP_KW},
 wt AS (SELECT source_file, sum(n) AS weight FROM (SELECT source_file, token, count(*) AS n,
   row_number() OVER (PARTITION BY source_file ORDER BY count(*) DESC, token) AS rk FROM tok GROUP BY 1, 2) WHERE rk <= 10 GROUP BY 1),
 tr AS (SELECT source_file, total, orientation, CAST(least({_TREND}, 100) AS DOUBLE) AS score FROM lean JOIN wt USING (source_file))"""
-_TREND_LEVEL = "CASE WHEN score >= 80 THEN '极热' WHEN score >= 60 THEN '热门' WHEN score >= 40 THEN '一般' ELSE '冷门' END"
+_TREND_SQL = f"{st.SCORED_V1}, {TOPIC_CTES}"
+TREND_LEVEL = "CASE WHEN score >= 80 THEN '极热' WHEN score >= 60 THEN '热门' WHEN score >= 40 THEN '一般' ELSE '冷门' END"
 
 
 def _topic_summary(spark, sf_dir):
@@ -422,7 +423,7 @@ def _topic_summary(spark, sf_dir):
     return topics.topic_summary(words, topics.topic_clusters(rows, BY_SOURCE, words), risky, leaning, BY_SOURCE, weight="n")
 
 
-@query("trending_score", f"{_TREND_SQL} SELECT source_file, round(score, 6) AS trending_score, {_TREND_LEVEL} AS trending_level FROM tr")
+@query("trending_score", f"{_TREND_SQL} SELECT source_file, round(score, 6) AS trending_score, {TREND_LEVEL} AS trending_level FROM tr")
 def trending_score(spark, sf_dir):
     rows = views.comments(spark, sf_dir)
     words = topics.keywords_count(rows, BY_SOURCE, LATIN_STOPWORDS, 10)
@@ -434,7 +435,7 @@ def trending_score(spark, sf_dir):
 
 
 @query("topic_summary", f"""{_TREND_SQL}
-SELECT source_file, round(score, 6) AS trending_score, {_TREND_LEVEL} AS trending_level, orientation,
+SELECT source_file, round(score, 6) AS trending_score, {TREND_LEVEL} AS trending_level, orientation,
   (SELECT string_agg(token, '|' ORDER BY rank) FROM kw WHERE kw.source_file = tr.source_file AND rank <= 5) AS top_5_keywords,
   (SELECT count(*) FROM clusters k WHERE k.source_file = tr.source_file) AS topic_clusters_count,
   (SELECT count(*) FROM ({_SENS_KW}) k WHERE k.source_file = tr.source_file) AS sensitive_keywords_count

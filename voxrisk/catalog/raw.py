@@ -20,11 +20,10 @@ def records(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
     """(ord, line): one JSON record per comment of the platform's crawler shape."""
     rows = views.comments(spark, sf_dir).withColumn("marked", _marked(F.col("content")))
     ip = F.concat(F.lit("IP属地："), F.col("ip_location"))
-    short = F.substring("content", 1, 60)
     if platform == "bilibili":
         def reply(user: Column) -> Column:
             return F.struct(
-                short.alias("comment"), (F.col("like_count") % 3).alias("like"), user.alias("user"),
+                F.col("content").alias("comment"), (F.col("like_count") % 3).alias("like"), user.alias("user"),
                 F.lit(2).alias("level"), ip.alias("ip"),
             )
         named = F.struct(F.concat(F.lit("r_"), "user_name").alias("name"), F.lit(5).alias("level"))
@@ -40,7 +39,7 @@ def records(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
             )))
         line = F.when(F.col("ord") % 2 == 0, lines[0]).otherwise(lines[1])
     elif platform == "tieba":
-        sub = F.struct(F.col("user_name").alias("user"), short.alias("text"), F.lit("未知").alias("ip_location"), F.lit("未知").alias("time"))
+        sub = F.struct(F.col("user_name").alias("user"), F.col("content").alias("text"), F.lit("未知").alias("ip_location"), F.lit("未知").alias("time"))
         line = F.to_json(F.struct(
             F.col("ord").alias("pid"), F.lit(1).alias("floor"), F.col("user_id").cast("bigint").alias("user_id"),
             F.col("user_name").alias("author"), "ip_location", F.col("marked").alias("content"),

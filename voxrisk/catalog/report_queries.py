@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxrisk import views
+from voxrisk.catalog import comment_queries as cq
 from voxrisk.catalog import people_queries as pq
 from voxrisk.catalog import sqltext as st
 from voxrisk.catalog.comment_queries import DISTRIBUTION_V2, scored
@@ -195,14 +196,24 @@ def warnings_v1(spark, sf_dir):
 _ADVICE = "CASE level " + " ".join(f"WHEN '{k}' THEN {q('|'.join(v))}" for k, v in risk.ADVICE_V1.items()) + " END"
 
 
-@query("recommendations_v1", f"""{_ASSESS}
-SELECT source_file, {_ADVICE} || CASE WHEN len(list_filter(warnings, lambda w: starts_with(w, '负面情绪占比过高'))) > 0 THEN '|分析负面情绪来源,考虑正面引导' ELSE '' END
-  || CASE WHEN len(list_filter(warnings, lambda w: contains(w, '高风险账号'))) > 0 THEN '|核查高风险账号的真实性' ELSE '' END AS recommendations FROM warn""")
+_ADVICE_SQL = f"""{_ADVICE} || CASE WHEN len(list_filter(warnings, lambda w: starts_with(w, '负面情绪占比过高'))) > 0 THEN '|分析负面情绪来源,考虑正面引导' ELSE '' END
+  || CASE WHEN len(list_filter(warnings, lambda w: contains(w, '高风险账号'))) > 0 THEN '|核查高风险账号的真实性' ELSE '' END"""
+
+
+@query("recommendations_v1", f"{_ASSESS} SELECT source_file, {_ADVICE_SQL} AS recommendations FROM warn")
 def recommendations_v1(spark, sf_dir):
     return _assessment(spark, sf_dir).select("source_file", joined("recommendations"))
 
 
-@query("full_report_v1")
+@query("full_report_v1", f"""{_ASSESS}, {cq.TOPIC_CTES}
+SELECT source_file, plat AS platform, n AS total_comments, s AS start, e AS "end", CAST(sr AS BIGINT) AS sentiment_risk, CAST(ar AS BIGINT) AS account_risk,
+  CAST(br AS BIGINT) AS behavior_risk, CAST(cr AS BIGINT) AS content_risk, CAST(warn.score AS BIGINT) AS overall_score, level AS risk_level, 'stable' AS trend,
+  round(tr.score, 6) AS trending_score, {cq.TREND_LEVEL.replace('score', 'tr.score')} AS trending_level,
+  CASE orientation WHEN 'strongly_positive' THEN '强烈支持' WHEN 'positive' THEN '偏向支持' WHEN 'strongly_negative' THEN '强烈反对' WHEN 'negative' THEN '偏向反对' ELSE '中立' END AS orientation_label,
+  (SELECT string_agg(token, '|' ORDER BY rank) FROM kw WHERE kw.source_file = warn.source_file AND rank <= 5) AS top_5_keywords,
+  CASE WHEN len(kinds) > 0 THEN array_to_string(kinds, '|') END AS anomaly_types, array_to_string(warnings, '|') AS warnings, {{ADVICE}} AS recommendations
+FROM warn JOIN tr USING (source_file) JOIN (SELECT source_file, count(*) AS n, array_to_string(list_sort(list(DISTINCT platform)), ', ') AS plat,
+  strftime(min(publish_time), '%Y-%m-%d %H:%M:%S') AS s, strftime(max(publish_time), '%Y-%m-%d %H:%M:%S') AS e FROM comments GROUP BY 1) USING (source_file)""".replace("{ADVICE}", _ADVICE_SQL))
 def full_report_v1(spark, sf_dir):
     out = report_one(spark, sf_dir)
     return out.select(

@@ -37,7 +37,7 @@ _CLEANED = st.clean("'<b>' || content || '</b> [doge]' || chr(9) || ' @reader '"
 
 @query("scan_jsonl", f"""{st.COMMENTS}
 SELECT comment_id, 'tieba' AS platform, {_CLEANED} AS content, user_name, ip_location, false AS is_reply FROM comments
-UNION ALL SELECT comment_id || '_sub_0', 'tieba', {st.clean('substr(content, 1, 60)')}, user_name, '未知', true FROM comments""")
+UNION ALL SELECT comment_id || '_sub_0', 'tieba', {st.clean('content')}, user_name, '未知', true FROM comments""")
 def scan_jsonl(spark, sf_dir):
     path = _feed(spark, sf_dir, "tieba")
     rows = readers.scan_jsonl(spark, f"{path}/tieba.jsonl")
@@ -47,8 +47,8 @@ def scan_jsonl(spark, sf_dir):
 @query("scan_dir", f"""{st.COMMENTS}
 SELECT platform, count(*) AS n, CAST(sum(length(c)) AS BIGINT) AS chars FROM (
   SELECT 'douyin' AS platform, {_CLEANED} AS c FROM comments UNION ALL SELECT 'zhihu', {_CLEANED} FROM comments
-  UNION ALL SELECT 'tieba', {_CLEANED} FROM comments UNION ALL SELECT 'tieba', {st.clean('substr(content, 1, 60)')} FROM comments
-  UNION ALL SELECT 'bilibili', {_CLEANED} FROM comments UNION ALL SELECT 'bilibili', {st.clean('substr(content, 1, 60)')} FROM comments WHERE ord % 3 = 0)
+  UNION ALL SELECT 'tieba', {_CLEANED} FROM comments UNION ALL SELECT 'tieba', {st.clean('content')} FROM comments
+  UNION ALL SELECT 'bilibili', {_CLEANED} FROM comments UNION ALL SELECT 'bilibili', {st.clean('content')} FROM comments WHERE ord % 3 = 0)
 GROUP BY 1""")
 def scan_dir(spark, sf_dir):
     path = _feed(spark, sf_dir, "bilibili", "tieba", "zhihu", "douyin")
@@ -121,7 +121,7 @@ def sink_report(spark, sf_dir):
 
 @query("cleaning_report", f"""{st.COMMENTS},
 t AS (SELECT ord % 10 = 0 AS bad, '<b>' || content || '</b> [doge]' || chr(9) || ' @reader ' AS x FROM comments WHERE ord % 10 <> 1),
-u AS (SELECT x FROM t WHERE NOT bad UNION ALL SELECT substr(content, 1, 60) FROM comments WHERE ord % 10 > 1)
+u AS (SELECT x FROM t WHERE NOT bad UNION ALL SELECT content FROM comments WHERE ord % 10 > 1)
 SELECT (SELECT count(*) FROM t WHERE NOT bad) AS total_raw, (SELECT count(*) FROM t WHERE bad) AS errors, (SELECT count(*) FROM u) AS total_cleaned,
   CAST(sum(length(x) - length({st.strip_html('x')})) AS BIGINT) AS html_removed, CAST(sum({st.n_matches(st.strip_html('x'), tx.URL)}) AS BIGINT) AS url_marked,
   CAST(sum({st.n_matches(st.strip_html('x'), tx.MENTION)}) AS BIGINT) AS mention_marked, CAST(sum({st.n_matches(st.strip_html('x'), tx.BRACKET_EMOJI)}) AS BIGINT) AS emoji_normalized
@@ -258,7 +258,7 @@ def regress_poly(spark, sf_dir):
 @query("regress_forest")
 def regress_forest(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
-    model = models.fit_forest(pairs, trees=20)
+    model = models.fit_forest(pairs)
     importance = float(model.stages[-1].featureImportances[0])
     return models.regression_metrics(models.predict(model, pairs)).withColumn("importance", F.lit(importance))
 

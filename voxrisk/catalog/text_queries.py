@@ -179,7 +179,7 @@ def _expected(platform: str, main: str, reply: str | None) -> str:
                "publish_time, ord, user_level, like_count, reply_count")
     union = f" UNION ALL SELECT {columns} FROM ({reply})" if reply else ""
     return f"""{st.COMMENTS},
-src AS (SELECT *, {st.clean(_MARKED)} AS cleaned, substr(content, 1, 60) AS short FROM comments)
+src AS (SELECT *, {st.clean(_MARKED)} AS cleaned FROM comments)
 SELECT {columns} FROM ({main}){union}"""
 
 
@@ -190,7 +190,7 @@ _BILI_ID = "CASE WHEN ord % 2 = 0 AND ord > 0 THEN comment_id ELSE 'bili_' || su
   SELECT {_BILI_ID} AS comment_id, 'bilibili' AS platform, cleaned AS content, user_name, nullif(user_id, '0') AS user_id,
     ip_location, false AS is_reply, CAST(NULL AS VARCHAR) AS parent_id, CAST(NULL AS VARCHAR) AS source_url, {sql_stamp("publish_time")} AS publish_time,
     ord * 65536 AS ord, CAST(user_level AS BIGINT) AS user_level, like_count, reply_count FROM src""", f"""
-  SELECT {_BILI_ID} || '_reply_0' AS comment_id, 'bilibili' AS platform, {st.clean('short')} AS content,
+  SELECT {_BILI_ID} || '_reply_0' AS comment_id, 'bilibili' AS platform, {st.clean('content')} AS content,
     CASE WHEN ord % 2 = 0 THEN 'r_' || user_name ELSE user_name END AS user_name, CAST(NULL AS VARCHAR) AS user_id, ip_location,
     true AS is_reply, {_BILI_ID} AS parent_id, CAST(NULL AS VARCHAR) AS source_url, CAST(NULL AS VARCHAR) AS publish_time, ord * 65536 AS ord,
     CASE WHEN ord % 2 = 0 THEN 5 ELSE 2 END AS user_level, like_count % 3 AS like_count, 0 AS reply_count
@@ -204,7 +204,7 @@ def parse_bilibili(spark, sf_dir):
   SELECT comment_id, 'tieba' AS platform, cleaned AS content, user_name, user_id, ip_location, false AS is_reply,
     CAST(NULL AS VARCHAR) AS parent_id, CAST(NULL AS VARCHAR) AS source_url, strftime(date_trunc('minute', publish_time), '%Y-%m-%d %H:%M:%S') AS publish_time,
     ord * 65536 AS ord, CAST(NULL AS BIGINT) AS user_level, CAST(0 AS BIGINT) AS like_count, CAST(1 AS BIGINT) AS reply_count FROM src""", f"""
-  SELECT comment_id || '_sub_0' AS comment_id, 'tieba' AS platform, {st.clean('short')} AS content, user_name, CAST(NULL AS VARCHAR) AS user_id,
+  SELECT comment_id || '_sub_0' AS comment_id, 'tieba' AS platform, {st.clean('content')} AS content, user_name, CAST(NULL AS VARCHAR) AS user_id,
     '未知' AS ip_location, true AS is_reply, comment_id AS parent_id, CAST(NULL AS VARCHAR) AS source_url, CAST(NULL AS VARCHAR) AS publish_time,
     ord * 65536 + 1 AS ord, CAST(NULL AS BIGINT) AS user_level, 0 AS like_count, 0 AS reply_count FROM src"""))
 def parse_tieba(spark, sf_dir):
@@ -229,7 +229,7 @@ def parse_douyin(spark, sf_dir):
 
 
 @query("flatten_replies", f"""{st.COMMENTS}
-SELECT comment_id AS parent_id, comment_id || '_sub_0' AS comment_id, user_name, substr(content, 1, 60) AS raw_content FROM comments""")
+SELECT comment_id AS parent_id, comment_id || '_sub_0' AS comment_id, user_name, content AS raw_content FROM comments""")
 def flatten_replies(spark, sf_dir):
     arrays = parsers.comment_arrays(parsers.parsed_lines(raw.lines(spark, sf_dir, "tieba")), clean=False)
     rows = parsers.flatten(arrays, clean=False).filter("is_reply")

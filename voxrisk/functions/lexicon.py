@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 # --- Fixed values: word lists --------------------------------------------------
 
@@ -147,6 +148,28 @@ def read_words(spark: SparkSession, path: str, category: str | None = None) -> D
     return words if category is None else words.withColumn("category", F.lit(category))
 
 
+def read_sensitive(spark: SparkSession, files: dict[str, str]) -> Categorised:
+    """(word, category) pairs from one word file per category, for a ``Profile``.
+
+    Missing files are skipped; a word in two files takes the later category; when no file
+    loads, the fallback list is used. Longer lists belong in ``lexicon_join``.
+    """
+    found: DataFrame | None = None
+    for place, (category, path) in enumerate(files.items()):
+        try:
+            words = read_words(spark, path, category).withColumn("place", F.lit(place))
+        except AnalysisException:  # no such file
+            continue
+        found = words if found is None else found.unionByName(words)
+    if found is None:
+        return categorised(SENSITIVE_V2_FALLBACK)
+    last = found.groupBy("word").agg(F.max_by("category", "place").alias("category"), F.max("place").alias("place"))
+    rows = last.orderBy("place", "word").limit(MAX_INLINE_WORDS + 1).collect()
+    if len(rows) > MAX_INLINE_WORDS:
+        raise ValueError(f"more than {MAX_INLINE_WORDS} words; use operators.joins.lexicon_join")
+    return tuple((row.word, row.category) for row in rows)
+
+
 def inline_words(words: DataFrame) -> list[str] | None:
     """The words as a list when they fit in the plan, else None."""
     rows = words.select("word").orderBy("word").limit(MAX_INLINE_WORDS + 1).collect()

@@ -79,7 +79,7 @@ def wave_spread(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
         timed, keys, time_levels(F.col("publish_time"), F.col("ord")),
         lambda n: [F.floor(n / 3), F.floor(2 * n / 3)],
     )
-    at = F.struct(F.col("l2.us").alias("us"), F.col("l3").alias("ord"))
+    at = F.struct(F.col("l1.us").alias("us"), F.col("l2").alias("ord"))
     bounds = cuts.groupBy(*keys).agg(
         F.max(F.when(F.col("cut") == 0, at)).alias("_b1"), F.max(F.when(F.col("cut") == 1, at)).alias("_b2")
     )

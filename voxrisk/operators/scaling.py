@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxrisk.session import settle
+
 # Spark keeps at most k rows per group and task before the shuffle up to this k
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
@@ -61,15 +63,10 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts)
 
 
-# Level widths: a minute-sized step, then at most 2^20 children per level.
 def time_levels(ts: Column, order: Column) -> list[Column]:
+    """A minute-sized step, the exact time with the coarse place of the row, the row."""
     us = micros(ts)
-    return [
-        F.shiftright(us, 26),
-        F.shiftright(us, 6),
-        F.struct(us.alias("us"), F.shiftright(order, 20).alias("chunk")),
-        order,
-    ]
+    return [F.shiftright(us, 26), F.struct(us.alias("us"), F.shiftright(order, 20).alias("chunk")), order]
 
 
 def order_levels(order: Column) -> list[Column]:
@@ -87,7 +84,8 @@ def rank_boundaries(
     ``levels`` refine the order step by step (later ones break ties of the earlier).
     ``cuts`` maps the row count of a scope to 0-based ranks. Each level counts rows
     per bucket (with map-side combine) and goes on inside the one bucket holding the
-    rank. Result: scope columns, ``cut`` (number) and ``l0..`` (the key at the rank);
+    rank. The buckets found are written between levels: they are few, and with their size
+    known the next level joins them without moving the rows. Result: scope columns, ``cut`` (number) and ``l0..`` (the key at the rank);
     no row for a rank outside the scope.
     """
     keys, base = keyed(df, scope)
@@ -111,6 +109,7 @@ def rank_boundaries(
         .select(*keys, F.col("_w.cut").alias("cut"), "l0", (F.col("_w.rank") - lo).alias("_rest"))
     )
     for i in range(1, len(levels)):
+        found = settle(found, "ranks")
         prefix, name = names[:i], names[i]
         group = [*keys, "cut", *prefix, "_rest"]
         counts = base.join(found, [*keys, *prefix]).groupBy(*group, name).agg(F.count("*").alias("_c"))
@@ -121,15 +120,14 @@ def rank_boundaries(
             .filter((F.col("_rest") >= lo) & (F.col("_rest") < F.col("_hi")))
             .select(*keys, "cut", *names[: i + 1], (F.col("_rest") - lo).alias("_rest"))
         )
-    return unkeyed(found.select(*keys, "cut", *names), scope)
+    return unkeyed(settle(found.select(*keys, "cut", *names), "ranks"), scope)
 
 
 def head_per_scope(df: DataFrame, scope: Sequence[str], order: str, n: int) -> DataFrame:
-    """The first ``n`` rows of every scope, for any ``n``."""
+    """The first ``n`` rows of every scope, for any ``n``: rows up to the n-th place,
+    which is looked up first, so nothing is sorted."""
     if not scope:
         return df.orderBy(order).limit(n)
-    if n <= GROUP_LIMIT:
-        return top_k(df, scope, [F.col(order)], n, rank="_rank", spread_on=[order]).drop("_rank")
     levels = order_levels(F.col(order))
     ends = rank_boundaries(df, scope, levels, lambda total: [F.least(F.lit(n), total) - 1])
     last = ends.select(*scope, F.col(f"l{len(levels) - 1}").alias("_last"))

@@ -43,6 +43,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/voxrisk/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def settle(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a result that should be small and read it back.
+
+    The planner then knows its real size: a join broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles above, so the large side is not
+    moved just to find out."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable checkpoint storage and continue from there.
 
