@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxrisk.functions import scoring as sc
 from voxrisk.functions import text as tx
 from voxrisk.operators.scaling import keyed, top_k, unkeyed
+from voxrisk.session import cut_lineage
 
 OTHER_TOPIC = "其他"
 
@@ -55,7 +56,7 @@ def keywords_tfidf(df: DataFrame, scope: Sequence[str], stopwords: Sequence[str]
 
     Inside a scope the share tf / total tokens is weighted.
     """
-    counts = corpus_counts(df, scope, stopwords)
+    counts = cut_lineage(corpus_counts(df, scope, stopwords))  # read three times below, the text once
     docs = df.agg(F.count("*").alias("docs")).scalar()
     if scope:
         corpus = counts.groupBy("token").agg(F.sum("df").alias("_df"))
@@ -73,7 +74,8 @@ def keywords_tfidf(df: DataFrame, scope: Sequence[str], stopwords: Sequence[str]
 def keywords_per_row(df: DataFrame, stopwords: Sequence[str], k: int = 10) -> DataFrame:
     """Ten best tokens of every comment by tf * ln(docs / df)."""
     per_row = token_rows(df, ["ord"], stopwords).groupBy("ord", "token").agg(F.count("*").alias("tf"))
-    corpus = per_row.groupBy("token").agg(F.count("*").alias("_df"))
+    present = df.select(F.explode_outer(F.array_distinct(tx.tokens(F.col("content")))).alias("token"))
+    corpus = present.filter(F.col("token").isNotNull()).groupBy("token").agg(F.count("*").alias("_df"))
     docs = df.agg(F.count("*").alias("docs")).scalar()
     weight = F.round(F.col("tf") * F.ln(docs / F.col("_df")), 9)
     scored = per_row.join(corpus, "token").select("ord", "token", weight.alias("weight"))
