@@ -81,9 +81,7 @@ def _user_name() -> Column:
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # both sides are large at scale and meet by document; dealing the text out by that
-    # key first also spreads the work when the file comes as a single piece
-    docs = table(spark, sf_dir, "documents").repartition("doc_id")
+    docs = table(spark, sf_dir, "documents")
     events = table(spark, sf_dir, "events").select(
         "event_id", F.col("user_id").alias("e_user"), "ts", "value"
     )
@@ -92,8 +90,10 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     # never by author, of whom one may have written much of the table
     authored = events.join(people, F.col("e_user") == people.c_custkey, "left").drop("c_custkey")
     reply = F.col("doc_id") % 5 == 4
+    # a merge join deals the text out by document, as it must be when both sides are large,
+    # and keeps the costly work parallel also where the file is a single piece
     return (
-        docs.join(authored, docs.doc_id == authored.event_id)
+        docs.join(authored.hint("merge"), docs.doc_id == authored.event_id)
         .select(
             F.col("doc_id").cast("string").alias("comment_id"),
             _platform(F.col("lang")).alias("platform"),
