@@ -7,6 +7,26 @@ import re
 from voxrisk.llm import licenses
 
 
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def near_duplicates_sql() -> str:
+    return f"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) ELSE w END AS s FROM tokens
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n_a, b.n AS n_b, count(*) AS c FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM shared WHERE 100 * c >= 80 * (n_a + n_b - c)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)
+"""
+
+
 def chat_sql() -> str:
     coded = lambda x: f"replace(replace(replace({x}, '\\', '\\b'), '<', '\\l'), '>', '\\g')"
     return f"""
