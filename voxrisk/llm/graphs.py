@@ -15,10 +15,11 @@ def narrow(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
 
     The ids set bits in a bitmap of fixed size, which is broadcast. A row whose bit is not set is surely not
     among them; some others pass as well, so an exact join has to follow where that matters."""
-    return _marked(rows, key, ids, id_col).where("_maybe").select(*rows.columns)
+    return maybe_among(rows, key, ids, id_col).where("_maybe").select(*rows.columns)
 
 
-def _marked(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+def maybe_among(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows with ``_maybe``: false if the key is surely not among ``ids``, by a bitmap of fixed size."""
     spot = lambda c: F.pmod(F.xxhash64(F.lit(5), F.col(c)), F.lit(BITMAP_WORDS * 64))
     word, bit = (lambda c: F.floor(spot(c) / 64).cast("int")), (lambda c: (spot(c) % 64).cast("int"))
     bits = ids.select(word(id_col).alias("_word"), bit(id_col).alias("_bit"))
@@ -29,7 +30,7 @@ def _marked(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame
 
 def without(rows: DataFrame, key: str, gone: DataFrame, id_col: str) -> DataFrame:
     """Rows whose key is not among ``gone``; only those that may be among them are moved for an exact anti-join."""
-    maybe = _marked(rows, key, gone, id_col)
+    maybe = maybe_among(rows, key, gone, id_col)
     sure = maybe.where(~F.col("_maybe")).select(*rows.columns)
     rest = maybe.where("_maybe").select(*rows.columns).join(gone.select(F.col(id_col).alias(key)), key, "left_anti").select(*rows.columns)
     return sure.unionByName(rest)

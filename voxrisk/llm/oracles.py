@@ -27,6 +27,36 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id
 """
 
 
+# DuckDB counts edits in bytes: letters of the corpus beyond ASCII are given codes of one byte that no text has.
+ONE_BYTE = [*range(1, 9), 11, 12, *range(14, 32), 127]
+
+
+def line_dedup_sql() -> str:
+    letters = sorted(set("äöüßàâçèéêíñóÄÖÜÀÂÇÈÉÊÍÑÓáÁúÚ"))[:len(ONE_BYTE)]
+    narrow = lambda x: f"translate({x}, '{''.join(letters)}', {' || '.join(f'chr({c})' for c in ONE_BYTE[:len(letters)])})"
+    return f"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents
+), rows_ AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) AS pos FROM parts
+), lines AS (SELECT *, trim(raw) AS line FROM rows_
+), known AS (
+  SELECT line, doc_id AS d, pos AS p, length(line) AS len, least(2, length(line) // 20) AS edits, {narrow('line')} AS thin
+  FROM lines WHERE line <> '' QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) = 1
+), links AS (
+  SELECT s.line AS a, l.line AS b, s.d AS d_a, s.p AS p_a, l.d AS d_b, l.p AS p_b FROM known s JOIN known l
+  ON l.len BETWEEN s.len AND s.len + s.edits AND s.line <> l.line AND s.edits > 0 AND levenshtein(s.thin, l.thin) <= s.edits
+), later AS (
+  SELECT a AS line FROM links WHERE (d_b, p_b) < (d_a, p_a) UNION SELECT b FROM links WHERE (d_a, p_a) < (d_b, p_b)
+), judged AS (
+  SELECT l.doc_id, l.pos, l.raw, l.line <> '' AS text, later.line IS NOT NULL AS near,
+    later.line IS NULL AND l.line <> '' AND (l.doc_id, l.pos) <> (known.d, known.p) AS exact
+  FROM lines l LEFT JOIN known USING (line) LEFT JOIN later USING (line)
+)
+SELECT doc_id, count(*) FILTER (WHERE text)::BIGINT AS n_lines, count(*) FILTER (WHERE exact)::BIGINT AS n_exact, count(*) FILTER (WHERE near)::BIGINT AS n_near,
+  md5(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT exact AND NOT near), '')) AS kept_md5
+FROM judged GROUP BY doc_id
+"""
+
+
 def chat_sql() -> str:
     coded = lambda x: f"replace(replace(replace({x}, '\\', '\\b'), '<', '\\l'), '>', '\\g')"
     return f"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxrisk.llm import chat, licenses, minhash, oracles, quality, sharding
+from voxrisk.llm import chat, licenses, lines, minhash, oracles, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+@query("op4_line_dedup", oracles.line_dedup_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 @query("op7_sharding")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_size(table(spark, sf_dir, "documents"))

@@ -13,7 +13,7 @@ RANGES_PER_SHARD = 64  # first cut; a hundredth of a shard is then the unit of b
 RANGE_BYTES = 64 << 20  # a range is sorted by one task, so it may not grow with the data
 RANGE_ROWS = 200_000
 SAMPLES_PER_RANGE = 32
-FIRST = -(1 << 63)
+FIRST = -(1 << 63)  # smallest long, for what comes before all keys
 
 
 def ranges_below(bounds: Column, key: Column, most: int) -> Column:
