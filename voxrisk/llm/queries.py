@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxrisk.llm import chat, decontaminate, extract, licenses, lines, minhash, oracles, packing, quality, sharding
+from voxrisk.llm import chat, decontaminate, extract, licenses, lines, minhash, neighbours, oracles, packing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +54,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op6_nearest_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_sharding")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_size(table(spark, sf_dir, "documents"))
