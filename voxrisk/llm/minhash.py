@@ -24,7 +24,13 @@ LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 POSITIONS, CHUNKS, ERRORS = 64, 13, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 PARTS = [list(part) for part in np.array_split(np.arange(POSITIONS), CHUNKS)]
+RUNS = np.array([p[0] for p in PARTS])  # first position of each run
+RUN_OF = np.repeat(np.arange(CHUNKS), [len(p) for p in PARTS])
+SLOTS = RUNS  # number of a run's first index key: one key for each position left out, so as many as positions before
+
 BLOCK = 1 << 16
+#: Buckets of more classes that lie in several components are compared in blocks, others as pairs of rows.
+FEW, BLOCK_MEMBERS, BLOCK_SHINGLES = 24, 1024, 500_000
 
 U = np.uint64
 
@@ -115,18 +121,23 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sig").mapInPandas(read, "key long, rep long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets have 100 * intersection >= percent * union.
-
-    Only texts that occur in a pair are read into sets; the others stay where they are."""
-    wanted = settle(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), "near-ids")
-
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(rep, s): whole shingle sets of the documents whose ids are wanted, and of few others."""
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         with np.errstate(over="ignore"):
             for batch in batches:
                 yield pd.DataFrame({"rep": batch["id"], "s": [shingle_set(t, size, hashes).tobytes() for t in batch["text"]]})
 
+    return narrow(docs, "id", wanted, "rep").mapInPandas(sets, "rep long, s binary")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole sets have 100 * intersection >= percent * union.
+
+    Only texts that occur in a pair are read into sets; the others stay where they are."""
+    wanted = settle(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), "near-ids")
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
@@ -137,13 +148,33 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
                 keep.append(len(x) > 0 and 100 * shared >= percent * (len(both) - shared))
             yield batch.loc[keep, ["a", "b"]]
 
-    found = settle(narrow(docs, "id", wanted, "rep").mapInPandas(sets, "rep long, s binary"), "near-sets")
+    found = settle(_sets(docs, wanted, size), "near-sets")
     with_a = pairs.join(found.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a")
     return with_a.join(found.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
 
 
-def _apart(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes and signatures allow the similarity: signatures differ in at most DISTANCE positions."""
+def _shareable(crossing: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(rep, n, c): size of the set and how many of its shingles occur in another set of those still compared.
+
+    Sets that can't reach the similarity with any other, since too few of their shingles are shared at all, are left out: a
+    copy with many words of its own is refuted here, not in pairs with all the other copies."""
+    reps = settle(crossing.select("rep").distinct(), "near-ids")
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for rep, text in zip(batch["id"], batch["text"]):
+                    yield pd.DataFrame({"x": shingle_set(text, size, hashes).view(np.int64), "rep": rep})
+
+    rows = narrow(docs, "id", reps, "rep").mapInPandas(shingles, "x long, rep long")
+    alone = rows.groupBy("x").agg(F.count("*").alias("sets"), F.min("rep").alias("rep")).where("sets = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    known = reps.join(classes.select("rep", "n"), "rep").join(alone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
+    return known.where(100 * F.col("c") >= percent * F.col("n"))
+
+
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose signatures differ in at most DISTANCE positions."""
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -154,6 +185,63 @@ def _apart(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(near, "a long, b long")
 
 
+def _within_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links of full buckets, by blocks: (a, b) that join different components.
+
+    A bucket is divided by hash so that a block has at most about BLOCK_MEMBERS sets and BLOCK_SHINGLES shingles, and a
+    task compares two blocks. A pair belongs to the first of its common buckets and is compared only there: first by
+    signature distance, then by whole sets, and only while its components are not yet joined in this task. So a large
+    group of similar texts yields few rows, whatever the number of its pairs."""
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("rep", F.lit(41)), F.col("_blocks")).cast("int")
+    dealt = members.withColumn("_blocks", blocks).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select("key", "rep", "component", "n", "c", F.col("_own").alias("own"), F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
+    reps = settle(members.select("rep").distinct(), "near-ids")
+    sets = settle(_sets(docs, reps, size), "near-sets")
+    rows = dealt.join(sets, "rep").join(classes.select("rep", "sig"), "rep")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("rep").sort_values(["own", "rep"])
+        rep, component, n, c, own = (rows[x].to_numpy() for x in ("rep", "component", "n", "c", "own"))
+        signatures = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), POSITIONS)
+        with np.errstate(over="ignore"):
+            slot = int(np.flatnonzero(index_keys(signatures[:1])[0] == rows["key"].iloc[0])[0])
+        _, flat = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["s"]]), return_inverse=True)
+        start = np.append(0, np.cumsum([len(x) // 8 for x in rows["s"]]))
+        length = np.diff(start)
+        joined = {x: x for x in component.tolist()}
+
+        def root(x: int) -> int:
+            while joined[x] != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
+        found, second = [], own > own[0] if own[0] != own[-1] else None
+        mark = np.zeros(len(flat) and int(flat.max()) + 1, bool)
+        for x in range(len(rows) if second is None else int((~second).sum())):
+            rest = np.arange(x + 1, len(rows)) if second is None else np.flatnonzero(second)
+            common = np.minimum(c[x], c[rest])
+            rest = rest[(component[rest] != component[x]) & (100 * common >= percent * (n[x] + n[rest] - common))]
+            if not len(rest):
+                continue
+            wrong = signatures[rest] != signatures[x]
+            errors = np.add.reduceat(wrong, RUNS, axis=1, dtype=np.int64)
+            first = (errors <= ERRORS).argmax(axis=1)
+            left = np.where(errors[np.arange(len(rest)), first] == 0, 0, (wrong & (RUN_OF[None, :] == first[:, None])).argmax(axis=1) - RUNS[first])
+            rest = rest[(SLOTS[first] + left == slot) & (errors.sum(axis=1) <= DISTANCE)]
+            mine = flat[start[x]:start[x + 1]]
+            mark[mine] = True
+            for y in rest:
+                shared = int(mark[flat[start[y]:start[y + 1]]].sum())
+                if 100 * shared >= percent * (length[x] + length[y] - shared) and root(int(component[x])) != root(int(component[y])):
+                    joined[root(int(component[y]))] = root(int(component[x]))
+                    found.append((rep[x], rep[y]))
+            mark[mine] = False
+        return pd.DataFrame(found, columns=["a", "b"]).astype({"a": np.int64, "b": np.int64})
+
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, star_rounds: int = 3,
 ) -> DataFrame:
@@ -167,8 +255,9 @@ def near_duplicates(
        smallest member is the centre, every class is compared with the centre that shares most buckets
        with it, links are confirmed on whole sets, and buckets that lie in one component are done.
     3. After ``star_rounds`` such rounds, or when one finds nothing, every pair that shares a bucket and still lies in
-       different components is checked: first sizes and signature distance, then whole sets. So each pair of
-       signatures within DISTANCE is either confirmed, refuted or known to be connected.
+       different components is checked: first sizes and signature distance, then whole sets. Large buckets are compared by
+       blocks, which give out links only. So each pair of signatures within DISTANCE is either confirmed, refuted or
+       known to be connected.
 
     Null and empty texts have no set and are linked with nothing. A null id is linked with nothing; its
     component is null and the row is kept. Rows that share an id are one document that has all their texts.
@@ -198,14 +287,21 @@ def near_duplicates(
         groups = settle(components(links).select(F.col("node").alias("rep"), "component"), "near-groups")
 
     crossing = settle(_crossing(members, groups).select("key", "rep", "component"), "near-crossing")
-    sized = crossing.join(classes.select("rep", "n"), "rep")
-    other = sized.select("key", F.col("rep").alias("b"), F.col("component").alias("other"), F.col("n").alias("n_b"))
-    meet = sized.join(other, "key").where("rep > b AND component <> other").where(
-        100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+    sized = settle(crossing.join(settle(_shareable(crossing, classes, given, shingle_words, percent), "near-shareable"), "rep"), "near-sized")
+    buckets = sized.groupBy("key").agg(
+        F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("component").alias("_m"), F.max("component").alias("_most")).where("_m < _most")
+    sized = sized.join(settle(buckets.drop("_m", "_most"), "near-open"), "key")
+    few = sized.where(F.col("members") <= FEW)
+    other = few.select("key", F.col("rep").alias("b"), F.col("component").alias("other"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
+    # at most the smaller set's shareable part is common; sets too unlike in size are out by the same measure
+    common = F.least("c", "c_b")
+    meet = few.join(other, "key").where("rep > b AND component <> other").where(100 * common >= percent * (F.col("n") + F.col("n_b") - common))
     pairs = settle(meet.select(F.col("rep").alias("a"), "b").distinct(), "near-pairs")
     both_ways = tested.union(tested.select("b", "a"))
-    pairs = settle(_apart(pairs.join(both_ways, ["a", "b"], "left_anti"), classes, percent), "near-pairs")
-    more = settle(_confirmed(pairs, given, shingle_words, percent), "near-found")
+    pairs = settle(_apart(pairs.join(both_ways, ["a", "b"], "left_anti"), classes), "near-pairs")
+    more = _confirmed(pairs, given, shingle_words, percent).union(
+        _within_buckets(sized.where(F.col("members") > FEW), classes, given, shingle_words, percent))
+    more = settle(more, "near-found")
     if not more.isEmpty():
         links = links.union(more)
         groups = settle(components(links).select(F.col("node").alias("rep"), "component"), "near-groups")
