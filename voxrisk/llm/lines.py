@@ -136,37 +136,51 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD, chars_per_edit: int
     return both.where(close).select("a", "b")
 
 
-def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """(doc, t, exact, near, flags) of every row that loses lines: counts, and for each line number whether the line goes.
+def line_decisions(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, chars_per_edit: int = CHARS_PER_EDIT,
+    min_places: int = 2, spare_copies: bool = False,
+) -> DataFrame:
+    """(doc, t, exact, near, gone) of every row that loses lines: counts, and the sorted numbers of the lines that go.
 
     A line goes as exact if the same line stands earlier, in order of (id, text hash, line number), and as near if its
     first place is later than that of a different line within the edits allowed. The rule looks at direct links only,
-    so long chains of small changes don't fall together."""
+    so long chains of small changes don't fall together. With ``min_places`` over 2, a line of another document goes only if it
+    and the line that it repeats stand in so many places. With ``spare_copies`` lines stay where the row shares two or more with one
+    and the same earlier row: that is a copy of a document, to be judged as a whole. Repeats in one row always go."""
     lines = line_rows(docs, id_col, text_col)
     known = settle(lines.groupBy("k", "k2").agg(F.min(F.struct("doc", "t", "pos")).alias("first"), F.count("*").alias("n")), "line-known")
     links = settle(near_lines(lines, threshold, chars_per_edit), "line-links")
     ends = links.select("a", "b").union(links.select("b", "a"))
-    first = known.select("k", "first")
-    linked = ends.join(first.withColumnRenamed("k", "a").withColumnRenamed("first", "first_a"), "a").join(
-        first.withColumnRenamed("k", "b").withColumnRenamed("first", "first_b"), "b")
-    later = linked.where("first_b < first_a").select(F.col("a").alias("k")).distinct().withColumn("near", F.lit(True))
-    repeated = known.join(later, "k", "left").where("n > 1 OR near")
-    repeated = settle(repeated.select("k", "k2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-repeated")
+    side = lambda x: known.select(F.col("k").alias(x), F.col("first").alias(f"first_{x}"), F.col("n").alias(f"n_{x}"))
+    linked = ends.join(side("a"), "a").join(side("b"), "b").where("first_b < first_a")
+    later = linked.groupBy(F.col("a").alias("k")).agg(F.min("first_b").alias("of"), F.max(F.col("n_a") + F.col("n_b")).alias("places"))
+    repeated = known.join(later, "k", "left").where("n > 1 OR of IS NOT NULL")
+    repeated = settle(repeated.select(
+        "k", "k2", "first", F.coalesce("of", "first").alias("of"), F.coalesce("places", "n").alias("places"), F.col("of").isNotNull().alias("near")), "line-repeated")
     places = narrow(lines.select("doc", "t", "pos", "k", "k2"), "k", repeated, "k").join(repeated, ["k", "k2"])
-    exact = F.struct("doc", "t", "pos") != F.col("first")
-    gone = places.where(exact | F.col("near")).select("doc", "t", "pos", F.when(F.col("near"), F.lit(True)).otherwise(F.lit(False)).alias("near")).distinct()
-    return gone.groupBy("doc", "t").agg(
-        F.count_if(~F.col("near")).alias("exact"), F.count_if("near").alias("near"), F.array_sort(F.collect_list("pos")).alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    gone = places.where((F.struct("doc", "t", "pos") != F.col("first")) | F.col("near")).select("doc", "t", "pos", "near", "places", F.struct("of.doc", "of.t").alias("of")).distinct()
+    by_row = gone.groupBy("doc", "t", "of").agg(F.array_sort(F.collect_list(F.struct("pos", "near", "places"))).alias("rows"))
+    if spare_copies or min_places > 2:
+        inside = F.struct("doc", "t") == F.col("of")
+        common = F.filter("rows", lambda r: r["places"] >= min_places)
+        spared = (F.size("rows") > 1) if spare_copies else F.lit(False)
+        by_row = by_row.withColumn("rows", F.when(inside, F.col("rows")).when(~spared, common).otherwise(F.slice("rows", 1, 0))).where(F.size("rows") > 0)
+    flat = by_row.groupBy("doc", "t").agg(F.flatten(F.collect_list("rows")).alias("rows"))
+    near = F.size(F.filter("rows", lambda r: r["near"]))
+    return flat.select("doc", "t", (F.size("rows") - near).alias("exact"), near.alias("near"), F.array_sort(F.transform("rows", lambda r: r["pos"])).alias("gone"))
+
+
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, chars_per_edit: int = CHARS_PER_EDIT,
+    min_places: int = 2, spare_copies: bool = False,
+) -> DataFrame:
     """``docs`` without repeated lines, with n_lines (blank ones not counted), n_exact and n_near (lines that went).
 
     See line_decisions for the rule. Blank lines stay where they are. A null text stays null, an empty one empty; a
     text of which every line goes becomes empty. Rows with a null id come first in order. Rows with one id and
     one text are one document and are treated alike. Columns named like the three counts are replaced. Jobs run
     when this is called."""
-    decisions = settle(line_decisions(docs, id_col, text_col, threshold, chars_per_edit), "line-decisions")
+    decisions = settle(line_decisions(docs, id_col, text_col, threshold, chars_per_edit, min_places, spare_copies), "line-decisions")
     text = F.coalesce(F.col(text_col), F.lit(""))
     numbered = docs.drop("n_lines", "n_exact", "n_near").withColumn("_doc", F.coalesce(F.col(id_col).cast("bigint"), F.lit(FIRST))).withColumn("_t", F.xxhash64(text))
     found = decisions.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), "exact", "near", "gone")
@@ -186,9 +200,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("exact", F.lit(0)).cast("bigint").alias("n_exact"), F.coalesce("near", F.lit(0)).cast("bigint").alias("n_near"))
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Documents without repeated lines, columns as they came; those that lose all their text go."""
-    out = dedup_lines(docs)
+def drop_repeated_lines(docs: DataFrame, min_places: int = 3) -> DataFrame:
+    """Documents without the lines that the corpus repeats, columns as they came (n_chars counted anew). Documents that
+    are left without any text by that go; copies of whole documents stay whole, for a near-duplicate stage to judge."""
+    out = dedup_lines(docs, min_places=min_places, spare_copies=True)
     emptied = (F.col("n_exact") + F.col("n_near") > 0) & (F.trim("text") == "")
     text = out.where(~emptied)
     if "n_chars" in docs.columns:
