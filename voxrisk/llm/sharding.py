@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ RANGES_PER_SHARD = 64  # first cut; a hundredth of a shard is then the unit of b
 RANGE_BYTES = 64 << 20  # a range is sorted by one task, so it may not grow with the data
 RANGE_ROWS = 200_000
 SAMPLES_PER_RANGE = 32
+ID_BITS = 24
 FIRST = -(1 << 63)  # smallest long, for what comes before all keys
 
 
@@ -27,28 +29,24 @@ def ranges_below(bounds: Column, key: Column, most: int) -> Column:
 
 def _splitters(drawn: DataFrame, into: Column, keys: list[str]) -> DataFrame:
     """Weighted quantiles of drawn keys: the first key of each of ``into`` parts of a range but the first part."""
-    ordered = Window.partitionBy(*keys).orderBy("g", "h")
+    ordered = Window.partitionBy(*keys).orderBy("s")
     whole = Window.partitionBy(*keys)
-    at = drawn.withColumn("_end", F.sum("w").over(ordered)).withColumn("_all", F.sum("w").over(whole))
+    at = drawn.withColumn("_end", F.sum("w").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("w").over(whole))
     part = F.least(F.floor((F.col("_end") - F.col("w") / 2) * into / F.col("_all")), into - 1)
-    return at.withColumn("_part", part).groupBy(*keys, "_part").agg(F.min(F.struct("g", "h")).alias("k")).where("_part > 0")
+    return at.withColumn("_part", part).groupBy(*keys, "_part").agg(F.min("s").alias("s")).where("_part > 0")
 
 
-def _as_bounds(found: DataFrame) -> list[tuple[int, int]]:
+def _as_bounds(found: DataFrame) -> list[int]:
     """Sorted splitters; one per range, so their number is bounded by the ranges asked for.
 
-    A key value that is cut once is not cut at all: its rows stay together behind the splitter."""
-    pairs = sorted({(r.k.g, r.k.h) for r in found.select("k").collect()})
-    values = [g for g, _ in pairs]
-    return sorted({(g, h if values.count(g) > 1 else FIRST) for g, h in pairs})
+    A text that is cut once is not cut at all: its rows stay together behind the splitter."""
+    keys = {r.s for r in found.select("s").collect()}
+    texts = Counter(s >> ID_BITS for s in keys)
+    return sorted({s if texts[s >> ID_BITS] > 1 else s >> ID_BITS << ID_BITS for s in keys})
 
 
-def _literal(bounds: list[tuple[int, int]]) -> Column:
-    if not bounds:
-        return F.expr("CAST(array() AS ARRAY<STRUCT<g: BIGINT, h: BIGINT>>)")
-    return F.arrays_zip(
-        F.array(*[F.lit(g).cast("bigint") for g, _ in bounds]).alias("g"), F.array(*[F.lit(h).cast("bigint") for _, h in bounds]).alias("h")
-    ).cast("array<struct<g:bigint,h:bigint>>")
+def _literal(bounds: list[int]) -> Column:
+    return F.array(*[F.lit(s).cast("bigint") for s in bounds]).cast("array<bigint>")
 
 
 def shard_by_size(
@@ -68,9 +66,12 @@ def shard_by_size(
     null id or text count like others; repeated rows are all kept and get slots of their own. An
     empty table gives no rows. Other columns are not read. Sampling jobs run when this is called."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    by_text, by_id = F.xxhash64(text), F.xxhash64(F.col(id_col), F.lit(7))
     keys = settle(docs.select(
         F.col(id_col), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("g"), F.xxhash64(F.col(id_col), F.lit(7)).alias("h"),
+        by_text.alias("g"), by_id.alias("h"),
+        # what is sampled and compared: the leading bits of the text's hash, then those of the id's
+        F.shiftleft(F.shiftright(by_text, ID_BITS), ID_BITS).bitwiseOR(F.shiftrightunsigned(by_id, 64 - ID_BITS)).alias("s"),
     ), "shard-keys")
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     n_ranges = max(n_shards * ranges_per_shard, math.ceil(total / range_bytes), math.ceil(rows / range_rows))
@@ -85,15 +86,15 @@ def shard_by_size(
     bounds = _as_bounds(_splitters(drawn, F.lit(n_ranges), ["r"]))
 
     for _ in range(8):
-        ranged = keys.withColumn("r", ranges_below(_literal(bounds), F.struct("g", "h"), len(bounds)))
-        totals = settle(ranged.groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.count_distinct("h").alias("keys")), "shard-ranges")
+        ranged = keys.withColumn("r", ranges_below(_literal(bounds), F.col("s"), len(bounds)))
+        totals = settle(ranged.groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), (F.min("s") < F.max("s")).alias("divisible")), "shard-ranges")
         most_bytes, most_rows = 2 * max(per_range, 1), 2 * max(range_rows, rows / n_ranges)
-        over = totals.where(((F.col("bytes") > most_bytes) | (F.col("n") > most_rows)) & (F.col("keys") > 1) & (F.col("n") > 8))
+        over = totals.where(((F.col("bytes") > most_bytes) | (F.col("n") > most_rows)) & F.col("divisible"))
         over = over.withColumn("into", F.greatest(F.ceil(F.col("bytes") / per_range), F.ceil(F.col("n") / range_rows), F.lit(2)))
         mixed = F.col("size") / F.col("bytes") + 1 / F.col("n")  # divides bytes and rows alike
         again = ranged.join(over, "r")
         more = _splitters(draw(again, mixed, 2 / (F.col("into") * samples_per_range)), F.col("into"), ["r", "into"])
-        new = {(x.k.g, x.k.h) for x in more.select("k").collect()} - set(bounds)
+        new = {x.s for x in more.select("s").collect()} - set(bounds)
         if not new:
             break
         bounds = sorted(set(bounds) | new)
