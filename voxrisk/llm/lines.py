@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from voxrisk.llm.sharding import FIRST, ranges_below
 from voxrisk.session import settle
 
 THRESHOLD = 2
+LETTERS = "etanoirshdlu"  # frequent in the languages of the corpus; any twelve keep the result
+PAIRS_PER_TASK = 1000
 CHARS_PER_EDIT = 20  # lines under 20 code points have to be equal, under 40 differ in one edit at most
 
 
@@ -117,22 +121,49 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("line", F.trim("line")).where("line <> ''").withColumn("k", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(9), "line"))
 
 
+def letter_counts(line: Column) -> Column:
+    """How often each of twelve letters occurs, modulo 32, packed into a long."""
+    packed = F.lit(0).cast("bigint")
+    for i, letter in enumerate(LETTERS):
+        count = (F.length(line) - F.length(F.replace(line, F.lit(letter)))) % 32
+        packed = packed.bitwiseOR(F.shiftleft(count.cast("bigint"), 5 * i))
+    return packed
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """Sum of the differences of letter counts; an edit changes it by two at most."""
+    total = F.lit(0)
+    for i in range(len(LETTERS)):
+        count = lambda x: F.shiftright(x, 5 * i).bitwiseAND(F.lit(31).cast("bigint"))  # noqa: E731, B023
+        apart = F.abs(count(a) - count(b))
+        total = total + F.least(apart, 32 - apart)
+    return total
+
+
 def near_lines(lines: DataFrame, threshold: int = THRESHOLD, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """Links (a, b) of line hashes k whose texts differ but lie within the edits allowed. ``lines``: line, k.
+    """Links (a, b) of line hashes k whose texts differ but lie within the edits allowed. ``lines``: line, k, each text once.
 
-    Index and probe keys are joined on their hash without the texts; only lines that have a candidate are fetched."""
+    Index and probe keys are joined on their hash without the texts. Pairs whose letter counts alone tell that they
+    are further apart are dropped by the join itself, so many lines that share a segment but differ elsewhere make few rows.
+    Only lines that have a candidate are fetched and compared."""
     length = F.length("line")
-    keyed = lambda keys: lines.where(length >= chars_per_edit).select("k", F.explode(keys(F.col("line"), length, threshold, chars_per_edit)).alias("key")).distinct()
+    long_enough = lines.where(length >= chars_per_edit).withColumn("counts", letter_counts(F.col("line")))
+    keyed = lambda keys: long_enough.select("k", "counts", F.explode(keys(F.col("line"), length, threshold, chars_per_edit)).alias("key"))
     index, probes = keyed(index_keys), keyed(probe_keys)
-    met = index.join(probes.select("key", F.col("k").alias("other")), "key").where("k <> other")
+    other = probes.select("key", F.col("k").alias("other"), F.col("counts").alias("other_counts"))
+    near = (F.col("k") != F.col("other")) & (counts_apart(F.col("counts"), F.col("other_counts")) <= 2 * threshold)
+    met = index.join(other, "key").where(near)
     pairs = settle(met.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
     texts = settle(narrow(lines.select("k", "line"), "k", wanted, "w").distinct(), "line-texts")
     both = pairs.join(texts.select(F.col("k").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("line").alias("y")), "b")
+    both = both.repartition(max(1, math.ceil(pairs.count() / PAIRS_PER_TASK)))  # little data, but much work
     allowed = edits_allowed(F.least(F.length("x"), F.length("y")), threshold, chars_per_edit)
     close = F.lit(False)
     for edits in range(1, threshold + 1):
-        close = F.when(allowed == edits, within_edits(F.col("x"), F.col("y"), edits)).otherwise(close)
+        # Spark's compiled distance gives up early on pairs that are far apart; what it lets through the bits decide
+        apart = F.levenshtein("x", "y", edits) < 0
+        close = F.when(allowed == edits, ~apart & within_edits(F.col("x"), F.col("y"), edits)).otherwise(close)
     return both.where(close).select("a", "b")
 
 
@@ -149,7 +180,10 @@ def line_decisions(
     and the same earlier row: that is a copy of a document, to be judged as a whole. Repeats in one row always go."""
     lines = line_rows(docs, id_col, text_col)
     known = settle(lines.groupBy("k", "k2").agg(F.min(F.struct("doc", "t", "pos")).alias("first"), F.count("*").alias("n")), "line-known")
-    links = settle(near_lines(lines, threshold, chars_per_edit), "line-links")
+    # lines that stand in one place need no grouping, and most do
+    marked = maybe_among(lines.select("line", "k"), "k", known.where("n > 1"), "k")
+    once = marked.where("NOT _maybe").select("line", "k").unionByName(marked.where("_maybe").select("line", "k").distinct())
+    links = settle(near_lines(once, threshold, chars_per_edit), "line-links")
     ends = links.select("a", "b").union(links.select("b", "a"))
     side = lambda x: known.select(F.col("k").alias(x), F.col("first").alias(f"first_{x}"), F.col("n").alias(f"n_{x}"))
     linked = ends.join(side("a"), "a").join(side("b"), "b").where("first_b < first_a")
