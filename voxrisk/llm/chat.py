@@ -39,22 +39,20 @@ def reply_paths(links: DataFrame) -> DataFrame:
     links = links.select("tree", "node", "parent")
     here = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_there"))
     jump = settle(
-        links.join(here, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_there"), F.col("parent")).alias("above")), "reply-jump"
-    )
-    leaves = jump.select("tree", "node").join(
-        jump.where(F.col("above").isNotNull()).select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
+        links.join(here, ["tree", "parent"]).where("_there").select("tree", "node", F.col("parent").alias("above")), "reply-jump")
+    answered = jump.select("tree", F.col("above").alias("node")).distinct()
+    leaves = links.select("tree", "node").join(answered, ["tree", "node"], "left_anti")
     paths = settle(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up")), "reply-paths")
-    rounds = math.ceil(math.log2(max(2, jump.count()))) + 1
+    rounds = math.ceil(math.log2(max(2, links.count()))) + 1
     for k in range(rounds):
-        climbing = jump.where(F.col("above").isNotNull())
-        if climbing.isEmpty():
+        if jump.isEmpty():
             return paths
-        higher = paths.join(climbing, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        higher = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         paths = settle(paths.unionByName(higher), "reply-paths")
+        # only nodes that have an ancestor so far above stay in the table
         step = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("_next"))
-        jump = settle(jump.join(step, ["tree", "above"], "left").select("tree", "node", F.col("_next").alias("above")), "reply-jump")
-    endless = jump.where(F.col("above").isNotNull()).select("tree", F.col("node").alias("leaf"))
-    return paths.join(endless, ["tree", "leaf"], "left_anti")
+        jump = settle(jump.join(step, ["tree", "above"]).select("tree", "node", F.col("_next").alias("above")), "reply-jump")
+    return paths.join(jump.select("tree", F.col("node").alias("leaf")), ["tree", "leaf"], "left_anti")
 
 
 def choose_paths(paths: DataFrame, scores: DataFrame, best: int = 1) -> DataFrame:
