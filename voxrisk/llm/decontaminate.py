@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from voxrisk.llm.graphs import without
 from voxrisk.session import settle
 
-WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 #: A passage is PASSAGE words, the next begins STEP words later: PASSAGE - STEP words in a row always lie in one passage.
 PASSAGE, STEP = 160, 80
 #: Items of more words are indexed in pieces of so many, so that a piece fits into one passage.
 ITEM_WORDS = 80
 #: Share of an item's own BM25 score that a passage has to reach.
-SCORE_SHARE = 0.5
+SCORE_SHARE = 0.6
 #: Share of the word triples of the question, and of the answer, that the passage has to hold.
 OVERLAP = 0.6
 BLOCK = 16  # postings of one block
@@ -68,10 +68,18 @@ class Index:
     postings: list[np.ndarray]  # pieces by word
     weights: list[np.ndarray]
     most: np.ndarray  # largest weight by word
-    ranges: np.ndarray  # largest weight by word and range of RANGE pieces, for the first screening
+    #: Telling words by number. The others, found in more than LIGHT of all pieces, can add ``light`` to a range at most.
+    telling: dict[str, int]
+    light: np.ndarray
+    #: Largest weight by word and range of RANGE pieces: for word t the entries begin[t] to begin[t + 1].
+    begin: np.ndarray
+    range_of: np.ndarray
+    range_most: np.ndarray
+    n_ranges: int
 
 
-RANGE = 64
+RANGE = 2
+LIGHT = 0.05
 
 
 def build_index(pieces: list[tuple[int, list[str], list[str]]], idf: dict[str, float], mean_words: float) -> Index:
@@ -88,14 +96,28 @@ def build_index(pieces: list[tuple[int, list[str], list[str]]], idf: dict[str, f
                 words[w] = len(posted)
                 posted.append([])
             posted[words[w]].append((p, x / own))
-    ranges = np.zeros((len(posted), -(-max(1, len(pieces)) // RANGE)), np.float32)
-    for t, rows in enumerate(posted):
+    begin, range_of, range_most = [0], [], []
+    for rows in posted:
+        most: dict[int, float] = {}
         for p, x in rows:
-            ranges[t, p // RANGE] = max(ranges[t, p // RANGE], x * (1 + 1e-6))
+            most[p // RANGE] = max(most.get(p // RANGE, 0.0), x)
+        range_of += most
+        range_most += most.values()
+        begin.append(len(range_of))
+    few = max(3, LIGHT * len(pieces))
+    telling = {w: t for w, t in words.items() if len(posted[t]) <= few}
+    light = np.zeros(len(pieces) // RANGE + 1)
+    rest = [0.0] * len(pieces)
+    for w, t in words.items():
+        if w not in telling:
+            for p, x in posted[t]:
+                rest[p] += x
+    for p, x in enumerate(rest):
+        light[p // RANGE] = max(light[p // RANGE], x)
     return Index(
         [x[0] for x in pieces], [triples(x[1]) for x in pieces], [triples(x[2]) for x in pieces], words,
         [np.array([p for p, _ in rows]) for rows in posted], [np.array([x for _, x in rows]) for rows in posted],
-        np.array([max(x for _, x in rows) for rows in posted]), ranges)
+        np.array([max(x for _, x in rows) for rows in posted]), telling, light, np.array(begin), np.array(range_of, np.int64), np.array(range_most), len(pieces) // RANGE + 1)
 
 
 def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -148,24 +170,38 @@ def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[tup
                 x[3] = bisect_left(x[0], after, x[3])
 
 
-def passages(n_words: int) -> list[tuple[int, int]]:
-    """(start, end) of the passages of a text of so many words; the last one ends with the text."""
-    starts = range(0, max(1, n_words - PASSAGE + STEP), STEP)
-    return [(s, min(n_words, s + PASSAGE)) for s in starts]
-
-
-def screened(index: Index, terms: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which queries could reach the threshold: the largest weights in some range of pieces sum to it."""
-    if not terms:
-        return np.zeros(0, bool)
-    at = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    flat = np.concatenate(terms)
-    if not len(flat):
-        return np.zeros(len(terms), bool)
-    out = np.zeros(len(terms), bool)
-    for r in range(index.ranges.shape[1]):
-        out |= np.bincount(at, index.ranges[flat, r], len(terms)) >= threshold - 1e-5
-    return out
+def passage_terms(texts: list[list[str]], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct known words of every passage: (text, first word, at, term), ``at`` being the passage of each term.
+
+    Passage i of a text begins at word i * STEP and has PASSAGE = 2 * STEP words, the last one ends with the text."""
+    n = np.array([len(words) for words in texts], np.int64)
+    many = np.maximum(1, -(-(n - PASSAGE + STEP) // STEP))
+    base = np.append(0, np.cumsum(many))
+    number = known.get
+    terms = np.array([number(w, -1) for words in texts for w in words], np.int32)
+    text = np.repeat(np.arange(len(texts)), n)
+    place = np.arange(len(terms)) - np.repeat(np.cumsum(n) - n, n)
+    hit = terms >= 0
+    terms, text, place = terms[hit].astype(np.int64), text[hit], place[hit]
+    keys = []
+    for back in range(PASSAGE // STEP):
+        i = place // STEP - back
+        fits = (i >= 0) & (i < many[text])
+        keys.append((base[text[fits]] + i[fits]) * (len(known) + 1) + terms[fits])
+    keys = np.unique(np.concatenate(keys))
+    spans, term = np.divmod(keys, len(known) + 1)
+    span = np.arange(base[-1])
+    owner = np.repeat(np.arange(len(texts)), many)
+    return owner, (span - base[owner]) * STEP, spans, term
+
+
+def screened(index: Index, at: np.ndarray, term: np.ndarray, passages: int, threshold: float) -> np.ndarray:
+    """Passages that could reach the threshold: in some range of pieces the largest weights of their telling words, and
+    all that other words can add there, sum to it."""
+    count = index.begin[term + 1] - index.begin[term]
+    entry = np.repeat(index.begin[term] - np.cumsum(count) + count, count) + np.arange(count.sum())
+    reach = np.bincount(np.repeat(at, count) * index.n_ranges + index.range_of[entry], index.range_most[entry], passages * index.n_ranges)
+    return np.flatnonzero((reach.reshape(passages, -1) + index.light >= threshold - 1e-9).any(axis=1))
 
 
 def item_pieces(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -241,21 +277,15 @@ def _search(docs: DataFrame, spark: SparkSession, rows: list, n: int, mean_words
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, item_of = shared.value
-        known = index.words
         for batch in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            spans = [(d, s, e) for d, words in enumerate(texts) for s, e in passages(len(words))]
-            numbers = [[known.get(w, -1) for w in words] for words in texts]
-            terms = []
-            for d, s, e in spans:
-                here = set(numbers[d][s:e])
-                here.discard(-1)
-                terms.append(np.fromiter(here, np.int64, len(here)))
+            owner, first, at, term = passage_terms(texts, index.telling)
             best: dict[tuple[int, int], tuple] = {}
-            for k in np.flatnonzero(screened(index, terms, share)):
-                d, s, e = spans[k]
-                passage = texts[d][s:e]
-                for piece, score in block_max_wand(index, terms[k].tolist(), share):
+            for k in screened(index, at, term, len(owner), share):
+                d, s = int(owner[k]), int(first[k])
+                passage = texts[d][s:s + PASSAGE]
+                terms = sorted({index.words[w] for w in passage if w in index.words})
+                for piece, score in block_max_wand(index, terms, share):
                     q, a = held(index.questions[piece], passage), held(index.answers[piece], passage)
                     if min(q, a) >= overlap:
                         key, value = (d, index.items[piece]), (min(q, a), score, -s, q, a)
