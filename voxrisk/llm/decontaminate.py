@@ -183,13 +183,14 @@ def passage_terms(texts: list[list[str]], known: dict[str, int]) -> tuple[np.nda
     place = np.arange(len(terms)) - np.repeat(np.cumsum(n) - n, n)
     hit = terms >= 0
     terms, text, place = terms[hit].astype(np.int64), text[hit], place[hit]
+    width = max(known.values(), default=0) + 1
     keys = []
     for back in range(PASSAGE // STEP):
         i = place // STEP - back
         fits = (i >= 0) & (i < many[text])
-        keys.append((base[text[fits]] + i[fits]) * (len(known) + 1) + terms[fits])
+        keys.append((base[text[fits]] + i[fits]) * width + terms[fits])
     keys = np.unique(np.concatenate(keys))
-    spans, term = np.divmod(keys, len(known) + 1)
+    spans, term = np.divmod(keys, width)
     span = np.arange(base[-1])
     owner = np.repeat(np.arange(len(texts)), many)
     return owner, (span - base[owner]) * STEP, spans, term
