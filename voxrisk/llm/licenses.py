@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -181,7 +182,7 @@ def scan_licenses(
             out["k"] = batch["k"].to_numpy()
             yield out.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(docs[id_col].alias("k"), docs[text_col].alias("t")).mapInPandas(
-        scan, f"k {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, spans string, score double")
-    return found.withColumnRenamed("k", id_col)
+    # ids go through pandas as text, which has room for a null beside large numbers
+    found = docs.select(docs[id_col].cast("string").alias("k"), docs[text_col].alias("t")).mapInPandas(
+        scan, "k string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, spans string, score double")
+    return found.withColumn("k", F.col("k").cast(docs.schema[id_col].dataType)).withColumnRenamed("k", id_col)

@@ -107,7 +107,7 @@ def _prepared(docs: DataFrame, size: int) -> DataFrame:
                 out.insert(0, "id", batch["id"].to_numpy())
                 yield out
 
-    return docs.mapInPandas(read, "id long, n long, d1 long, d2 long, sig binary")
+    return docs.mapInPandas(read, "id string, n long, d1 long, d2 long, sig binary")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -263,7 +263,10 @@ def near_duplicates(
     component is null and the row is kept. Rows that share an id are one document that has all their texts.
     Other columns are not read. Jobs run when this is called."""
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prepared = settle(_prepared(given, shingle_words), "near-prepared")
+    # ids go through pandas as text, which has room for a null beside large numbers
+    prepared = _prepared(given.withColumn("id", F.col("id").cast("string")), shingle_words).withColumn("id", F.col("id").cast("long"))
+    prepared = settle(prepared, "near-prepared")
+    given = given.where(F.col("id").isNotNull())
     classes = settle(
         prepared.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.min("sig").alias("sig")), "near-classes")
     keys = _keys(classes)

@@ -167,7 +167,10 @@ def pack_documents(
 
     Null and empty texts are a piece with ``end_id`` alone. Null ids and repeated rows are packed like all others; other
     columns are not read. An empty table gives no rows. Jobs run when this is called."""
-    pieces = settle(tokenized_pieces(docs, id_col, text_col, vocabulary, capacity, end_id, with_ids), "pack-pieces")
+    kind = docs.schema[id_col].dataType
+    # ids go through pandas as text, which has room for a null beside large numbers
+    named = docs.select(F.col(id_col).cast("string").alias(id_col), text_col)
+    pieces = settle(tokenized_pieces(named, id_col, text_col, vocabulary, capacity, end_id, with_ids), "pack-pieces")
     columns = pieces.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", block int, bin int, offset long, fill long"
 
@@ -194,7 +197,7 @@ def pack_documents(
         kept = packed.select(*columns, number, "offset") if blocks == 1 else packed.where(~loose).select(*columns, number, "offset")
         done = kept if done is None else done.unionByName(kept)
         if blocks == 1:
-            return done.withColumnRenamed("id", id_col)
+            return done.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
         todo, level = packed.where(loose).select(*columns), level + 1
         fewer = todo.count()
         # sequences that stay badly filled come back each time; they are halved at least by dealing fewer blocks
