@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 
+from voxrisk.operators import filters, topics
 from voxrisk.sources import parsers, readers
 
 BILI = [
@@ -63,7 +64,7 @@ def test_tieba_reads_both_reply_shapes(spark, feed):
     assert [(r["comment_id"], r["user_name"], r["content"]) for r in rows] == [
         ("144540649992", "呆唯", "xxx"), ("144540649992_sub_0", "匿名", "顶"), ("144540649992_sub_1", "新", "新形")]
     assert rows[0]["publish_time"] is not None and rows[1]["publish_time"] is None
-    assert rows[0]["user_id"] == "未知id" and rows[0]["like_count"] == 0 and rows[0]["reply_count"] == 2
+    assert rows[0]["user_id"] == "" and rows[0]["like_count"] == 0 and rows[0]["reply_count"] == 2
 
 
 def test_zhihu_and_douyin(spark, feed):
@@ -104,3 +105,40 @@ def test_csv_json_round_trip(spark, tmp_path):
     assert back[0].t == 'a,"b"\nc' and back[0].l == '["x","y"]'
     (tmp_path / "a.json").write_text('[{"k": 1}, {"k": 2}]')
     assert sorted(r.k for r in readers.scan_json_array(spark, str(tmp_path / "a.json"), "k INT").collect()) == [1, 2]
+
+
+def test_field_types_vary(spark, tmp_path):
+    folder = tmp_path / "bili_x"
+    folder.mkdir()
+    lines = [
+        '{"comment": "a", "like": "5", "ctime": "1771303006", "user": {"name": "n", "level": "3", "mid": 77}}', '{"comment": "b", "like": 1.5, "user": "plain"}',
+        '{"comment": "c", "like": "1.2 万", "user": null, "replies": "none"}', '{"comment": "d", "like": {"x": 1}, "user": ["y"]}', '{"comment": 7}', '[1]', 'no json',
+    ]
+    (folder / "bili_x.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    rows = {r["content"]: r for r in readers.scan_jsonl(spark, str(folder)).collect()}
+    assert set(rows) == {"a", "b", "c", "d", "7"}
+    assert [rows[c]["like_count"] for c in "abcd"] == [5, 1, 0, 0]
+    assert (rows["a"]["user_level"], rows["a"]["user_id"], rows["b"]["user_name"]) == (3, "77", "plain")
+    bad = parsers.bad_records(readers.with_platform(readers.read_lines(spark, str(folder)))).collect()
+    assert {r["line"] for r in bad} == {"[1]", "no json"}
+
+
+def test_rows_are_known_by_file_and_place(spark, tmp_path):
+    for k in range(6):
+        folder = tmp_path / f"zhihu_{k}"
+        folder.mkdir()
+        (folder / "zhihu.jsonl").write_text("\n".join(f'{{"type": "comment", "content": "row{i} file{k}"}}' for i in range(10)), encoding="utf-8")
+    comments = readers.scan_dir(spark, str(tmp_path))
+    assert comments.select("source_file", "ord").distinct().count() == 60
+    keys = topics.keywords_per_row(comments, []).collect()
+    assert len(keys) == 60 and all(t.startswith(("row", "file")) for r in keys for t in r["keywords"]) and {len(r["keywords"]) for r in keys} == {2}
+    for n in (1, 5, 7):
+        assert filters.analysis_limit(comments, ["platform"], n).count() == n
+
+
+def test_many_replies(spark, tmp_path):
+    folder = tmp_path / "bili_y"
+    folder.mkdir()
+    replies = ",".join('{"comment":"r","user":"u"}' for _ in range(70_001))
+    (folder / "bili_y.jsonl").write_text(f'{{"comment":"main","replies":[{replies}]}}', encoding="utf-8")
+    assert readers.scan_jsonl(spark, str(folder)).select("ord").distinct().count() == 70_002

@@ -41,5 +41,6 @@ def preview(df: DataFrame, n: int = 1000) -> DataFrame:
 
 
 def analysis_limit(df: DataFrame, scope: Sequence[str], n: int | None) -> DataFrame:
-    """First ``n`` rows of every scope in file order; all rows without a limit."""
-    return df if n is None else head_per_scope(df, scope, "ord", n)
+    """First ``n`` rows of every scope in file order, rows at one place of several files by file name; all rows
+    without a limit. Looks up the n-th rows when called."""
+    return df if n is None else head_per_scope(df, scope, "ord", n, None if "source_file" in scope else "source_file")

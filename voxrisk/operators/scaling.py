@@ -36,13 +36,12 @@ def top_k(
 
     Groups are cut twice: per (group, salt) and then per group, so a huge group is
     sorted by many tasks and the last one sees ``SALTS * k`` rows. ``spread_on``
-    names columns that differ between rows of a group.
+    names columns that differ between rows of a group. Up to GROUP_LIMIT Spark also cuts
+    before the shuffle; a larger k gives the same rows and moves more.
     """
     if not keys:
         head = df.orderBy(*order).limit(k)
         return head.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
-    if k > GROUP_LIMIT:
-        raise ValueError(f"k={k} is above {GROUP_LIMIT}; use head_per_scope")
     work = df
     if spread_on:
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), F.lit(SALTS)))
@@ -123,15 +122,16 @@ def rank_boundaries(
     return unkeyed(settle(found.select(*keys, "cut", *names), "ranks"), scope)
 
 
-def head_per_scope(df: DataFrame, scope: Sequence[str], order: str, n: int) -> DataFrame:
+def head_per_scope(df: DataFrame, scope: Sequence[str], order: str, n: int, tie: str | None = None) -> DataFrame:
     """The first ``n`` rows of every scope, for any ``n``: rows up to the n-th place,
-    which is looked up first, so nothing is sorted."""
+    which is looked up first, so nothing is sorted. ``tie`` names a column that orders rows of equal ``order``."""
     if not scope:
-        return df.orderBy(order).limit(n)
-    levels = order_levels(F.col(order))
+        return df.orderBy(order, *([tie] if tie else [])).limit(n)
+    levels = [*order_levels(F.col(order)), *([F.col(tie)] if tie else [])]
     ends = rank_boundaries(df, scope, levels, lambda total: [F.least(F.lit(n), total) - 1])
-    last = ends.select(*scope, F.col(f"l{len(levels) - 1}").alias("_last"))
-    return df.join(last, list(scope)).filter(F.col(order) <= F.col("_last")).drop("_last")
+    last = ends.select(*scope, F.struct(*[F.col(f"l{i}").alias(f"c{i}") for i in range(2, len(levels))]).alias("_last"))
+    here = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate([order, *([tie] if tie else [])], 2)])
+    return df.join(last, list(scope)).filter(here <= F.col("_last")).drop("_last")
 
 
 def gap_statistics(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:

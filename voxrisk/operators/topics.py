@@ -72,16 +72,17 @@ def keywords_tfidf(df: DataFrame, scope: Sequence[str], stopwords: Sequence[str]
 
 
 def keywords_per_row(df: DataFrame, stopwords: Sequence[str], k: int = 10) -> DataFrame:
-    """Ten best tokens of every comment by tf * ln(docs / df)."""
-    per_row = token_rows(df, ["ord"], stopwords).groupBy("ord", "token").agg(F.count("*").alias("tf"))
+    """Ten best tokens of every comment, known by (source_file, ord), by tf * ln(docs / df)."""
+    row = ["source_file", "ord"]
+    per_row = token_rows(df, row, stopwords).groupBy(*row, "token").agg(F.count("*").alias("tf"))
     present = df.select(F.explode_outer(F.array_distinct(tx.tokens(F.col("content")))).alias("token"))
     corpus = present.filter(F.col("token").isNotNull()).groupBy("token").agg(F.count("*").alias("_df"))
     docs = df.agg(F.count("*").alias("docs")).scalar()
     weight = F.round(F.col("tf") * F.ln(docs / F.col("_df")), 9)
-    scored = per_row.join(corpus, "token").select("ord", "token", weight.alias("weight"))
-    best = top_k(scored, ["ord"], [F.desc("weight"), F.col("token")], k)
+    scored = per_row.join(corpus, "token").select(*row, "token", weight.alias("weight"))
+    best = top_k(scored, row, [F.desc("weight"), F.col("token")], k)
     packed = F.array_sort(F.collect_list(F.struct("rank", "token")))  # at most k entries
-    return best.groupBy("ord").agg(F.transform(packed, lambda x: x["token"]).alias("keywords"))
+    return best.groupBy(*row).agg(F.transform(packed, lambda x: x["token"]).alias("keywords"))
 
 
 def weighted_word_freq(

@@ -31,27 +31,24 @@ def struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
-# The reply author arrives as an object or as a plain string, so ``user`` is read
-# as STRING: from_json keeps the raw JSON text of an object in a STRING field.
+# Feeds disagree on the types of one field (5, "5", 5.0, null), so every scalar is read as STRING and converted field
+# by field. An author arrives as an object or as a plain name: from_json keeps the raw text of an object in a STRING.
 BILIBILI_RAW = (
-    "comment STRING, `like` BIGINT, reply_count BIGINT, ctime BIGINT, rpid STRING, id STRING, "
-    "user STRUCT<name: STRING, level: INT, ip: STRING, mid: STRING>, "
-    "replies ARRAY<STRUCT<comment: STRING, `like`: BIGINT, user: STRING, level: INT, ip: STRING, id: STRING>>"
+    "comment STRING, `like` STRING, reply_count STRING, ctime STRING, rpid STRING, id STRING, user STRING, "
+    "replies ARRAY<STRUCT<comment: STRING, `like`: STRING, user: STRING, level: STRING, ip: STRING, id: STRING>>"
 )
 
 TIEBA_RAW = (
-    "pid STRING, floor BIGINT, user_id STRING, author STRING, ip_location STRING, content STRING, "
-    "total_lzl BIGINT, has_more_lzl BOOLEAN, images ARRAY<STRING>, time STRING, "
+    "pid STRING, floor STRING, user_id STRING, author STRING, ip_location STRING, content STRING, total_lzl STRING, "
+    "has_more_lzl STRING, images STRING, time STRING, "
     "sub_replies ARRAY<STRUCT<user: STRING, text: STRING, author: STRING, content: STRING, "
     "ip_location: STRING, time: STRING>>"
 )
 
-ZHIHU_RAW = (
-    "type STRING, content STRING, author STRING, ip STRING, vote BIGINT, time STRING, url STRING"
-)
+ZHIHU_RAW = "type STRING, content STRING, author STRING, ip STRING, vote STRING, time STRING, url STRING"
 
 DOUYIN_RAW = (
     "cid STRING, reply_id STRING, text STRING, content STRING, nickname STRING, user_name STRING, "
-    "user_id STRING, digg_count BIGINT, like_count BIGINT, reply_total BIGINT, "
-    "reply_comment_total BIGINT, create_time BIGINT, ip_label STRING, ip_location STRING, is_reply BOOLEAN"
+    "user_id STRING, digg_count STRING, like_count STRING, reply_total STRING, "
+    "reply_comment_total STRING, create_time STRING, ip_label STRING, ip_location STRING, is_reply STRING"
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     private temporary folder is made and recorded for the session."""
     folder = spark.sparkContext.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_CONF} has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="voxrisk-")
         spark.conf.set(CHECKPOINT_CONF, folder)
     return folder.rstrip("/")

@@ -21,7 +21,7 @@ from voxrisk.schema import (
 
 # --- Fixed values: names for missing authors -------------------------------------
 UNKNOWN_USER, ZHIHU_USER, DOUYIN_USER = "未知用户", "知乎用户", "抖音用户"
-ZHIHU_NO_IP = "未知IP"
+ZHIHU_NO_IP, TIEBA_NO_ID = "未知IP", "未知id"
 
 FIELDS = (
     "comment_id STRING, platform STRING, raw STRING, user_name STRING, user_id STRING, "
@@ -29,7 +29,7 @@ FIELDS = (
     "is_reply BOOLEAN, parent_id STRING, source_url STRING"
 )
 # Low bits of ``ord`` that number the replies of one record.
-REPLY_BITS = 16
+REPLY_BITS = 20
 
 
 # A parser maps (record, id of the main comment) to the comments of the record.
@@ -78,8 +78,23 @@ def comment(platform: str, raw: Column, **given: Column) -> Column:
     ])
 
 
+def _whole(value: Column) -> Column:
+    """Whole number of a field given as number or text, fractions cut off; null where it is none."""
+    return F.coalesce(value.try_cast("bigint"), value.try_cast("double").try_cast("bigint"))
+
+
 def _or_zero(count: Column) -> Column:
-    return F.coalesce(count, F.lit(0))
+    return F.coalesce(_whole(count), F.lit(0))
+
+
+def _seconds(value: Column) -> Column:
+    return F.timestamp_seconds(F.nullif(_whole(value), F.lit(0)))
+
+
+def _of_author(author: Column, field: str) -> Column:
+    """Field of an author kept as JSON text; a plain text is the name."""
+    is_object = F.startswith(F.ltrim(author), F.lit("{"))
+    return F.when(is_object, F.get_json_object(author, f"$.{field}")).otherwise(author if field == "name" else F.lit(None).cast("string"))
 
 
 def _given(value: Column) -> Column:
@@ -103,17 +118,15 @@ def _minute(text: Column) -> Column:
 def bilibili(r: Column, main_id: Column) -> Column:
     main = comment(
         "bilibili", r["comment"], comment_id=main_id,
-        user_name=F.coalesce(r["user"]["name"], F.lit(UNKNOWN_USER)), user_id=_given(r["user"]["mid"]),
-        user_level=r["user"]["level"], like_count=_or_zero(r["like"]), reply_count=_or_zero(r["reply_count"]),
-        publish_time=F.timestamp_seconds(F.nullif(r["ctime"], F.lit(0))),
-        ip_location=tx.strip_ip_prefix(r["user"]["ip"]),
+        user_name=F.coalesce(_of_author(r["user"], "name"), F.lit(UNKNOWN_USER)), user_id=_given(_of_author(r["user"], "mid")),
+        user_level=_whole(_of_author(r["user"], "level")).try_cast("int"), like_count=_or_zero(r["like"]), reply_count=_or_zero(r["reply_count"]),
+        publish_time=_seconds(r["ctime"]), ip_location=tx.strip_ip_prefix(_of_author(r["user"], "ip")),
     )
 
     def reply(x: Column, i: Column) -> Column:
-        # the author is an object kept as JSON text, or a plain name
+        name = _of_author(x["user"], "name")
         is_object = F.startswith(F.ltrim(x["user"]), F.lit("{"))
-        name = F.when(is_object, F.get_json_object(x["user"], "$.name")).otherwise(x["user"])
-        level = F.when(is_object, F.get_json_object(x["user"], "$.level").cast("int")).otherwise(x["level"])
+        level = _whole(F.when(is_object, _of_author(x["user"], "level")).otherwise(x["level"])).try_cast("int")
         return comment(
             "bilibili", x["comment"], comment_id=F.concat(main_id, F.lit("_reply_"), i.cast("string")),
             user_name=F.coalesce(name, F.lit(UNKNOWN_USER)), user_level=level, like_count=_or_zero(x["like"]),
@@ -127,7 +140,7 @@ def bilibili(r: Column, main_id: Column) -> Column:
 def tieba(r: Column, main_id: Column) -> Column:
     main = comment(
         "tieba", r["content"], comment_id=main_id, user_name=F.coalesce(r["author"], F.lit(UNKNOWN_USER)),
-        user_id=tx.blank_if_null(r["user_id"]), reply_count=_or_zero(r["total_lzl"]),
+        user_id=tx.blank_if_null(F.nullif(r["user_id"], F.lit(TIEBA_NO_ID))), reply_count=_or_zero(r["total_lzl"]),
         publish_time=_minute(r["time"]), ip_location=r["ip_location"],
     )
 
@@ -158,13 +171,13 @@ def zhihu(r: Column, main_id: Column) -> Column:
     "douyin", DOUYIN_RAW, lambda r: F.coalesce(r["text"], r["content"]), lambda r, _: tx.blank_if_null(r["cid"])
 )
 def douyin(r: Column, main_id: Column) -> Column:
-    reply = F.coalesce(r["is_reply"], F.lit(False))
+    reply = F.coalesce(r["is_reply"].try_cast("boolean"), F.lit(False))
     return F.array(comment(
         "douyin", F.coalesce(r["text"], r["content"]), comment_id=main_id,
         user_name=F.coalesce(r["nickname"], r["user_name"], F.lit(DOUYIN_USER)), user_id=tx.blank_if_null(r["user_id"]),
-        like_count=F.coalesce(r["digg_count"], r["like_count"], F.lit(0)),
-        reply_count=F.coalesce(r["reply_total"], r["reply_comment_total"], F.lit(0)),
-        publish_time=F.timestamp_seconds(F.nullif(r["create_time"], F.lit(0))),
+        like_count=F.coalesce(_whole(r["digg_count"]), _or_zero(r["like_count"])),
+        reply_count=F.coalesce(_whole(r["reply_total"]), _or_zero(r["reply_comment_total"])),
+        publish_time=_seconds(r["create_time"]),
         ip_location=F.coalesce(r["ip_label"], r["ip_location"]), is_reply=reply,
         parent_id=F.when(reply, r["reply_id"]),
     ))
@@ -178,12 +191,14 @@ def _by_platform(pick: Callable[[Platform], Column], otherwise: Column) -> Colum
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
-    """Lines (line, source_file, ord, platform) with the record and ``parse_error``."""
+    """Lines (line, source_file, ord, platform) with the record and ``parse_error``.
+
+    Only a line that is no JSON object is an error. A field of an unexpected shape is null, the rest of its record stays."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     read = lines.withColumn("record", F.from_json("line", read_schema(), options))
     error = (
         F.when(~F.col("platform").isin(*PLATFORMS), F.concat(F.lit("unsupported platform: "), F.col("platform")))
-        .when(F.col("record").isNull() | F.col("record._corrupt").isNotNull(), F.lit("malformed JSON"))
+        .when(F.col("record").isNull() | F.json_object_keys("line").isNull(), F.lit("malformed JSON"))
     )
     return read.withColumn("parse_error", error)
 

@@ -43,19 +43,19 @@ def platform_of_record(line: Column) -> Column:
 def read_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Non-blank lines (with a pattern: of all matching files below) with ``source_file`` and ``ord``, their order in the file.
 
-    ``ord`` joins the place of the file block (in MiB), the row number inside the task
-    and 16 free bits for the replies of a record, so it needs neither a sort nor a
-    single reader.
+    ``ord`` joins the place of the file block (in MiB, files up to 128 GB), the row number inside
+    the task (a split of 128 MB has fewer than 2^26 lines) and 20 free bits for the replies of a record, so it needs
+    neither a sort nor a single reader. It orders the lines of one file; a row is known by (source_file, ord).
     """
     reader = spark.read
     if pattern:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     block = F.shiftright(F.col("_metadata.file_block_start"), 20)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 28) - 1))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 26) - 1))
     lines = reader.text(path).select(
         tx.strip(F.col("value")).alias("line"),
         F.col("_metadata.file_path").alias("source_file"),
-        (F.shiftleft(block, 44) + F.shiftleft(row, REPLY_BITS)).alias("ord"),
+        (F.shiftleft(block, 26 + REPLY_BITS) + F.shiftleft(row, REPLY_BITS)).alias("ord"),
     )
     return lines.filter(F.col("line") != "")
 
