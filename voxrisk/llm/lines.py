@@ -12,7 +12,7 @@ from voxrisk.llm.sharding import FIRST, ranges_below
 from voxrisk.session import settle
 
 THRESHOLD = 2
-LETTERS = "etanoirshdlu"  # frequent in the languages of the corpus; any twelve keep the result
+LETTERS = "etanoirshdlucmgb"  # frequent in the languages of the corpus; any sixteen keep the result
 PAIRS_PER_TASK = 1000
 CHARS_PER_EDIT = 20  # lines under 20 code points have to be equal, under 40 differ in one edit at most
 
@@ -122,11 +122,11 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def letter_counts(line: Column) -> Column:
-    """How often each of twelve letters occurs, modulo 32, packed into a long."""
+    """How often each of sixteen letters occurs, modulo 16, packed into a long."""
     packed = F.lit(0).cast("bigint")
     for i, letter in enumerate(LETTERS):
-        count = (F.length(line) - F.length(F.replace(line, F.lit(letter)))) % 32
-        packed = packed.bitwiseOR(F.shiftleft(count.cast("bigint"), 5 * i))
+        count = (F.length(line) - F.length(F.replace(line, F.lit(letter)))) % 16
+        packed = packed.bitwiseOR(F.shiftleft(count.cast("bigint"), 4 * i))
     return packed
 
 
@@ -134,9 +134,9 @@ def counts_apart(a: Column, b: Column) -> Column:
     """Sum of the differences of letter counts; an edit changes it by two at most."""
     total = F.lit(0)
     for i in range(len(LETTERS)):
-        count = lambda x: F.shiftright(x, 5 * i).bitwiseAND(F.lit(31).cast("bigint"))  # noqa: E731, B023
+        count = lambda x: F.shiftright(x, 4 * i).bitwiseAND(F.lit(15).cast("bigint"))  # noqa: E731, B023
         apart = F.abs(count(a) - count(b))
-        total = total + F.least(apart, 32 - apart)
+        total = total + F.least(apart, 16 - apart)
     return total
 
 
@@ -148,8 +148,12 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD, chars_per_edit: int
     Only lines that have a candidate are fetched and compared."""
     length = F.length("line")
     long_enough = lines.where(length >= chars_per_edit).withColumn("counts", letter_counts(F.col("line")))
-    keyed = lambda keys: long_enough.select("k", "counts", F.explode(keys(F.col("line"), length, threshold, chars_per_edit)).alias("key"))
-    index, probes = keyed(index_keys), keyed(probe_keys)
+    # the texts are read and cut once; the keys of both sides are exploded from what is written
+    keys = settle(long_enough.select(
+        "k", "counts", index_keys(F.col("line"), length, threshold, chars_per_edit).alias("index"),
+        probe_keys(F.col("line"), length, threshold, chars_per_edit).alias("probes")), "line-keys")
+    index = keys.select("k", "counts", F.explode("index").alias("key"))
+    probes = keys.select("k", "counts", F.explode("probes").alias("key"))
     other = probes.select("key", F.col("k").alias("other"), F.col("counts").alias("other_counts"))
     near = (F.col("k") != F.col("other")) & (counts_apart(F.col("counts"), F.col("other_counts")) <= 2 * threshold)
     met = index.join(other, "key").where(near)
