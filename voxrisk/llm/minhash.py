@@ -28,7 +28,7 @@ RUNS = np.array([p[0] for p in PARTS])  # first position of each run
 RUN_OF = np.repeat(np.arange(CHUNKS), [len(p) for p in PARTS])
 SLOTS = RUNS  # number of a run's first index key: one key for each position left out, so as many as positions before
 
-BLOCK = 1 << 16
+BLOCK = 1 << 13
 #: Buckets of more classes that lie in several components are compared in blocks, others as pairs of rows.
 FEW, BLOCK_MEMBERS, BLOCK_SHINGLES = 24, 1024, 500_000
 
@@ -50,7 +50,7 @@ class WordHashes(dict):
     """64-bit hash of a word, kept while it is among those seen lately."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
