@@ -245,6 +245,27 @@ def test_pipeline_lines_spare_copies(spark):
     assert got == {1: rows[0][1], 2: rows[1][1], 3: "But this is mine.", 5: "x\ny"}
 
 
+def test_pipeline_lines_remove_passages_of_unlike_documents(spark):
+    rng = random.Random(4)
+    head, foot, words = "Header of the site, on every page.", "Footer of the site, on every page.", [invented(rng, 14) for _ in range(5)]
+    own = [[invented(rng, 15) for _ in range(9)] for _ in range(3)]
+    rows = [(k, "\n".join([head, *own[k][:5], *words, *own[k][5:], foot])) for k in range(3)]
+    changed_copy = rows[1][1].replace(own[1][4].split(" ")[7], "altered", 1)
+    rows += [(3, changed_copy), (4, "\n".join([head, *own[2], head, foot])), (5, "\n".join([own[0][0], "mine", own[0][0]]))]
+    got = {r.doc_id: r.text for r in lines.drop_repeated_lines(docs(spark, rows), min_places=3).collect()}
+    assert got[0] == rows[0][1] and got[1] == "\n".join(own[1]) and got[2] == "\n".join(own[2])
+    assert got[3] == got[1].replace(own[1][4].split(" ")[7], "altered", 1)  # near_dedup has to judge this copy as a whole
+    assert got[4] == got[2]  # so are copies whose shared lines stand in another row
+    assert got[5] == "mine"
+
+
+def test_pipeline_lines_repeats_inside_a_copy_go(spark):
+    rng = random.Random(14)
+    body = [invented(rng, 30) for _ in range(4)]
+    rows = [(1, "\n".join(body)), (2, "\n".join([*body, body[0]]))]
+    assert [r.text for r in lines.drop_repeated_lines(docs(spark, rows), min_places=2).collect()] == [rows[0][1]] * 2
+
+
 # --- packing ---------------------------------------------------------------------
 def test_token_ids_equal_the_public_tokenizer():
     public = pytest.importorskip("public_tokenizers")

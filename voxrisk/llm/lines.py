@@ -15,6 +15,7 @@ THRESHOLD = 2
 LETTERS = "etanoirshdlucmgb"  # frequent in the languages of the corpus; any sixteen keep the result
 PAIRS_PER_TASK = 1000
 CHARS_PER_EDIT = 20  # lines under 20 code points have to be equal, under 40 differ in one edit at most
+COPY_WORDS, COPY_PERCENT = 5, 80  # what the near-duplicate stage of the pipeline links: its shingles and its similarity
 
 
 def edits_allowed(length: Column, threshold: int = THRESHOLD, chars_per_edit: int = CHARS_PER_EDIT) -> Column:
@@ -171,6 +172,50 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD, chars_per_edit: int
     return both.where(close).select("a", "b")
 
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """``text`` without the lines whose numbers, sorted, are in ``gone``."""
+    # each line looks itself up by halving
+    goes = lambda i: F.get(gone, ranges_below(gone, i, 1 << 30) - 1) == i
+    return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.coalesce(goes(i), F.lit(False))), "\n")
+
+
+def shingle_hashes(text: Column, words: int = COPY_WORDS) -> Column:
+    """Hashes of the distinct runs of so many words, of the whole text if it is shorter, by the rule of near-duplicates."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    found = F.regexp_extract_all(F.translate(text, upper, upper.lower()), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - words + 1)), lambda i: F.xxhash64(F.slice(w, i, words)))
+    return _let(found, lambda w: F.when(F.size(w) > 0, F.array_distinct(runs(w))).otherwise(F.array().cast("array<bigint>")))
+
+
+def spared_rows(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, t) of the rows that are near-duplicates of the row ``of``, with which they share lines.
+
+    ``rows``: doc, t, sure (lines that go in any case), open (lines that go unless the row is spared), of. Compared is what is left of
+    both rows; whether ``of`` itself is spared is not known here, so both cases have to be similar enough."""
+    judged = rows.where(F.size("open") > 0)
+    wanted = judged.select("t").union(judged.select("of.t")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(FIRST)).alias("doc"), F.xxhash64(text).alias("t"), text.alias("text"))
+    numbers = lambda c: F.coalesce(F.transform(c, lambda r: r["pos"]), F.array().cast("array<int>"))
+    left = lambda gone: shingle_hashes(_let(F.array_sort(gone), lambda g: without_lines(F.col("text"), g)))
+    whole, rest = left(numbers("sure")), left(F.concat(numbers("sure"), numbers("open")))
+    judge = lambda ids: narrow(texts, "t", settle(ids, "line-wanted"), "t").join(rows.drop("of"), ["doc", "t"], "left")
+    # rows too unlike in size are told apart by numbers; sets are made of the others only
+    sizes = settle(judge(wanted).select("doc", "t", F.size(whole).alias("n"), F.size(rest).alias("m")).distinct(), "line-sizes")
+    other = sizes.select(F.struct("doc", "t").alias("of"), F.col("n").alias("of_n"), F.col("m").alias("of_m"))
+    like = lambda x: (F.col("n") > 0) & (100 * F.least("n", x) >= COPY_PERCENT * F.greatest("n", x))
+    pairs = judged.select("doc", "t", "of").join(sizes.select("doc", "t", "n"), ["doc", "t"]).join(other, "of").where(like("of_n") & like("of_m"))
+    pairs = settle(pairs, "line-alike")
+    ends = settle(pairs.select("doc", "t").union(pairs.select("of.doc", "of.t")).distinct(), "line-ends")
+    found = judge(ends.select("t").distinct()).join(ends, ["doc", "t"], "left_semi").dropDuplicates(["doc", "t"])
+    sets = settle(found.select("doc", "t", whole.alias("whole"), F.when(F.size("open") > 0, rest).alias("rest")), "line-sets")
+    of_sets = sets.select(F.struct("doc", "t").alias("of"), F.col("whole").alias("a"), F.coalesce("rest", "whole").alias("b"))
+    met = pairs.join(narrow(sets.select("doc", "t", "whole"), "t", pairs, "t"), ["doc", "t"]).join(of_sets, "of")
+    both = met.select("doc", "t", "n", "of_n", "of_m", F.size(F.array_intersect("whole", "a")).alias("in_n"), F.size(F.array_intersect("whole", "b")).alias("in_m"))
+    enough = lambda c, size: 100 * F.col(c) >= COPY_PERCENT * (F.col("n") + F.col(size) - F.col(c))
+    return both.where(enough("in_n", "of_n") & enough("in_m", "of_m")).select("doc", "t")
+
+
 def line_decisions(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, chars_per_edit: int = CHARS_PER_EDIT,
     min_places: int = 2, spare_copies: bool = False,
@@ -180,8 +225,9 @@ def line_decisions(
     A line goes as exact if the same line stands earlier, in order of (id, text hash, line number), and as near if its
     first place is later than that of a different line within the edits allowed. The rule looks at direct links only,
     so long chains of small changes don't fall together. With ``min_places`` over 2, a line of another document goes only if it
-    and the line that it repeats stand in so many places. With ``spare_copies`` lines stay where the row shares two or more with one
-    and the same earlier row: that is a copy of a document, to be judged as a whole. Repeats in one row always go."""
+    and the line that it repeats stand in so many places. With ``spare_copies`` the lines that a row shares with the earlier row with
+    which it shares most stay if both, without their other repeated lines, are near-duplicates (see spared_rows): that is a copy of a
+    document, to be judged as a whole. Repeats in one row always go."""
     lines = line_rows(docs, id_col, text_col)
     known = settle(lines.groupBy("k", "k2").agg(F.min(F.struct("doc", "t", "pos")).alias("first"), F.count("*").alias("n")), "line-known")
     # lines that stand in one place need no grouping, and most do
@@ -195,15 +241,38 @@ def line_decisions(
     repeated = known.join(later, "k", "left").where("n > 1 OR of IS NOT NULL")
     repeated = settle(repeated.select(
         "k", "k2", "first", F.coalesce("of", "first").alias("of"), F.coalesce("places", "n").alias("places"), F.col("of").isNotNull().alias("near")), "line-repeated")
-    places = narrow(lines.select("doc", "t", "pos", "k", "k2"), "k", repeated, "k").join(repeated, ["k", "k2"])
-    gone = places.where((F.struct("doc", "t", "pos") != F.col("first")) | F.col("near")).select("doc", "t", "pos", "near", "places", F.struct("of.doc", "of.t").alias("of")).distinct()
-    by_row = gone.groupBy("doc", "t", "of").agg(F.array_sort(F.collect_list(F.struct("pos", "near", "places"))).alias("rows"))
+    places = narrow(lines.select("doc", "t", "pos", "k", "k2", F.length("line").alias("size")), "k", repeated, "k").join(repeated, ["k", "k2"])
+    gone = places.where((F.struct("doc", "t", "pos") != F.col("first")) | F.col("near"))
+    # a line that is a repeat inside the row of its first place goes from copies of that row too
+    of = F.struct("of.doc", "of.t")
+    inside = (F.struct("doc", "t") == of) | (F.col("near") & (F.struct("first.doc", "first.t") == of))
     if spare_copies or min_places > 2:
-        inside = F.struct("doc", "t") == F.col("of")
-        common = F.filter("rows", lambda r: r["places"] >= min_places)
-        spared = (F.size("rows") > 1) if spare_copies else F.lit(False)
-        by_row = by_row.withColumn("rows", F.when(inside, F.col("rows")).when(~spared, common).otherwise(F.slice("rows", 1, 0))).where(F.size("rows") > 0)
-    flat = by_row.groupBy("doc", "t").agg(F.flatten(F.collect_list("rows")).alias("rows"))
+        spots = gone.groupBy("doc", "t", "k", "k2", "near", "size", "places", of.alias("of"), inside.alias("inside")).agg(F.array_sort(F.collect_set("pos")).alias("at"))
+        spots = spots.withColumn("common", F.col("places") >= min_places)
+        numbered = lambda at: F.transform(at, lambda p: F.struct(p.alias("pos"), F.col("near").alias("near")))
+        none = F.slice("at", 1, 0)
+        # of a line that stands first elsewhere, the row's first place may be spared, its further ones repeat that
+        spots = spots.withColumn("sure", numbered(F.when(F.col("inside"), F.col("at")).otherwise(F.slice("at", F.lit(2), F.size("at")))))
+        spots = spots.withColumn("open", numbered(F.when(~F.col("inside") & F.col("common"), F.slice("at", 1, 1)).otherwise(none)))
+        by_row = spots.groupBy("doc", "t", "of").agg(
+            F.sum(F.when(F.size("open") > 0, F.col("size")).otherwise(0)).alias("shared"),
+            F.flatten(F.collect_list("sure")).alias("sure"), F.flatten(F.collect_list("open")).alias("open"))
+        rows = by_row.groupBy("doc", "t").agg(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("less"), "of", "sure", "open"))).alias("from"))
+        most, others = F.get("from", 0), F.slice("from", F.lit(2), F.size("from"))
+        rows = rows.select(
+            "doc", "t", most["of"].alias("of"), most["open"].alias("open"),
+            F.concat(F.flatten(F.transform("from", lambda f: f["sure"])), F.flatten(F.transform(others, lambda f: f["open"]))).alias("sure"))
+        rows = settle(rows, "line-rows")
+        every = F.concat("sure", "open")
+        if spare_copies:
+            spared = settle(spared_rows(docs, rows, id_col, text_col).withColumn("spared", F.lit(True)), "line-spared")
+            rows = rows.join(spared, ["doc", "t"], "left")
+            every = F.when(F.col("spared"), F.col("sure")).otherwise(every)
+        flat = rows.select("doc", "t", every.alias("rows")).where(F.size("rows") > 0)
+    else:
+        gone = gone.select("doc", "t", "pos", "near", "places", of.alias("of")).distinct()
+        by_row = gone.groupBy("doc", "t", "of").agg(F.array_sort(F.collect_list(F.struct("pos", "near", "places"))).alias("rows"))
+        flat = by_row.groupBy("doc", "t").agg(F.flatten(F.collect_list("rows")).alias("rows"))
     near = F.size(F.filter("rows", lambda r: r["near"]))
     return flat.select("doc", "t", (F.size("rows") - near).alias("exact"), near.alias("near"), F.array_sort(F.transform("rows", lambda r: r["pos"])).alias("gone"))
 
@@ -228,10 +297,7 @@ def dedup_lines(
     sure = maybe.where("NOT _maybe").drop("_maybe")
     marked = rest.unionByName(sure, allowMissingColumns=True)
     parts = F.split(text, "\n")
-    # the line numbers that go are sorted, so each line looks itself up by halving
-    goes = lambda i: F.get(F.col("gone"), ranges_below(F.col("gone"), i, 1 << 30) - 1) == i
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.coalesce(goes(i), F.lit(False))), "\n")
-    kept = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(left)
+    kept = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(without_lines(text, F.col("gone")))
     return marked.select(
         *[kept.alias(c) if c == text_col else F.col(c) for c in numbered.columns if c not in ("_doc", "_t")],
         F.size(F.filter(parts, lambda x: F.trim(x) != "")).cast("bigint").alias("n_lines"),
