@@ -266,6 +266,13 @@ def test_pipeline_lines_repeats_inside_a_copy_go(spark):
     assert [r.text for r in lines.drop_repeated_lines(docs(spark, rows), min_places=2).collect()] == [rows[0][1]] * 2
 
 
+def test_pipeline_lines_remove_what_stands_in_two_documents(spark):
+    rng = random.Random(24)
+    passage, own = invented(rng, 60), [invented(rng, 80) for _ in range(2)]
+    got = {r.doc_id: r.text for r in lines.drop_repeated_lines(docs(spark, [(k, own[k] + "\n" + passage) for k in range(2)])).collect()}
+    assert got == {0: own[0] + "\n" + passage, 1: own[1]}
+
+
 # --- packing ---------------------------------------------------------------------
 def test_token_ids_equal_the_public_tokenizer():
     public = pytest.importorskip("public_tokenizers")

@@ -304,7 +304,7 @@ def dedup_lines(
         F.coalesce("exact", F.lit(0)).cast("bigint").alias("n_exact"), F.coalesce("near", F.lit(0)).cast("bigint").alias("n_near"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_places: int = 3) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_places: int = 2) -> DataFrame:
     """Documents without the lines that the corpus repeats, columns as they came (n_chars counted anew). Documents that
     are left without any text by that go; copies of whole documents stay whole, for a near-duplicate stage to judge."""
     out = dedup_lines(docs, min_places=min_places, spare_copies=True)
