@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from voxrisk.llm import chat, decontaminate, extract, licenses, lines, minhash, neighbours, packing, quality, sharding
 from voxrisk.llm.graphs import components, narrow, without
+from voxrisk.session import settle
 
 DOC = "doc_id long, text string, lang string"
 BIG = (1 << 60) + 1
@@ -317,6 +318,18 @@ def test_pack_documents(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_packing_blocks_stay_bounded(spark, monkeypatch, copies):
+    written = []
+    monkeypatch.setattr(packing, "settle", lambda df, name: written.append((name, settle(df, name))) or written[-1][1])
+    # two of these never fit into one sequence, and one alone leaves it loose
+    rows = [(None if copies else k, " word" * (1200 if copies else 1030 + k)) for k in range(256)]
+    out = packing.pack_documents(docs(spark, rows), block_pieces=16)
+    assert out.count() == 256 == out.select("sequence_id").distinct().count()
+    levels = [df.groupBy("block").count() for name, df in written if name == "pack-level"]
+    assert len(levels) == 2 and max(r["count"] for df in levels for r in df.collect()) < 64
+
+
 # --- neighbours ------------------------------------------------------------------
 def test_chi_square():
     assert abs(neighbours.chi_square(neighbours.chi_square_quantile(0.9, 8), 8) - 0.9) < 1e-9 and abs(neighbours.chi_square_quantile(0.95, 8) - 15.507) < 1e-3

@@ -23,6 +23,7 @@ BLOCK_PIECES = 16_384
 #: Pairs of underfull sequences that the local search of a block looks at, at most.
 SEARCH_PAIRS = 20_000
 LOOSE = 0.95  # sequences filled less are taken apart and packed again on the next level
+LEVEL_GAIN = 0.01  # a level that saves a smaller share of the sequences it took apart is the last
 
 
 @cache
@@ -162,8 +163,10 @@ def pack_documents(
 
     A document is its ids and ``end_id``. One longer than a sequence is cut into whole sequences, its first piece taking the
     remainder. Pieces are dealt by hash into blocks of about ``block_pieces``, each packed by one task; sequences filled to less than
-    LOOSE are then dealt into fewer blocks and packed again, until one block is left. Returns id, piece, start,
-    length, ids_crc32, sequence_id, offset and, if asked for, ids.
+    LOOSE are then dealt anew into blocks of that size and packed again, until one block is left or a level saves less than LEVEL_GAIN
+    of them: pieces that don't combine among so many don't combine among others either. No level packs more than about
+    ``block_pieces`` together, whatever the ids and lengths. Returns id, piece, start, length, ids_crc32, sequence_id, offset and,
+    if asked for, ids.
 
     Null and empty texts are a piece with ``end_id`` alone. Null ids and repeated rows are packed like all others; other
     columns are not read. An empty table gives no rows. Jobs run when this is called."""
@@ -187,18 +190,20 @@ def pack_documents(
         return out
 
     todo, level, done = pieces, 0, None
-    n = pieces.count()
+    n, taken = pieces.count(), None
     while True:
         blocks = max(1, -(-n // block_pieces))
-        dealt = todo.withColumn("block", F.pmod(F.xxhash64("id", "piece", "start", F.lit(level)), F.lit(blocks)).cast("int"))
+        # rows may be alike in all columns, so their places in the table spread them
+        spread = F.xxhash64("id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id(), F.lit(level))
+        dealt = todo.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int"))
         packed = settle(dealt.groupBy("block").applyInPandas(pack, schema), "pack-level")
         number = (F.lit(level).cast("bigint") * (1 << 56) + F.col("block").cast("bigint") * (1 << 24) + F.col("bin")).alias("sequence_id")
         loose = F.col("fill") < LOOSE * capacity
-        kept = packed.select(*columns, number, "offset") if blocks == 1 else packed.where(~loose).select(*columns, number, "offset")
+        first = F.col("offset") == 0  # one piece of each sequence
+        made, again, n = packed.agg(F.count_if(first), F.count_if(first & loose), F.count_if(loose)).first()
+        last = blocks == 1 or again == 0 or (taken is not None and taken - made < LEVEL_GAIN * taken)
+        kept = (packed if last else packed.where(~loose)).select(*columns, number, "offset")
         done = kept if done is None else done.unionByName(kept)
-        if blocks == 1:
+        if last:
             return done.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
-        todo, level = packed.where(loose).select(*columns), level + 1
-        fewer = todo.count()
-        # sequences that stay badly filled come back each time; they are halved at least by dealing fewer blocks
-        n = min(fewer, max(1, n // 2))
+        todo, taken, level = packed.where(loose).select(*columns), again, level + 1
