@@ -115,3 +115,33 @@ SELECT doc_id, n_words::BIGINT AS n_words, len(hits)::BIGINT AS n_base, (list_mi
   CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
 FROM named
 """
+
+
+def phrases_sql(min_count: int = 100, max_words: int = 5, top: int = 2000) -> str:
+    ends = ".,;:!?" + "".join(map(chr, range(10, 14)))
+    grams = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(words[i:i + {k - 1}], ' ') AS phrase, {k} AS k FROM pieces, unnest(range(1, len(words) - {k - 2})) t(i) WHERE len(words) >= {k}"
+        for k in range(1, max_words + 1))
+    return f"""
+WITH folded AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (
+  SELECT lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda w: w <> '') AS words
+  FROM (SELECT lang, unnest(string_split(translate(text, '{ends[:6]}' || {' || '.join(f'chr({ord(c)})' for c in ends[6:])}, repeat(chr(10), 10)), chr(10))) AS piece FROM folded)),
+grams AS ({grams}),
+totals AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, phrase, k, count(*) AS a FROM grams GROUP BY lang, phrase, k HAVING count(*) >= {min_count}),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k AS words, c.a, t.cut, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS score
+  FROM f c JOIN totals n USING (lang), unnest(range(1, c.k)) t(cut)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[1:t.cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[t.cut + 1:], ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+absorbed AS (
+  SELECT DISTINCT s.lang, s.phrase FROM scored s JOIN f ON f.lang = s.lang AND f.k > s.words AND contains(' ' || f.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * f.a >= 100 * s.a)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM scored ANTI JOIN absorbed USING (lang, phrase))
+WHERE rank <= {top}
+"""

@@ -37,8 +37,21 @@ def _encoder(vocabulary: str):
     return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
 
+@cache
+def _patient_encoder(vocabulary: str):
+    """The same vocabulary as JSON: slower, but without a limit on runs of white space."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(vocabulary + ".json"))
+
+
 def token_ids(text: str, vocabulary: str) -> np.ndarray:
-    return np.array(_encoder(vocabulary).encode(text, allowed_special="all"), np.uint32)
+    try:
+        ids = _encoder(vocabulary).encode(text, allowed_special="all")
+    except ValueError:  # its pattern gives up on about a million white-space characters in a row
+        ids = _patient_encoder(vocabulary).encode(text, add_special_tokens=False).ids
+    return np.array(ids, np.uint32)
 
 
 def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxrisk.llm import chat, decontaminate, extract, licenses, lines, minhash, neighbours, oracles, packing, quality, sharding, small_batches
+from voxrisk.llm import (
+    chat, concat, decontaminate, extract, licenses, lines, minhash, neighbours, oracles, packing, phrases, quality, sharding, small_batches, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +96,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scans", oracles.license_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op11_phrase_mining", oracles.phrases_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.mine_phrases(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op13_concatenate_and_cut")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concat.pack_concatenated(table(spark, sf_dir, "documents"))
