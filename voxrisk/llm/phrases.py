@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxrisk.operators.scaling import top_k
@@ -18,9 +18,9 @@ MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 NO_LANG = "und"
 #: What ends a piece of text, and what stands between words.
 ENDS, BLANKS = ".,;:!?\x0A\x0B\x0C\x0D", "\x20\x09"
-SHARD_BYTES = 24 << 20  # text that one index covers
+SHARD_BYTES = 8 << 20  # text that one index covers
 MAP_WORDS = 1 << 17  # 64-bit words of a filter: 1 MB
-PHRASES_PER_BATCH = 200_000
+TAIL_SALTS = 4  # buckets that the phrases of one beginning are dealt into
 END = "\n"  # what all ends of pieces become
 _FOLD = bytes.maketrans((ENDS + "\t" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ").encode(), (END * len(ENDS) + " " + "abcdefghijklmnopqrstuvwxyz").encode())
 
@@ -53,6 +53,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
                     yield from full(lang)
         while sum(size.values()) > 2 * most:
             yield from full(max(size, key=size.get))
+        pa.default_memory_pool().release_unused()  # a worker would keep what its largest text took
     for lang in list(held):
         yield from full(lang)
 
@@ -138,8 +139,8 @@ class Side:
     """One direction of a shard's index, ready to extend phrases by a word at that side."""
 
     def __init__(self, bwt: np.ndarray, counts: np.ndarray) -> None:
-        self.order = _stable_order(bwt)  # row of the n-th symbol in sorted order: the inverse of the last-to-first mapping
-        self.symbol = np.repeat(np.arange(len(counts)), counts)
+        self.order = _stable_order(bwt).astype(np.int32)  # row of the n-th symbol in sorted order: the inverse of the last-to-first mapping
+        self.symbol = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
 
     def extend(self, near: np.ndarray, far: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """All extensions of phrases by one word: (phrase, word, near, far, size).
@@ -196,20 +197,61 @@ def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit(NO_LANG)).alias("lang"), docs[text_col].alias("text"))
 
 
+def _packed(lang: str, words: pa.Array, phrases: np.ndarray, counts: np.ndarray, hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(lang, bucket, phrases, counts) of phrases, rows of word numbers: all phrases of a bucket are the lines of one row, in order,
+    so that they begin alike and compress well. It takes half the bytes of a row for each. Phrases that begin alike lie in TAIL_SALTS buckets."""
+    of_head = _spots(hashes[phrases[:, :-1]], lang) * np.uint64(phrases.shape[1] > 1)  # the beginning, and a part of the last word
+    tail = hashes[phrases[:, -1]]
+    bucket = ((of_head + (tail % np.uint64(TAIL_SALTS) if phrases.shape[1] > 1 else tail)) % np.uint64(buckets)).astype(np.int64)
+    order = np.arange(len(phrases))
+    for column in (*phrases.T[::-1], bucket):
+        order = order[_stable_order(column[order])]
+    phrases, bucket = phrases[order], bucket[order]
+    starts = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
+    offsets = pa.array(np.append(starts, len(phrases)).astype(np.int32))
+    together = lambda values: pc.binary_join(pa.ListArray.from_arrays(offsets, values.cast(pa.string())), END)
+    known = words.cast(pa.string())
+    text = pc.binary_join_element_wise(*(known.take(pa.array(column - 1)) for column in phrases.T), " ")
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(starts)), pa.array(bucket[starts].astype(np.int32)), together(text), together(pa.array(counts[order]))],
+        ["lang", "bucket", "phrases", "counts"])
+
+
+PACKED = "lang string, bucket int, phrases string, counts string"
+
+
+def _buckets(spark: SparkSession) -> int:
+    """A few for every task that sums."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _summed(packed: DataFrame) -> DataFrame:
+    """(lang, phrase, n) over all shards. Rows are dealt out by the bucket that they hold once, so that the sums need no further exchange."""
+    dealt = packed.repartition("lang", "bucket")
+    pairs = F.arrays_zip(F.split("phrases", END).alias("phrase"), F.split("counts", END).alias("n"))
+    n = dealt.select("lang", "bucket", F.inline(pairs)).groupBy("lang", "bucket", "phrase").agg(F.sum(F.col("n").cast("long")).alias("n"))
+    return n.select("lang", "phrase", "n")
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, phrase, n) of all words, and with a null phrase of each language's words together."""
+    """(lang, phrase, n) of all words, and with the empty phrase of each language's words together."""
+    buckets = _buckets(texts.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, chunk in _chunks(batches, SHARD_BYTES):
             symbols, words = _words(chunk)
             n = np.bincount(symbols, minlength=len(words) + 1)[1:]
-            phrases = pa.concat_arrays([words.cast(pa.string()), pa.array([None], pa.string())])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), phrases, pa.array(np.append(n, n.sum()))], ["lang", "phrase", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang]), pa.array([-1], pa.int32()), pa.array([""]), pa.array([str(n.sum())])], ["lang", "bucket", "phrases", "counts"])
+            if len(words):
+                hashes = np.append(np.zeros(1, np.uint64), _word_hashes(words.to_pylist()))
+                yield _packed(lang, words, np.arange(1, len(words) + 1)[:, None], n, hashes, buckets)
 
-    return texts.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return _summed(texts.mapInArrow(count, PACKED))
 
 
 def shards(texts: DataFrame, frequent: np.ndarray, depth: int) -> DataFrame:
-    """(lang, words, forward, backward): the indexes of all shards, over the words that may be frequent. Others end a piece, as no
+    """(lang, words, forward, backward, kind): the indexes of all shards, over the words that may be frequent, and the kind of their numbers. Others end a piece, as no
     phrase with such a word can be frequent."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, chunk in _chunks(batches, SHARD_BYTES):
@@ -222,28 +264,30 @@ def shards(texts: DataFrame, frequent: np.ndarray, depth: int) -> DataFrame:
             if len(symbols):
                 bwt, backward = index_shard(symbols, depth)
                 known = words.filter(pa.array(kept)).to_pylist()
+                kind = "<u2" if len(known) < 1 << 16 else "<i4"
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang]), pa.array([known], pa.list_(pa.string())), pa.array([bwt.astype("<i4").tobytes()], pa.binary()),
-                    pa.array([backward.astype("<i4").tobytes()], pa.binary())], ["lang", "words", "forward", "backward"])
+                    pa.array([lang]), pa.array([known], pa.list_(pa.string())), pa.array([bwt.astype(kind).tobytes()], pa.binary()),
+                    pa.array([backward.astype(kind).tobytes()], pa.binary()), pa.array([kind])], ["lang", "words", "forward", "backward", "kind"])
 
-    return texts.mapInArrow(build, "lang string, words array<string>, forward binary, backward binary")
+    return texts.mapInArrow(build, "lang string, words array<string>, forward binary, backward binary, kind string")
 
 
 def phrase_counts(index: DataFrame, filters: list[np.ndarray], length: int) -> DataFrame:
     """(lang, phrase, n) of the phrases of ``length`` words whose parts may all be frequent, over all shards."""
+    buckets = _buckets(index.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                lang, words, forward, backward = (batch.column(c)[row] for c in range(4))
-                lang, words = lang.as_py(), words.values
-                phrases, size = grow(words.to_pylist(), *(np.frombuffer(x.as_buffer(), "<i4") for x in (forward, backward)), lang, filters, length)
-                for at in range(0, len(size), PHRASES_PER_BATCH):
-                    part = phrases[at:at + PHRASES_PER_BATCH]
-                    text = pc.binary_join_element_wise(*(words.take(pa.array(column - 1)) for column in part.T), " ")
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part)), text, pa.array(size[at:at + PHRASES_PER_BATCH].astype(np.int64))], ["lang", "phrase", "n"])
+                pa.default_memory_pool().release_unused()
+                lang, words, forward, backward, kind = (batch.column(c)[row] for c in range(5))
+                lang, words, kind = lang.as_py(), words.values, kind.as_py()
+                known = words.to_pylist()
+                phrases, size = grow(known, *(np.frombuffer(x.as_buffer(), kind).astype(np.int32) for x in (forward, backward)), lang, filters, length)
+                if len(size):
+                    yield _packed(lang, words, phrases, size, np.append(np.zeros(1, np.uint64), _word_hashes(known)), buckets)
 
-    return index.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return _summed(index.mapInArrow(count, PACKED))
 
 
 def _part(first: Column, count: Column) -> Column:
@@ -297,9 +341,9 @@ def mine_phrases(
     A null language is ``und``; null and empty texts have no words; repeated rows count each. Other columns are not read. An empty table
     gives no rows. A single piece longer than SHARD_BYTES makes a larger index. Jobs run when this is called."""
     texts = _texts(docs, lang_col, text_col)
-    counted = settle(word_counts(texts).where((F.col("n") >= min_count) | F.col("phrase").isNull()), "phrase-words")
-    totals = settle(counted.where("phrase is null").select("lang", "n"), "phrase-totals")
-    levels = [counted.where("phrase is not null").select("lang", "phrase", "n")]
+    counted = settle(word_counts(texts).where((F.col("n") >= min_count) | (F.col("phrase") == "")), "phrase-words")
+    totals = settle(counted.where("phrase = ''").select("lang", "n"), "phrase-totals")
+    levels = [counted.where("phrase <> ''").select("lang", "phrase", "n")]
     filters = [phrase_filter(levels[0])]
     index = settle(shards(texts, filters[0], max_words), "phrase-index")
     for length in range(2, max_words + 1):
