@@ -65,15 +65,10 @@ def test_large_lexicon_join_equals_inline(spark):
     df = frame(spark, [comment(i, content=t) for i, t in enumerate(["谣言和真相", "带节奏的水军", "无", "谣言谣言"])])
     words = spark.createDataFrame(list(lx.V2.sensitive), "word STRING, category STRING")
     inline = {tuple(r) for r in joins.lexicon_join(df, words).select("ord", "word", "category").collect()}
-    large = [tuple(r) for r in joins.substring_join(df, words, ["ord"]).select("ord", "word", "category").collect()]
+    large = [tuple(r) for r in joins.indexed_join(df, words, ["ord"]).select("ord", "word", "category").collect()]
     assert set(large) == inline and len(large) == len(inline) == 5
 
 
-def test_oversized_literal_is_refused():
-    with pytest.raises(ValueError):
-        sc._checked(["w"] * (lx.MAX_INLINE_WORDS + 1))
-
-
 def test_word_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("# note\n谣言\n\n 真相 \n谣言\n", encoding="utf-8")
     assert lx.inline_words(lx.read_words(spark, str(tmp_path))) == ["真相", "谣言"]

@@ -12,6 +12,7 @@ from voxrisk.functions.lexicon import PROVINCE_EN
 from voxrisk.operators import filters, joins, sentiment, topics
 from voxrisk.operators.bots import bot_features, bot_scores
 from voxrisk.operators.regions import coverage
+from voxrisk.operators.wordsearch import with_found
 from voxrisk.views import LATIN_STOPWORDS, LATIN_V1, LATIN_V2
 
 BY_SOURCE = ["source_file"]
@@ -115,7 +116,36 @@ def join_lexicon(spark, sf_dir):
 
 @query("join_lexicon_large", f"{st.COMMENTS} {_SENSITIVE_ROWS}")
 def join_lexicon_large(spark, sf_dir):
-    return joins.substring_join(views.comments(spark, sf_dir), _word_table(spark), ["ord"]).select("ord", "word", "category")
+    return joins.indexed_join(views.comments(spark, sf_dir), _word_table(spark), ["ord"]).select("ord", "word", "category")
+
+
+# Words of the benchmark items, some thousands of them, as a word list
+_ITEM_WORDS = "items AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark) WHERE length(word) >= 4)"
+
+
+def _item_words(spark, sf_dir):
+    words = views.table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word"))
+    return words.where(F.length("word") >= 4).distinct()
+
+
+@query("join_lexicon_any_size", f"""{st.COMMENTS}, {_ITEM_WORDS}
+SELECT ord, word FROM comments JOIN items ON contains(content, word)""")
+def join_lexicon_any_size(spark, sf_dir):
+    return joins.indexed_join(views.comments(spark, sf_dir), _item_words(spark, sf_dir), ["ord"]).select("ord", "word")
+
+
+@query("sensitive_detect_any_size", f"""{st.COMMENTS}, {_ITEM_WORDS},
+listed AS (SELECT word, CASE WHEN length(word) % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM items)
+SELECT ord, CAST(count(word) AS BIGINT) AS sensitive_count, CAST(count(DISTINCT category) AS BIGINT) AS categories, string_agg(word, '|' ORDER BY word) AS words
+FROM comments LEFT JOIN listed ON contains(content, word) GROUP BY ord""")
+def sensitive_detect_any_size(spark, sf_dir):
+    words = _item_words(spark, sf_dir).withColumns({
+        "place": F.col("word"), "category": F.when(F.length("word") % 2 == 0, "even").otherwise("odd")})
+    found = with_found(views.comments(spark, sf_dir), words, ["source_file", "ord"], "hits")
+    count = F.size("hits").cast("bigint")
+    return found.select(
+        "ord", count.alias("sensitive_count"), F.size(F.array_distinct("hits.category")).cast("bigint").alias("categories"),
+        F.when(count > 0, F.array_join("hits.word", "|")).alias("words"))
 
 
 @query("join_stopwords_anti", f"""{st.COMMENTS}

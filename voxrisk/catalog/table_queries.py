@@ -11,11 +11,11 @@ from voxrisk.catalog.comment_queries import scored
 from voxrisk.catalog.registry import long, query, r6, stamp
 from voxrisk.catalog.report_queries import STAMP, report_two
 from voxrisk.functions import text as tx
-from voxrisk.operators import models, prep, quality
+from voxrisk.operators import distinct, models, prep, quality
 from voxrisk.plans import reports
 from voxrisk.session import scratch_path
 from voxrisk.sources import parsers, readers, writers
-from voxrisk.streaming import streams
+from voxrisk.streaming import spikes, streams
 
 # --- sources and sinks -----------------------------------------------------------
 
@@ -311,3 +311,31 @@ def stream_hourly_volume(spark, sf_dir):
     target = scratch_path(spark, "hours")
     streams.append_to(hourly, target, scratch_path(spark, "progress")).awaitTermination()
     return spark.read.parquet(target).select("platform", stamp("hour_start"), *long("n"))
+
+
+@query("stream_spikes", """
+WITH h AS (SELECT event_type AS scope, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2),
+w AS (SELECT *, avg(n) OVER p AS mean, count(*) OVER p AS hours FROM h WINDOW p AS (PARTITION BY scope ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT scope, strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, n, round(mean, 6) AS mean, hours, hours >= 3 AND n > 1.2 * mean AS is_spike FROM w""")
+def stream_spikes(spark, sf_dir):
+    """Hours of a feed whose end is marked, judged as they close; the last ones come out too."""
+    feed, hours, out = (scratch_path(spark, name) for name in ("feed", "hours", "spikes"))
+    events = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("scope"), F.col("ts").cast("timestamp").alias("at"))
+    end = events.agg(F.max("at") + F.expr("INTERVAL 1 DAY")).first()[0]
+    spikes.closing_row(events, "at", end).write.parquet(feed)
+    counted = spikes.hours_with_close(spark.readStream.schema("scope string, at timestamp").parquet(feed), end, ["scope"], "at")
+    spikes.keep(counted, hours, scratch_path(spark, "progress")).awaitTermination()
+    closed = spark.readStream.schema("scope string, hour_start timestamp, n long").parquet(hours)
+    spikes.watch(closed, out, scratch_path(spark, "progress"), scope=["scope"], factor=1.2).awaitTermination()
+    return spark.read.parquet(out).select("scope", stamp("hour"), "n", *r6("mean"), "hours", "is_spike")
+
+
+@query("distinct_users_daily", f"""
+SELECT event_type, count(DISTINCT CAST(ts AS DATE)) AS days, count(*) AS rows, count(DISTINCT user_id) AS exact, true AS within FROM events GROUP BY event_type""")
+def distinct_users_daily(spark, sf_dir):
+    """Sketches per day, merged over all days, beside the exact count: ``within`` says that they agree up to the stated error."""
+    events = views.table(spark, sf_dir, "events")
+    merged = distinct.distinct_over(distinct.daily_sketches(events, ["event_type"], "ts", "user_id"), ["event_type"])
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
+    off = F.abs(F.col("distinct") - F.col("exact")) <= distinct.error_bound() * F.col("exact")
+    return merged.join(exact, "event_type").select("event_type", "days", "rows", "exact", off.alias("within"))

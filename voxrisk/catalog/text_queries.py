@@ -267,11 +267,11 @@ def derive_columns(spark, sf_dir):
 SELECT user_name, CAST(user_level AS BIGINT) AS user_level, coalesce(ip_location, '未知') AS user_ip, like_count, {sql_stamp('publish_time')} AS ctime, ord FROM comments""")
 def flatten_json_normalize(spark, sf_dir):
     parsed = parsers.parsed_lines(raw.lines(spark, sf_dir, "bilibili"))
+    record, author = F.col("record"), F.col("record.user")
     return parsed.select(
-        F.col("record.user.name").alias("user_name"), F.col("record.user.level").cast("bigint").alias("user_level"),
-        tx.strip_ip_prefix(F.col("record.user.ip"), "未知").alias("user_ip"), F.col("record.like").alias("like_count"),
-        F.date_format(F.timestamp_seconds("record.ctime"), "yyyy-MM-dd HH:mm:ss").alias("ctime"),
-        F.shiftright("ord", 16).alias("ord"))
+        parsers.of_author(author, "name").alias("user_name"), parsers.whole(parsers.of_author(author, "level")).alias("user_level"),
+        tx.strip_ip_prefix(parsers.of_author(author, "ip"), "未知").alias("user_ip"), parsers.or_zero(record["like"]).alias("like_count"),
+        F.date_format(parsers.seconds(record["ctime"]), "yyyy-MM-dd HH:mm:ss").alias("ctime"), F.shiftright("ord", 16).alias("ord"))
 
 
 @query("numeric_coerce", r"""

@@ -131,8 +131,7 @@ class Profile:
 V2 = Profile("v2", POSITIVE_V2, NEGATIVE_V2, categorised(SENSITIVE_V2), STOPWORDS_V2)
 V1 = Profile("v1", POSITIVE_V1, NEGATIVE_V1, categorised({"": SENSITIVE_V1}), STOPWORDS_TOPIC)
 
-# Word lists up to this size are inlined in the plan as one literal array; longer
-# ones go through operators.joins.lexicon_join.
+# Word lists up to this size are one literal array in the plan; longer ones are met by operators.wordsearch, with the same result.
 MAX_INLINE_WORDS = 2000
 
 
@@ -152,7 +151,7 @@ def read_sensitive(spark: SparkSession, files: dict[str, str]) -> Categorised:
     """(word, category) pairs from one word file per category, for a ``Profile``.
 
     Missing files are skipped; a word in two files takes the later category; when no file
-    loads, the fallback list is used. Longer lists belong in ``lexicon_join``.
+    loads, the fallback list is used. The list may have any length that the driver holds.
     """
     found: DataFrame | None = None
     for place, (category, path) in enumerate(files.items()):
@@ -164,10 +163,7 @@ def read_sensitive(spark: SparkSession, files: dict[str, str]) -> Categorised:
     if found is None:
         return categorised(SENSITIVE_V2_FALLBACK)
     last = found.groupBy("word").agg(F.max_by("category", "place").alias("category"), F.max("place").alias("place"))
-    rows = last.orderBy("place", "word").limit(MAX_INLINE_WORDS + 1).collect()
-    if len(rows) > MAX_INLINE_WORDS:
-        raise ValueError(f"more than {MAX_INLINE_WORDS} words; use operators.joins.lexicon_join")
-    return tuple((row.word, row.category) for row in rows)
+    return tuple((row.word, row.category) for row in last.orderBy("place", "word").collect())
 
 
 def inline_words(words: DataFrame) -> list[str] | None:

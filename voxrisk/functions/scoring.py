@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxrisk.functions import text as tx
-from voxrisk.functions.lexicon import MAX_INLINE_WORDS, Categorised
+from voxrisk.functions.lexicon import Categorised
 
 NEGATIVE_BELOW, POSITIVE_ABOVE = 0.35, 0.65
 
@@ -28,19 +28,11 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(made)))
 
 
-def _checked(words: Sequence) -> Sequence:
-    if len(words) > MAX_INLINE_WORDS:
-        raise ValueError(
-            f"{len(words)} words do not belong in a plan literal; use operators.joins.lexicon_join"
-        )
-    return words
-
-
 def contained_words(content: Column, words: Sequence[str]) -> Column:
     """Array of the distinct ``words`` that occur in the text."""
     if not words:
         return F.array().cast("array<string>")
-    table = F.array(*[F.lit(w) for w in dict.fromkeys(_checked(words))])
+    table = F.array(*[F.lit(w) for w in dict.fromkeys(words)])
     return F.filter(table, lambda w: F.contains(content, w))
 
 
@@ -53,7 +45,7 @@ def contained_categorised(content: Column, words: Categorised) -> Column:
     if not words:
         return F.array().cast("array<struct<word:string,category:string>>")
     table = F.array(
-        *[F.struct(F.lit(w).alias("word"), F.lit(c).alias("category")) for w, c in _checked(words)]
+        *[F.struct(F.lit(w).alias("word"), F.lit(c).alias("category")) for w, c in words]
     )
     return F.filter(table, lambda x: F.contains(content, x["word"]))
 

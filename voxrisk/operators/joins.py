@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxrisk.functions import scoring as sc
 from voxrisk.functions.lexicon import PROVINCE_EN, inline_words
 from voxrisk.operators.scaling import first_per_key
+from voxrisk.operators.wordsearch import found_words
 
 
 def sentiment_back(comments: DataFrame, results: DataFrame, columns: Sequence[str] = ("sentiment", "sentiment_score", "risk_score")) -> DataFrame:
@@ -22,26 +23,20 @@ def sentiment_back(comments: DataFrame, results: DataFrame, columns: Sequence[st
 def lexicon_join(df: DataFrame, words: DataFrame, keep: Sequence[str] = ("ord",), content: str = "content") -> DataFrame:
     """(row, word, category) for every listed word a text contains.
 
-    A list that fits in the plan is tested in place. A larger one becomes an equi-join:
-    each text offers its distinct substrings of the lengths that occur in the list.
+    A list that fits in the plan is tested in place, a longer one goes through ``indexed_join``; both give the same rows.
     """
-    has_category = "category" in words.columns
     small = inline_words(words)
-    if small is not None:
-        hits = df.select(*keep, F.explode_outer(sc.contained_words(F.col(content), small)).alias("word"))
-        hits = hits.filter(F.col("word").isNotNull())
-        return hits.join(words, "word") if has_category else hits
-    return substring_join(df, words, keep, content)
-
-
-def substring_join(df: DataFrame, words: DataFrame, keep: Sequence[str], content: str = "content") -> DataFrame:
-    """The equi-join form of ``lexicon_join``."""
-    lengths = [row[0] for row in words.select(F.length("word")).distinct().collect()]  # word lengths only
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.regexp_extract_all(F.col(content), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(lengths)
-    ])))
-    offered = df.select(*keep, F.explode_outer(grams).alias("word"))
-    return offered.join(words, "word")
+    if small is None:
+        return indexed_join(df, words, keep, content)
+    hits = df.select(*keep, F.explode_outer(sc.contained_words(F.col(content), small)).alias("word"))
+    hits = hits.filter(F.col("word").isNotNull())
+    return hits.join(words, "word") if "category" in words.columns else hits
+
+
+def indexed_join(df: DataFrame, words: DataFrame, keep: Sequence[str], content: str = "content") -> DataFrame:
+    """``lexicon_join`` for a list of any length; ``keep`` has to tell the rows apart."""
+    hits = found_words(df, words, keep, content)
+    return hits.join(words, "word") if "category" in words.columns else hits
 
 
 def without_stopwords(tokens: DataFrame, stopwords: DataFrame, token: str = "token") -> DataFrame:

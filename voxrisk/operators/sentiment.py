@@ -9,8 +9,23 @@ from pyspark.sql import functions as F
 
 from voxrisk.functions import scoring as sc
 from voxrisk.functions import text as tx
-from voxrisk.functions.lexicon import Profile
+from voxrisk.functions.lexicon import MAX_INLINE_WORDS, Profile
 from voxrisk.operators.scaling import top_k
+from voxrisk.operators.wordsearch import with_found
+
+#: What tells the rows of a comment table apart.
+ROW = ("source_file", "ord")
+
+
+def _with_words(df: DataFrame, name: str, words: Sequence, content: str) -> DataFrame:
+    """The rows with the listed words that they contain: (word, category) if the list has categories."""
+    categorised = bool(words) and not isinstance(words[0], str)
+    if len(words) <= MAX_INLINE_WORDS:
+        pick = sc.contained_categorised if categorised else sc.contained_words
+        return sc.computed_once(df, **{name: pick(F.col(content), words)})
+    schema = "place int, word string, category string" if categorised else "place int, word string"
+    rows = [(i, *w) for i, w in enumerate(words)] if categorised else list(enumerate(dict.fromkeys(words)))
+    return with_found(df, df.sparkSession.createDataFrame(rows, schema), ROW, name, content)
 
 
 def with_sentiment(df: DataFrame, profile: Profile, content: str = "content", score: Column | None = None) -> DataFrame:
@@ -19,11 +34,13 @@ def with_sentiment(df: DataFrame, profile: Profile, content: str = "content", sc
     ``score`` replaces the lexicon score, e.g. with a trained model's probability.
     """
     if score is None:
-        hits = sc.computed_once(
-            df.withColumn("_low", F.lower(content)),
-            _pos=sc.count_contained(F.col("_low"), profile.positive),
-            _neg=sc.count_contained(F.col("_low"), profile.negative),
-        )
+        low = df.withColumn("_low", F.lower(content))
+        if max(len(profile.positive), len(profile.negative)) <= MAX_INLINE_WORDS:
+            hits = sc.computed_once(
+                low, _pos=sc.count_contained(F.col("_low"), profile.positive), _neg=sc.count_contained(F.col("_low"), profile.negative))
+        else:
+            both = _with_words(_with_words(low, "_pos", profile.positive, "_low"), "_neg", profile.negative, "_low")
+            hits = both.withColumns({"_pos": F.size("_pos"), "_neg": F.size("_neg")})
         scored = hits.withColumn("sentiment_score", sc.polarity(F.col("_pos"), F.col("_neg")))
         sure = sc.confidence(F.col("_pos"), F.col("_neg"))
     else:
@@ -38,13 +55,13 @@ def with_sentiment(df: DataFrame, profile: Profile, content: str = "content", sc
 def with_sensitive(df: DataFrame, profile: Profile, content: str = "content") -> DataFrame:
     """Add the sensitive words of each row: with categories (v2) or flat (v1)."""
     if profile.name == "v2":
-        hits = sc.computed_once(df, sensitive_words=sc.contained_categorised(F.col(content), profile.sensitive))
+        hits = _with_words(df, "sensitive_words", profile.sensitive, content)
         return hits.withColumns({
             "sensitive_count": F.size("sensitive_words"),
             "sensitive_categories": F.array_distinct(F.transform("sensitive_words", lambda x: x["category"])),
         })
     words = [word for word, _ in profile.sensitive]
-    hits = sc.computed_once(df, sensitive_words=sc.contained_words(F.col(content), words))
+    hits = _with_words(df, "sensitive_words", words, content)
     return hits.withColumn("sensitive_count", F.size("sensitive_words"))
 
 

@@ -78,20 +78,20 @@ def comment(platform: str, raw: Column, **given: Column) -> Column:
     ])
 
 
-def _whole(value: Column) -> Column:
+def whole(value: Column) -> Column:
     """Whole number of a field given as number or text, fractions cut off; null where it is none."""
     return F.coalesce(value.try_cast("bigint"), value.try_cast("double").try_cast("bigint"))
 
 
-def _or_zero(count: Column) -> Column:
-    return F.coalesce(_whole(count), F.lit(0))
+def or_zero(count: Column) -> Column:
+    return F.coalesce(whole(count), F.lit(0))
 
 
-def _seconds(value: Column) -> Column:
-    return F.timestamp_seconds(F.nullif(_whole(value), F.lit(0)))
+def seconds(value: Column) -> Column:
+    return F.timestamp_seconds(F.nullif(whole(value), F.lit(0)))
 
 
-def _of_author(author: Column, field: str) -> Column:
+def of_author(author: Column, field: str) -> Column:
     """Field of an author kept as JSON text; a plain text is the name."""
     is_object = F.startswith(F.ltrim(author), F.lit("{"))
     return F.when(is_object, F.get_json_object(author, f"$.{field}")).otherwise(author if field == "name" else F.lit(None).cast("string"))
@@ -118,18 +118,18 @@ def _minute(text: Column) -> Column:
 def bilibili(r: Column, main_id: Column) -> Column:
     main = comment(
         "bilibili", r["comment"], comment_id=main_id,
-        user_name=F.coalesce(_of_author(r["user"], "name"), F.lit(UNKNOWN_USER)), user_id=_given(_of_author(r["user"], "mid")),
-        user_level=_whole(_of_author(r["user"], "level")).try_cast("int"), like_count=_or_zero(r["like"]), reply_count=_or_zero(r["reply_count"]),
-        publish_time=_seconds(r["ctime"]), ip_location=tx.strip_ip_prefix(_of_author(r["user"], "ip")),
+        user_name=F.coalesce(of_author(r["user"], "name"), F.lit(UNKNOWN_USER)), user_id=_given(of_author(r["user"], "mid")),
+        user_level=whole(of_author(r["user"], "level")).try_cast("int"), like_count=or_zero(r["like"]), reply_count=or_zero(r["reply_count"]),
+        publish_time=seconds(r["ctime"]), ip_location=tx.strip_ip_prefix(of_author(r["user"], "ip")),
     )
 
     def reply(x: Column, i: Column) -> Column:
-        name = _of_author(x["user"], "name")
+        name = of_author(x["user"], "name")
         is_object = F.startswith(F.ltrim(x["user"]), F.lit("{"))
-        level = _whole(F.when(is_object, _of_author(x["user"], "level")).otherwise(x["level"])).try_cast("int")
+        level = whole(F.when(is_object, of_author(x["user"], "level")).otherwise(x["level"])).try_cast("int")
         return comment(
             "bilibili", x["comment"], comment_id=F.concat(main_id, F.lit("_reply_"), i.cast("string")),
-            user_name=F.coalesce(name, F.lit(UNKNOWN_USER)), user_level=level, like_count=_or_zero(x["like"]),
+            user_name=F.coalesce(name, F.lit(UNKNOWN_USER)), user_level=level, like_count=or_zero(x["like"]),
             ip_location=tx.strip_ip_prefix(x["ip"]), is_reply=F.lit(True), parent_id=main_id,
         )
 
@@ -140,7 +140,7 @@ def bilibili(r: Column, main_id: Column) -> Column:
 def tieba(r: Column, main_id: Column) -> Column:
     main = comment(
         "tieba", r["content"], comment_id=main_id, user_name=F.coalesce(r["author"], F.lit(UNKNOWN_USER)),
-        user_id=tx.blank_if_null(F.nullif(r["user_id"], F.lit(TIEBA_NO_ID))), reply_count=_or_zero(r["total_lzl"]),
+        user_id=tx.blank_if_null(F.nullif(r["user_id"], F.lit(TIEBA_NO_ID))), reply_count=or_zero(r["total_lzl"]),
         publish_time=_minute(r["time"]), ip_location=r["ip_location"],
     )
 
@@ -161,7 +161,7 @@ def tieba(r: Column, main_id: Column) -> Column:
 def zhihu(r: Column, main_id: Column) -> Column:
     return F.array(comment(
         "zhihu", r["content"], comment_id=main_id,
-        user_name=F.coalesce(r["author"], F.lit(ZHIHU_USER)), like_count=_or_zero(r["vote"]),
+        user_name=F.coalesce(r["author"], F.lit(ZHIHU_USER)), like_count=or_zero(r["vote"]),
         publish_time=F.try_to_timestamp(r["time"], F.lit("yyyy-MM-dd HH:mm:ss")),
         ip_location=F.nullif(r["ip"], F.lit(ZHIHU_NO_IP)), source_url=r["url"],
     ))
@@ -175,9 +175,9 @@ def douyin(r: Column, main_id: Column) -> Column:
     return F.array(comment(
         "douyin", F.coalesce(r["text"], r["content"]), comment_id=main_id,
         user_name=F.coalesce(r["nickname"], r["user_name"], F.lit(DOUYIN_USER)), user_id=tx.blank_if_null(r["user_id"]),
-        like_count=F.coalesce(_whole(r["digg_count"]), _or_zero(r["like_count"])),
-        reply_count=F.coalesce(_whole(r["reply_total"]), _or_zero(r["reply_comment_total"])),
-        publish_time=_seconds(r["create_time"]),
+        like_count=F.coalesce(whole(r["digg_count"]), or_zero(r["like_count"])),
+        reply_count=F.coalesce(whole(r["reply_total"]), or_zero(r["reply_comment_total"])),
+        publish_time=seconds(r["create_time"]),
         ip_location=F.coalesce(r["ip_label"], r["ip_location"]), is_reply=reply,
         parent_id=F.when(reply, r["reply_id"]),
     ))
