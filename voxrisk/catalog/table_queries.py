@@ -11,7 +11,7 @@ from voxrisk.catalog.comment_queries import scored
 from voxrisk.catalog.registry import long, query, r6, stamp
 from voxrisk.catalog.report_queries import STAMP, report_two
 from voxrisk.functions import text as tx
-from voxrisk.operators import distinct, models, prep, quality
+from voxrisk.operators import distinct, forest, models, prep, quality
 from voxrisk.plans import reports
 from voxrisk.session import scratch_path
 from voxrisk.sources import parsers, readers, writers
@@ -247,35 +247,83 @@ def regress_line(spark, sf_dir):
     return out.select("n", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), *r6("r2"))
 
 
-@query("regress_poly")
+_PAIRS_SQL = """pairs AS (
+  SELECT l_orderkey || '-' || l_linenumber AS key, l_quantity AS x, l_extendedprice AS y,
+    CAST('0x' || substr(md5(l_orderkey || '-' || l_linenumber), 1, 8) AS BIGINT) % 10 < 2 AS is_test FROM lineitem)"""
+_METRICS_SQL = """e AS (SELECT *, y - prediction AS e FROM predicted),
+metrics AS (
+  SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS part, count(*) AS n, round(1 - avg(e * e) / var_pop(y), 6) AS r2, round(avg(e * e), 2) AS mse,
+    round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e)), 4) AS mae FROM e GROUP BY is_test)"""
+_LINE_SQL = "line AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS base FROM pairs WHERE NOT is_test)"
+
+
+def _metrics(predicted):
+    found = models.regression_metrics(predicted)
+    return found.select("part", "n", *r6("r2"), F.round("mse", 2).alias("mse"), F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"))
+
+
+@query("regress_poly", f"""
+WITH {_PAIRS_SQL},
+m AS (
+  SELECT avg(x) AS mx, avg(x * x) AS mv, avg(y) AS my, var_pop(x) AS xx, var_pop(x * x) AS vv, covar_pop(x, x * x) AS xv, covar_pop(x, y) AS xy, covar_pop(x * x, y) AS vy
+  FROM pairs WHERE NOT is_test),
+w AS (SELECT *, (xy * vv - vy * xv) / (xx * vv - xv * xv) AS b, (vy * xx - xy * xv) / (xx * vv - xv * xv) AS c FROM m),
+predicted AS (SELECT p.*, my + b * (x - mx) + c * (x * x - mv) AS prediction FROM pairs p, w),
+{_METRICS_SQL}
+SELECT metrics.*, printf('y=%.4f%+.4f*x%+.4f*x^2', my - b * mx - c * mv, b, c) AS expression FROM metrics, w""")
 def regress_poly(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
     model = models.fit_polynomial(pairs, degree=2)
     shown = models.expression(*models.coefficients(model))
-    return models.regression_metrics(models.predict(model, pairs)).withColumn("expression", F.lit(shown))
+    return _metrics(models.predict(model, pairs)).withColumn("expression", F.lit(shown))
 
 
-@query("regress_forest")
+_WEIGHT_SQL = " + ".join(f"CAST(u >= {bound} AS INT)" for bound in forest.POISSON_BOUNDS)
+
+
+@query("regress_forest", f"""
+WITH {_PAIRS_SQL},
+drawn AS (
+  SELECT t, x, y, CAST('0x' || substr(md5(key || ':' || (t // 4)), CAST(t % 4 * 8 + 1 AS INT), 8) AS BIGINT) AS u FROM pairs, range({forest.TREES}) r(t) WHERE NOT is_test),
+leaves AS (SELECT t, x, sum(w * y) / sum(w) AS mean FROM (SELECT t, x, y, {_WEIGHT_SQL} AS w FROM drawn) WHERE w > 0 GROUP BY t, x),
+places AS (SELECT t, x FROM (SELECT DISTINCT x FROM pairs), range({forest.TREES}) r(t)),
+near AS (
+  SELECT p.t, p.x, l.mean FROM places p JOIN leaves l USING (t)
+  QUALIFY row_number() OVER (PARTITION BY p.t, p.x ORDER BY abs(l.x - p.x), l.x) = 1),
+told AS (SELECT x, avg(mean) AS prediction FROM near GROUP BY x),
+predicted AS (SELECT pairs.*, prediction FROM pairs JOIN told USING (x)),
+{_METRICS_SQL}
+SELECT *, CAST(1 AS DOUBLE) AS importance FROM metrics""")
 def regress_forest(spark, sf_dir):
+    return _metrics(forest.predict_forest(_pairs(spark, sf_dir))).withColumn("importance", F.lit(1.0))  # of the only column
+
+
+@query("regress_forest_shallow")
+def regress_forest_shallow(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
     model = models.fit_forest(pairs)
     importance = float(model.stages[-1].featureImportances[0])
     return models.regression_metrics(models.predict(model, pairs)).withColumn("importance", F.lit(importance))
 
 
-@query("predict_value")
+@query("predict_value", f"""
+WITH {_PAIRS_SQL}, {_LINE_SQL}
+SELECT DISTINCT x, round(base + slope * x, 4) AS prediction FROM pairs, line""")
 def predict_value(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
     model = models.fit_polynomial(pairs, degree=1)
     wanted = pairs.select("x").distinct()
-    return models.predict(model, wanted)
+    return models.predict(model, wanted).select("x", F.round("prediction", 4).alias("prediction"))
 
 
-@query("residuals")
+@query("residuals", f"""
+WITH {_PAIRS_SQL}, {_LINE_SQL}
+SELECT key, x, y, round(base + slope * x, 4) AS prediction, round(y - base - slope * x, 4) AS residual FROM pairs, line""")
 def residuals(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
     model = models.fit_polynomial(pairs, degree=1)
-    return models.residuals(models.predict(model, pairs)).select("key", "x", "y", "prediction", "residual")
+    out = models.residuals(models.predict(model, pairs))
+    return out.select("key", "x", "y", F.round("prediction", 4).alias("prediction"), F.round("residual", 4).alias("residual"))
 
 
 @query("sentiment_model")
