@@ -9,10 +9,11 @@ from voxrisk.catalog import sqltext as st
 from voxrisk.catalog.registry import joined, long, q, query, r6
 from voxrisk.functions import text as tx
 from voxrisk.functions.lexicon import PROVINCE_EN
-from voxrisk.operators import filters, joins, sentiment, topics
+from voxrisk.operators import filters, joins, segmentation, sentiment, topics
 from voxrisk.operators.bots import bot_features, bot_scores
 from voxrisk.operators.regions import coverage
 from voxrisk.operators.wordsearch import with_found
+from voxrisk.session import settle
 from voxrisk.views import LATIN_STOPWORDS, LATIN_V1, LATIN_V2
 
 BY_SOURCE = ["source_file"]
@@ -337,6 +338,36 @@ def tokenize_cjk(spark, sf_dir):
     return topics.token_rows(docs, ["doc_id"], cjk=True).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
+# The given texts are in Latin letters; each run of letters is taken as one without spaces, and the words found are its building blocks
+_LETTERS = r"[\p{L}]+"
+
+
+@query("find_words", f"""
+WITH runs AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_LETTERS}')) AS run FROM documents) GROUP BY run),
+grams AS (
+  SELECT gram, length(gram) AS size, sum(n) AS n FROM (
+    SELECT substr('^' || run || '^', i, k) AS gram, n FROM runs, range(1, 6) s(k), unnest(range(1, length(run) + 4 - k)) t(i)) GROUP BY gram),
+inside AS (SELECT * FROM grams WHERE NOT contains(gram, '^')),
+total AS (SELECT sum(n) AS total FROM inside WHERE size = 1),
+held AS (
+  SELECT g.gram AS word, g.n FROM inside g, unnest(range(1, g.size)) t(k)
+  JOIN inside l ON l.gram = substr(g.gram, 1, k) JOIN inside r ON r.gram = substr(g.gram, k + 1)
+  WHERE g.size BETWEEN 2 AND 4 AND g.n >= 5 GROUP BY g.gram, g.n HAVING min(g.n / (CAST(l.n AS DOUBLE) * r.n / (SELECT total FROM total))) >= 20),
+before AS (SELECT substr(gram, 2) AS word, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM grams WHERE size > 2 GROUP BY 1),
+behind AS (SELECT substr(gram, 1, size - 1) AS word, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM grams WHERE size > 2 GROUP BY 1)
+SELECT word, CAST(n AS BIGINT) AS n, round(ln(n / total), 6) AS weight FROM (
+  SELECT h.word, h.n FROM held h JOIN before b USING (word) JOIN behind e USING (word) WHERE least(b.h, e.h) >= 0.8
+  UNION ALL SELECT gram, n FROM inside WHERE size = 1), total""")
+def find_words(spark, sf_dir):
+    found = settle(segmentation.runs(views.table(spark, sf_dir, "documents"), "text", _LETTERS), "runs")
+    return segmentation.find_words(found).select("word", "n", *r6("weight"))
+
+
+@query("segment_words")
+def segment_words(spark, sf_dir):
+    return segmentation.segment(views.table(spark, sf_dir, "documents"), ["doc_id"], "text", _LETTERS)
+
+
 _TOKENS = f"""tok AS (SELECT * FROM (SELECT source_file, ord, like_count, unnest({st.tokens('content')}) AS token FROM comments)
   WHERE token NOT IN ({st.stop(LATIN_STOPWORDS)}))"""
 _PER_ROW = f"""{_TOKENS},

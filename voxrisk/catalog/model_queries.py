@@ -101,10 +101,11 @@ def kmeans_clusters(spark, sf_dir):
 
 
 @query("covariance_matrix", " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, round(covar_pop({a}, {b}), 4) AS covariance, round(corr({a}, {b}), 6) AS correlation FROM lineitem"
+    f"SELECT '{a}' AS a, '{b}' AS b, round(covar_pop({a}, {b}), 4) AS covariance, round(corr({a}, {b}), 6) AS correlation FROM (SELECT * REPLACE (l_extendedprice / 1000 AS l_extendedprice) FROM lineitem)"
     for a in MEASURES for b in MEASURES))
 def covariance_matrix(spark, sf_dir):
-    m = moments.moments(views.table(spark, sf_dir, "lineitem"), MEASURES)
+    """Prices are in thousands, so that all entries have digits to show."""
+    m = moments.moments(views.table(spark, sf_dir, "lineitem").withColumn("l_extendedprice", F.col("l_extendedprice") / 1000), MEASURES)
     cov, corr = m.covariance, m.correlation
     rows = [(a, b, float(cov[i, j]), float(corr[i, j])) for i, a in enumerate(MEASURES) for j, b in enumerate(MEASURES)]
     out = spark.createDataFrame(rows, "a string, b string, covariance double, correlation double")
