@@ -63,6 +63,9 @@ def time_range(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     )
 
 
+WITHIN_DAY = ("second", "minute", "hour")
+
+
 def time_density(df: DataFrame, scope: Sequence[str] = (), unit: str = "hour") -> DataFrame:
     """Rows per time step from the first to the last one, empty steps as 0."""
     step = F.date_trunc(unit, "publish_time")
@@ -71,6 +74,11 @@ def time_density(df: DataFrame, scope: Sequence[str] = (), unit: str = "hour") -
     )
     span = counts.groupBy(*scope).agg(F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi"))
     every = F.expr(f"interval 1 {unit}")
+    if unit in WITHIN_DAY:  # day by day, so that one far-off time doesn't make an array of all steps up to it
+        day = F.date_trunc("day", "_lo")
+        days = span.select(*scope, "_lo", "_hi", F.explode(F.sequence(day, F.col("_hi"), F.expr("interval 1 day"))).alias("_day"))
+        until = F.least("_hi", F.col("_day") + F.expr("interval 1 day") - every)
+        span = days.select(*scope, F.greatest("_lo", "_day").alias("_lo"), until.alias("_hi"))
     spine = span.select(*scope, F.explode(F.sequence("_lo", "_hi", every)).alias("bucket"))
     joined = spine.join(counts, [*scope, "bucket"], "left")
     return joined.withColumn("n", F.coalesce("n", F.lit(0)))
