@@ -244,3 +244,21 @@ def test_given_tables(spark):
     given = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
     out = whitening.whiten(given)
     assert out.count() == given.count() * 32 and out.agg(F.max("identity_error")).first()[0] < 1e-9
+
+
+# --- conversations without an id ---------------------------------------------------------
+def test_conversations_without_an_id(spark, tmp_path):
+    import duckdb
+
+    from voxrisk.llm import queries
+
+    rows = [(None, 0, "user", "a <b>"), (None, 1, "assistant", "c\\"), (3, 1, "assistant", None), (3, 0, "user", "q"), (4, None, "assistant", "x"), (4, 2, "user", "y")]
+    path = f"{tmp_path}/conversations.parquet"
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(path)
+    out = queries.QUERIES["op8_chat_formatting"](spark, str(tmp_path))
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+        cursor = duck.execute(queries.ORACLES["op8_chat_formatting"])
+        want = {tuple(zip((d[0] for d in cursor.description), row)) for row in cursor.fetchall()}
+    got = {tuple((c, r[c]) for c in (n for n, _ in next(iter(want)))) for r in out.collect()}
+    assert got == want and {dict(r)["conv_id"] for r in got} == {None, 3, 4, -7}

@@ -73,16 +73,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     turns = given.unionByName(extra).withColumn("node", F.row_number().over(order))
+    tree = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))  # rows without an id are a conversation too
     messages = turns.select(
-        F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(None).cast("double").alias("score"))
+        tree.alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(None).cast("double").alias("score"))
     out = chat.format_threads(messages)
     said, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss"))
     text = F.array_join(F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.withColumn("said", said).withColumn("trained", loss).select(
-        F.col("tree").alias("conv_id"), F.size("said").cast("bigint").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),
+        F.nullif("tree", F.lit("")).cast("long").alias("conv_id"), F.size("said").cast("bigint").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),
         F.length("trained").cast("bigint").alias("loss_chars"), F.sha2(F.col("trained"), 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
