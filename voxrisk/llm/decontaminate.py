@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxrisk.llm.graphs import without
+from voxrisk.llm.graphs import numbered, without
 from voxrisk.session import settle
 
 WORD = re.compile(r"\w+")
@@ -304,6 +304,8 @@ def _search(docs: DataFrame, spark: SparkSession, rows: list, n: int, mean_words
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents that hold no test item, with the columns that came in. Rows with a null id are judged by their own text."""
-    keyed = docs.withColumn("_row", F.struct(F.col("doc_id"), F.xxhash64("text")).cast("string"))
-    gone = settle(contaminated(keyed, items, id_col="_row").select("_row").distinct(), "contaminated")
-    return without(keyed, "_row", gone, "_row").drop("_row")
+    held = numbered(docs)
+    place = {name: c for c, name in zip(held.columns, docs.columns)}
+    keyed = held.withColumn("_row", F.struct(F.col(place["doc_id"]), F.xxhash64(place["text"])).cast("string"))
+    gone = settle(contaminated(keyed, items, id_col="_row", text_col=place["text"]).select("_row").distinct(), "contaminated")
+    return without(keyed, "_row", gone, "_row").drop("_row").toDF(*docs.columns)

@@ -10,16 +10,22 @@ from voxrisk.session import settle
 BITMAP_WORDS = 1 << 17  # 8 million bits in at most 131,072 rows: small enough to broadcast whatever the data
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with its columns renamed to c0, c1, ...: what is added beside them clashes with no name of the caller's."""
+    return rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+
+
 def narrow(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows whose key may be among ``ids``, without moving the rows.
 
     The ids set bits in a bitmap of fixed size, which is broadcast. A row whose bit is not set is surely not
     among them; some others pass as well, so an exact join has to follow where that matters."""
-    return maybe_among(rows, key, ids, id_col).where("_maybe").select(*rows.columns)
+    held = numbered(rows)
+    return maybe_among(held, held.columns[rows.columns.index(key)], ids, id_col).where("_maybe").select(*held.columns).toDF(*rows.columns)
 
 
 def maybe_among(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows with ``_maybe``: false if the key is surely not among ``ids``, by a bitmap of fixed size."""
+    """Rows with ``_maybe``: false if the key is surely not among ``ids``, by a bitmap of fixed size. Adds _word, _bit and _bits too."""
     spot = lambda c: F.pmod(F.xxhash64(F.lit(5), F.col(c)), F.lit(BITMAP_WORDS * 64))
     word, bit = (lambda c: F.floor(spot(c) / 64).cast("int")), (lambda c: (spot(c) % 64).cast("int"))
     bits = ids.select(word(id_col).alias("_word"), bit(id_col).alias("_bit"))
@@ -30,10 +36,12 @@ def maybe_among(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataF
 
 def without(rows: DataFrame, key: str, gone: DataFrame, id_col: str) -> DataFrame:
     """Rows whose key is not among ``gone``; only those that may be among them are moved for an exact anti-join."""
-    maybe = maybe_among(rows, key, gone, id_col)
-    sure = maybe.where(~F.col("_maybe")).select(*rows.columns)
-    rest = maybe.where("_maybe").select(*rows.columns).join(gone.select(F.col(id_col).alias(key)), key, "left_anti").select(*rows.columns)
-    return sure.unionByName(rest)
+    held = numbered(rows)
+    own = held.columns[rows.columns.index(key)]
+    maybe = maybe_among(held, own, gone, id_col)
+    sure = maybe.where(~F.col("_maybe")).select(*held.columns)
+    rest = maybe.where("_maybe").select(*held.columns).join(gone.select(F.col(id_col).alias(own)), own, "left_anti").select(*held.columns)
+    return sure.unionByName(rest).toDF(*rows.columns)
 
 
 def components(links: DataFrame) -> DataFrame:
