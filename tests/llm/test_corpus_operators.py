@@ -238,6 +238,55 @@ def test_dedup_lines_edges(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_near_lines_equal_all_pairs(spark):
+    """Links of lines against every pair by plain edit distance, in one-byte and wider characters."""
+    rng = random.Random(23)
+    made = set()
+    for _ in range(12):
+        base = "".join(rng.choice("abcde é中") for _ in range(rng.randrange(18, 70)))
+        for _ in range(14):
+            x = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                at = rng.randrange(len(x))
+                x[at:at + 1] = rng.choice(["", "z", "é", x[at] + "q"])
+            made.add("".join(x).strip())
+    made |= {"x" * n for n in range(18, 45)} | {"common opening words " + str(n) * 25 for n in range(30)}
+    table = spark.createDataFrame([(x,) for x in sorted(made)], "line string").withColumn("k", F.xxhash64("line"))
+    name = {r.k: r.line for r in table.collect()}
+    found = {frozenset((name[r.a], name[r.b])) for r in lines.near_lines(table).collect()}
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    every = sorted(made)
+    wanted = {
+        frozenset((x, y)) for i, x in enumerate(every) for y in every[:i]
+        if abs(len(x) - len(y)) <= 2 and distance(x, y) <= min(2, min(len(x), len(y)) // 20)}
+    assert found == wanted and len(wanted) > 100
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns of the caller named like those that the operators add come back as they were."""
+    names = ["_maybe", "_word", "_bit", "_bits", "gone", "near", "exact", "doc", "t", "n_lines", "_row", "c1"]
+    rows = [(k, text, "en", "s", *range(100 * k, 100 * k + len(names))) for k, text in enumerate([
+        "a first line that is long enough\nand another one that stays", "something else\na first line that is long enough", "", None,
+        "something else\na first line that is long enough"])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` long" for n in names))
+    items = spark.createDataFrame([(1, "Question about nothing in here at all.\nAnswer with some words")], "item_id long, text string")
+    given = {r.doc_id: tuple(r[n] for n in names) for r in table.collect()}
+    gone = spark.createDataFrame([(1,)], "doc_id long")
+    for run in (lambda d: without(d, "doc_id", gone, "doc_id"), lambda d: decontaminate.drop_contaminated(d, items), lines.drop_repeated_lines):
+        out = run(table)
+        assert out.dtypes == table.dtypes
+        kept = out.collect()
+        assert kept and all(tuple(r[n] for n in names) == given[r.doc_id] for r in kept)
+
+
 def test_pipeline_lines_spare_copies(spark):
     rng = random.Random(3)
     shared, own = [invented(rng, 8) for _ in range(4)], "Boilerplate of the site, on every page."

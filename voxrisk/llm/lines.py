@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxrisk.llm.graphs import maybe_among, narrow
+from voxrisk.llm.graphs import maybe_among, narrow, numbered
 from voxrisk.llm.sharding import FIRST, ranges_below
 from voxrisk.session import settle
 
@@ -144,20 +144,29 @@ def counts_apart(a: Column, b: Column) -> Column:
 def near_lines(lines: DataFrame, threshold: int = THRESHOLD, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """Links (a, b) of line hashes k whose texts differ but lie within the edits allowed. ``lines``: line, k, each text once.
 
-    Index and probe keys are joined on their hash without the texts. Pairs whose letter counts alone tell that they
-    are further apart are dropped by the join itself, so many lines that share a segment but differ elsewhere make few rows.
-    Only lines that have a candidate are fetched and compared."""
+    Index and probe keys are joined on their hash without the texts. A line's index keys are among its own probe keys, so a key
+    that one line alone probes links nothing; such keys, nearly all, go after counting. Only lines that share a key with another get
+    letter counts, and pairs whose counts alone tell that they are further apart are dropped by the join itself, so many lines that
+    share a segment but differ elsewhere make few rows. Only lines that have a candidate are fetched and compared."""
     length = F.length("line")
-    long_enough = lines.where(length >= chars_per_edit).withColumn("counts", letter_counts(F.col("line")))
+    line = F.col("line")
+    plain = F.octet_length("line") == length  # one byte a character: segments are cut without counting characters
+
+    def cut(keys) -> Column:
+        return F.when(plain, keys(line.cast("binary"), length, threshold, chars_per_edit)).otherwise(keys(line, length, threshold, chars_per_edit))
+
     # the texts are read and cut once; the keys of both sides are exploded from what is written
-    keys = settle(long_enough.select(
-        "k", "counts", index_keys(F.col("line"), length, threshold, chars_per_edit).alias("index"),
-        probe_keys(F.col("line"), length, threshold, chars_per_edit).alias("probes")), "line-keys")
-    index = keys.select("k", "counts", F.explode("index").alias("key"))
-    probes = keys.select("k", "counts", F.explode("probes").alias("key"))
-    other = probes.select("key", F.col("k").alias("other"), F.col("counts").alias("other_counts"))
+    keys = settle(lines.where(length >= chars_per_edit).select("k", cut(index_keys).alias("index"), cut(probe_keys).alias("probes")), "line-keys")
+    index, probes = (keys.select("k", F.explode(side).alias("key")) for side in ("index", "probes"))
+    shared = settle(probes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "line-shared")
+    index = settle(narrow(index, "key", shared, "key").join(shared, "key", "left_semi"), "line-index")
+    met = settle(index.select("key").distinct(), "line-met")
+    probes = settle(narrow(probes, "key", met, "key").join(met, "key", "left_semi"), "line-probes")
+    meeting = settle(probes.select(F.col("k").alias("w")).distinct(), "line-meeting")
+    counts = settle(narrow(lines.select("k", "line"), "k", meeting, "w").select("k", letter_counts(line).alias("counts")).distinct(), "line-counts")
+    other = probes.join(counts, "k").select("key", F.col("k").alias("other"), F.col("counts").alias("other_counts"))
     near = (F.col("k") != F.col("other")) & (counts_apart(F.col("counts"), F.col("other_counts")) <= 2 * threshold)
-    met = index.join(other, "key").where(near)
+    met = index.join(counts, "k").join(other, "key").where(near)
     pairs = settle(met.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
     texts = settle(narrow(lines.select("k", "line"), "k", wanted, "w").distinct(), "line-texts")
@@ -288,28 +297,29 @@ def dedup_lines(
     one text are one document and are treated alike. Columns named like the three counts are replaced. Jobs run
     when this is called."""
     decisions = settle(line_decisions(docs, id_col, text_col, threshold, chars_per_edit, min_places, spare_copies), "line-decisions")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    numbered = docs.drop("n_lines", "n_exact", "n_near").withColumn("_doc", F.coalesce(F.col(id_col).cast("bigint"), F.lit(FIRST))).withColumn("_t", F.xxhash64(text))
-    found = decisions.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), "exact", "near", "gone")
+    given = docs.drop("n_lines", "n_exact", "n_near")
+    held = numbered(given)
+    id_, text_ = (F.col(held.columns[given.columns.index(c)]) for c in (id_col, text_col))
+    text = F.coalesce(text_, F.lit(""))
+    keyed = held.withColumn("doc", F.coalesce(id_.cast("bigint"), F.lit(FIRST))).withColumn("t", F.xxhash64(text))
     # most rows of a clean corpus lose nothing; they are not moved
-    maybe = maybe_among(numbered, "_t", decisions, "t")
-    rest = maybe.where("_maybe").drop("_maybe").join(found, ["_doc", "_t"], "left")
-    sure = maybe.where("NOT _maybe").drop("_maybe")
-    marked = rest.unionByName(sure, allowMissingColumns=True)
-    parts = F.split(text, "\n")
-    kept = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(without_lines(text, F.col("gone")))
+    maybe = maybe_among(keyed, "t", decisions, "t")
+    rest = maybe.where("_maybe").join(decisions, ["doc", "t"], "left")
+    marked = rest.unionByName(maybe.where("NOT _maybe"), allowMissingColumns=True)
+    kept = F.when(F.col("gone").isNull(), text_).otherwise(without_lines(text, F.col("gone")))
     return marked.select(
-        *[kept.alias(c) if c == text_col else F.col(c) for c in numbered.columns if c not in ("_doc", "_t")],
-        F.size(F.filter(parts, lambda x: F.trim(x) != "")).cast("bigint").alias("n_lines"),
+        *[(kept if name == text_col else F.col(c)).alias(name) for c, name in zip(held.columns, given.columns)],
+        F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).cast("bigint").alias("n_lines"),
         F.coalesce("exact", F.lit(0)).cast("bigint").alias("n_exact"), F.coalesce("near", F.lit(0)).cast("bigint").alias("n_near"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_places: int = 2) -> DataFrame:
     """Documents without the lines that the corpus repeats, columns as they came (n_chars counted anew). Documents that
     are left without any text by that go; copies of whole documents stay whole, for a near-duplicate stage to judge."""
-    out = dedup_lines(docs, min_places=min_places, spare_copies=True)
-    emptied = (F.col("n_exact") + F.col("n_near") > 0) & (F.trim("text") == "")
-    text = out.where(~emptied)
-    if "n_chars" in docs.columns:
-        text = text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return text.select(*docs.columns)
+    held = numbered(docs)
+    place = {name: c for c, name in zip(held.columns, docs.columns)}
+    out = dedup_lines(held, place["doc_id"], place["text"], min_places=min_places, spare_copies=True)
+    left = out.where(~((F.col("n_exact") + F.col("n_near") > 0) & (F.trim(place["text"]) == "")))
+    if "n_chars" in place:
+        left = left.withColumn(place["n_chars"], F.length(place["text"]).cast(docs.schema["n_chars"].dataType))
+    return left.select(*held.columns).toDF(*docs.columns)
