@@ -407,6 +407,43 @@ def test_nearest(spark, cluster):
     assert neighbours.nearest(table.limit(0)).count() == 0 and neighbours.nearest(table.where("vec_id = 0")).count() == 0
 
 
+def test_nearest_repeated_rows_and_widths(spark):
+    rng = np.random.default_rng(4)
+    x, short = rng.standard_normal((90, 6)), rng.standard_normal((25, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist())] * 2 + [(40, x[3].tolist()), (7, x[8].tolist())]
+    rows += [(200 + i, v.tolist()) for i, v in enumerate(short)] + [(400, [1.0, 2.0, 3.0]), (600, [])]
+    table = spark.createDataFrame([(i, v, i, 0.5, "c", i) for i, v in rows], "vec_id long, embedding array<double>, row long, score double, cell string, rank long")
+    got = sorted(tuple(r) for r in neighbours.nearest(table, k=12, confidence=1 - 1e-9, cell_rows=30, block_rows=15, queries_at_once=3).collect())
+    want = []
+    for at, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            near = [(-float((np.array(w) * np.array(v)).sum()), i) for j, (i, w) in enumerate(rows) if j != at and len(w) == len(v) > 0]
+            want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(sorted(near)[:12])]
+    want.sort()
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], rtol=0, atol=1e-12)
+    assert Counter(r[0] for r in got)[20] == 36 and 400 not in {r[0] for r in got}
+
+
+def test_stopping_test_decides():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + 0.1 * rng.standard_normal((150, 24)) for c in rng.standard_normal((20, 24)) * 3])
+    longest, ids = float((x * x).sum(axis=1).max()), np.arange(len(x))
+    matrix = neighbours.projection(24)
+    points = neighbours.lifted(x, longest) @ matrix
+    own = ids[::20]
+    scores = x[own] @ x.T
+    scores[np.arange(len(own)), own] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :10]
+    share, recall = {}, {}
+    for sure in (0.5, 0.95, 1 - 1e-12):
+        block = neighbours.Block(ids, ids, x, points)
+        who, found, _ = block.search(own, x[own], x[own] @ matrix[:24], np.full(len(own), np.inf), 10, longest, neighbours.chi_square_quantile(sure, neighbours.PROJECTIONS))
+        share[sure] = block.verified / (len(own) * (len(x) - 1))
+        recall[sure] = sum(len(set(found[who == i]) & set(best[i])) for i in range(len(own))) / best.size
+    assert share[0.5] < share[0.95] < share[1 - 1e-12] and share[0.95] < 0.9
+    assert recall[0.95] >= 0.95 and recall[1 - 1e-12] == 1
+
+
 # --- sharding --------------------------------------------------------------------
 def test_shards(spark):
     rng = random.Random(1)
