@@ -79,7 +79,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def index_keys(signatures: np.ndarray) -> np.ndarray:
-    """Keys of each signature (row): for every run of positions, every choice of ERRORS = 1 position left out."""
+    """Keys of each signature (row): for every run of positions, every choice of ERRORS = 1 position left out.
+
+    The low six bits of a key are its number among the keys of a signature."""
     out = []
     for part in PARTS:
         for left in part:
@@ -87,7 +89,7 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
             for p in part:
                 if p != left:
                     key = _mix(key ^ (signatures[:, p].astype(np.uint64) + U(0x9E3779B97F4A7C15)))
-            out.append(key)
+            out.append((key & ~U(POSITIONS - 1)) | U(len(out)))
     return np.stack(out, axis=1).view(np.int64)
 
 
@@ -193,19 +195,20 @@ def _within_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, siz
     signature distance, then by whole sets, and only while its components are not yet joined in this task. So a large
     group of similar texts yields few rows, whatever the number of its pairs."""
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(41)), F.col("_blocks")).cast("int")
-    dealt = members.withColumn("_blocks", blocks).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select("key", "rep", "component", "n", "c", F.col("_own").alias("own"), F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
-    reps = settle(members.select("rep").distinct(), "near-ids")
-    sets = settle(_sets(docs, reps, size), "near-sets")
-    rows = dealt.join(sets, "rep").join(classes.select("rep", "sig"), "rep")
+    own = F.pmod(F.xxhash64("rep", F.lit(41)), F.col("blocks")).cast("int")
+    # one row per class, with its at most POSITIONS buckets, meets the class's set and signature; only then it is dealt out
+    held = members.groupBy("rep").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.first("c").alias("c"), F.collect_list(F.struct("key", blocks.alias("blocks"))).alias("buckets"))
+    held = settle(held, "near-held")
+    sets = settle(_sets(docs, held.select("rep"), size), "near-sets")
+    rows = held.join(classes.select("rep", "sig"), "rep").join(sets, "rep").select("*", F.inline("buckets")).withColumn("own", own)
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "rep", "component", "n", "c", "own", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "s", "sig")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("rep").sort_values(["own", "rep"])
         rep, component, n, c, own = (rows[x].to_numpy() for x in ("rep", "component", "n", "c", "own"))
         signatures = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), POSITIONS)
-        with np.errstate(over="ignore"):
-            slot = int(np.flatnonzero(index_keys(signatures[:1])[0] == rows["key"].iloc[0])[0])
+        slot = int(rows["key"].iloc[0]) & (POSITIONS - 1)
         _, flat = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["s"]]), return_inverse=True)
         start = np.append(0, np.cumsum([len(x) // 8 for x in rows["s"]]))
         length = np.diff(start)
@@ -290,10 +293,16 @@ def near_duplicates(
         groups = settle(components(links).select(F.col("node").alias("rep"), "component"), "near-groups")
 
     crossing = settle(_crossing(members, groups).select("key", "rep", "component"), "near-crossing")
-    sized = settle(crossing.join(settle(_shareable(crossing, classes, given, shingle_words, percent), "near-shareable"), "rep"), "near-sized")
+    shareable = settle(_shareable(crossing, classes, given, shingle_words, percent), "near-shareable")
+    # a class has at most POSITIONS keys; they travel as one row, so that a group of near copies joins its classes, not their keys
+    held = crossing.groupBy("rep").agg(F.first("component").alias("component"), F.collect_list("key").alias("keys"))
+    sized = settle(held.join(shareable, "rep").select("rep", "component", "n", "c", F.explode("keys").alias("key")), "near-sized")
     buckets = sized.groupBy("key").agg(
-        F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("component").alias("_m"), F.max("component").alias("_most")).where("_m < _most")
-    sized = sized.join(settle(buckets.drop("_m", "_most"), "near-open"), "key")
+        F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("component").alias("_m"), F.max("component").alias("_most"),
+        F.bit_xor(F.xxhash64("rep")).alias("_d1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("_d2")).where("_m < _most")
+    # of buckets with the same members the first by number has all their pairs
+    buckets = buckets.groupBy("members", "_d1", "_d2").agg(F.first("shingles").alias("shingles"), F.min_by("key", F.expr(f"key & {POSITIONS - 1}")).alias("key"))
+    sized = sized.join(settle(buckets.drop("_d1", "_d2"), "near-open"), "key")
     few = sized.where(F.col("members") <= FEW)
     other = few.select("key", F.col("rep").alias("b"), F.col("component").alias("other"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
     # at most the smaller set's shareable part is common; sets too unlike in size are out by the same measure
