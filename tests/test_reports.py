@@ -91,6 +91,26 @@ def test_render_and_sink(spark, report, tmp_path):
     assert {r.format for r in back.collect()} == {"md", "txt"} and back.count() == 2 * report.count()
 
 
+def test_v1_appendices(spark):
+    rows = [comment(i, content=f"谣言 {i} " + "很长" * 80, user_id=f"u{i}") for i in range(70)]
+    rows += [comment(100 + i, content="好", user_id="loud", user_name="Loud", publish_time=__import__("datetime").datetime(2024, 1, 1, 3, i)) for i in range(30)]
+    out = reports.report_v1(frame(spark, rows), SCOPE, lx.V1, risky_from=0)
+    listed = out.first()
+    scored = {r["ord"]: (r["risk_score"], r["content"]) for r in reports.sentiment.with_risk(
+        reports.sentiment.with_sensitive(reports.sentiment.with_sentiment(frame(spark, rows), lx.V1), lx.V1), lx.V1).collect()}
+    want = sorted(scored, key=lambda i: (-scored[i][0], i))[:50]
+    assert [(x["index"], x["risk_score"], x["content"]) for x in listed.sensitive_content] == [(i, scored[i][0], scored[i][1][:100]) for i in want]
+    users = reports.bots.bot_scores(reports.row_features_v1(frame(spark, rows), SCOPE), SCOPE).where("risk_level = 'high'").collect()
+    best = sorted(users, key=lambda r: (-r.overall_score, r.user))[:20]
+    assert best and [(x.user_id, x.risk_score, x.total_comments, x.reasons) for x in listed.high_risk_accounts] == [
+        (r.user, r.overall_score, r.total_comments, r.reasons) for r in best]
+    text = reports.with_report_fields_v1(out, "feed", "2024-01-02 03:04:05").select(render.markdown_v1()).first()[0]
+    assert "**报告ID**: RPT_20240102030405" in text and "**数据源**: feed" in text and f"### 高风险账号 (前 {len(best)} 个)" in text
+    assert "**Loud** (风险: " in text and text.count('..."') == 10 and "### 敏感内容 (前 50 条)" in text
+    plain = reports.report_v1(frame(spark, [comment(1, content="好")]), SCOPE, lx.V1).first()
+    assert plain.high_risk_accounts == [] and plain.sensitive_content == []
+
+
 def test_v1_record(spark):
     r = reports.report_row_v1(reports.report_v1(frame(spark, random_rows(120, 3)), SCOPE, lx.V1), SCOPE).first()
     assert set(json.loads(r.report)["risk_breakdown"]) == {"sentiment_risk", "account_risk", "behavior_risk", "content_risk"}

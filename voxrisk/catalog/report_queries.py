@@ -285,7 +285,7 @@ def report_row(spark, sf_dir):
 
 @query("report_row_v1")
 def report_row_v1(spark, sf_dir):
-    return reports.report_row_v1(report_one(spark, sf_dir), BY_SOURCE)
+    return reports.report_row_v1(report_one(spark, sf_dir), BY_SOURCE, generated_at=STAMP)
 
 
 @query("render_report")
@@ -297,7 +297,8 @@ def render_report(spark, sf_dir):
 
 @query("render_report_v1")
 def render_report_v1(spark, sf_dir):
-    return report_one(spark, sf_dir).select("source_file", render.markdown_v1().alias("md"))
+    rows = reports.with_report_fields_v1(report_one(spark, sf_dir), generated_at=STAMP)
+    return rows.select("source_file", render.markdown_v1().alias("md"))
 
 
 # --- quality and basic figures ---------------------------------------------------

@@ -114,7 +114,7 @@ def report_record() -> Column:
     ip = F.when(F.col("gini").isNotNull(), F.struct(
         "provinces", "gini", F.col("top3_ratio").alias("top3"), F.col("ip_score").alias("suspicion")))
     return F.to_json(F.struct(
-        F.struct("generated_at", "source_url", "platform", "total_comments", "high_risk_comments", "suspicious_users").alias("basic"),
+        F.struct("source_file", "generated_at", "source_url", "platform", "total_comments", "high_risk_comments", "suspicious_users").alias("basic"),
         F.struct(
             F.col("overall_score").alias("score"), F.col("overall_level").alias("level"),
             F.struct(F.col("sentiment_part").alias("sentiment"), F.col("ip_part").alias("ip"),
@@ -132,7 +132,29 @@ FORMATS = {"md": markdown, "json": report_record, "html": html, "txt": txt, "das
 LEVEL_MARK = {"low": "🟢", "medium": "🟡", "high": "🔴", "critical": "💀"}
 
 
+#: Entries of each appendix that the text shows, and the characters of a text in it.
+SHOWN, SHOWN_TEXT = 10, 50
+
+
+def _appendices_v1() -> Column:
+    def entries(name: str, show) -> Column:
+        return F.array_join(F.transform(F.slice(name, 1, SHOWN), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), show(x))), "\n")
+
+    def text(x: Column) -> Column:
+        return F.coalesce(x.cast("string"), F.lit(""))
+
+    accounts = entries("high_risk_accounts", lambda x: F.concat(
+        F.lit("**"), text(x["user_name"]), F.lit("** (风险: "), text(x["risk_score"]), F.lit("/100)\n   - 评论数: "), text(x["total_comments"]),
+        F.lit("\n   - 理由: "), F.array_join(x["reasons"], ", "), F.lit("\n")))
+    contents = entries("sensitive_content", lambda x: F.concat(
+        F.lit("风险 "), text(x["risk_score"]), F.lit('/100: "'), F.substring(text(x["content"]), 1, SHOWN_TEXT), F.lit('..."')))
+    return F.concat(
+        F.lit("### 高风险账号 (前 "), F.size("high_risk_accounts").cast("string"), F.lit(" 个)\n\n"), accounts,
+        F.lit("\n### 敏感内容 (前 "), F.size("sensitive_content").cast("string"), F.lit(" 条)\n\n"), contents)
+
+
 def markdown_v1() -> Column:
+    """Text of a v1 report; id, time and source come from ``with_report_fields_v1``."""
     mark = F.lit("⚪")
     for level, sign in LEVEL_MARK.items():
         mark = F.when(F.col("risk_level") == level, sign).otherwise(mark)
@@ -154,10 +176,12 @@ def markdown_v1() -> Column:
         F.lit("- **舆论导向**: "), _s("orientation_label"), F.lit("\n- **热度评分**: "), tx.fixed(F.col("trending_score"), 1),
         F.lit("/100\n- **热门关键词**: "), F.coalesce(F.array_join("top_keywords", ", "), F.lit("无")))
     return F.concat_ws(
-        "\n", F.lit("# 安全监测报告"), F.concat(F.lit("\n**平台**: "), _s("platform"), F.lit("  \n**总评论数**: "), _s("total_comments")),
+        "\n", F.lit("# 安全监测报告"),
+        F.concat(F.lit("\n**报告ID**: "), _s("report_id"), F.lit("  \n**生成时间**: "), _s("generated_at"), F.lit("  \n**数据源**: "), _s("data_source"), F.lit("  ")),
+        F.concat(F.lit("**平台**: "), _s("platform"), F.lit("  \n**总评论数**: "), _s("total_comments")),
         F.concat(F.lit("**时间范围**: "), _s("start"), F.lit(" ~ "), _s("end")),
         F.concat(F.lit("\n- **风险评分**: "), _s("overall_score"), F.lit("/100\n- **风险等级**: "), mark, F.lit(" "), F.upper(_s("risk_level"))),
         _section("风险分解", risks), _section("情感分析", mood), _section("机器人检测", bots), _section("异常检测", odd),
         _section("话题分析", topics), _section("预警信息", _bullets("warnings", numbered=True)),
-        _section("建议措施", _bullets("recommendations", numbered=True)),
+        _section("建议措施", _bullets("recommendations", numbered=True)), _section("附录", _appendices_v1()),
     )
