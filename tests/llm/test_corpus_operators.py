@@ -126,6 +126,17 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, rows), table.limit(0)).count() == 0
 
 
+def test_short_items_and_tails(spark):
+    long = [f"w{k}" for k in range(83)]  # a tail of three words, with the answer
+    items = [(1, "Two words"), (2, "質問は何ですか。答えは東京です。"), (3, "a b c d"), (None, "sole"), (None, "other"), (4, " ".join(long[:81]) + "? " + " ".join(long[81:])), (5, "?!")]
+    rows = [(10, "here two, words stand"), (11, "two other words"), (12, "前。質問は何ですか。答えは東京です。後"), (13, "x a b c d y"), (14, "a b c x d"), (15, "b c d a b c"),
+            (16, "pad " * 77 + " ".join(long) + " end"), (17, " ".join(long[:81]) + " q r s"), (18, "the sole thing")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), table).collect()]
+    assert (11, None) in got and (18, None) in got
+    assert sorted(x for x in got if x[1]) == [(10, 1), (12, 2), (13, 3), (16, 4), (17, 4)] and len(got) == 7
+
+
 def test_block_max_wand_equals_exhaustive():
     rng = random.Random(8)
     words = [f"w{k}" for k in range(60)]
@@ -158,6 +169,30 @@ def test_main_text():
     assert extract.main_text(long).count("\n") == 4999
 
 
+def test_articles_side_by_side():
+    part = lambda name, many: "".join(f"<p>{name} {k}, a paragraph with commas, and with some length to it.</p>" for k in range(many))
+    teaser = "<article><h3><a href=1>Read more, now</a></h3><p>Short, <a href=2>teaser of another page, with a link</a></p></article>"
+    page = f"<body><nav>Menu</nav><main><article>{part('One', 5)}</article><article>{part('Two', 3)}</article>{teaser}<article class=comment>{part('No', 4)}</article></main></body>"
+    lines = extract.main_text(page).split("\n")
+    assert [x.split(",")[0] for x in lines] == [f"One {k}" for k in range(5)] + [f"Two {k}" for k in range(3)]
+    even = f"<body><div>{part('A', 3)}</div><section><div>{part('B', 3)}</div></section></body>"
+    assert extract.main_text(even).startswith("A 0,")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_planted_articles_of_several_shapes(seed):
+    rng = random.Random(seed)
+    around = ['<nav><ul><li><a href=1>Home</a><li><a href=2>News, and more</a></ul></nav>', '<div class="sidebar"><p>Side, text, with, many, commas, of another thing.</p></div>',
+              '<div id="cookie-banner">We use cookies, of course, here.</div>', '<form><p>Sign up, please, today, now.</p></form>', "<script>let p = '<p>no, no</p>'</script>"]
+    for shape in ("<article>{}</article>", "<main>{}</main>", '<div class="post-content">{}</div>', "<div><div><section>{}</section></div></div>"):
+        blocks = [("h1", "Title of the page")] + [(rng.choice(["p", "p", "p", "h2", "blockquote"]), f"Block {k} &amp; {invented(rng, 25)}, and  more.") for k in range(8)]
+        body = "\n".join(f"<{tag}>{text}</{tag}>" for tag, text in blocks)
+        rng.shuffle(around)
+        page = f"<html><head><title>x</title></head><body>{''.join(around[:2])}{shape.format(body)}{''.join(around[2:])}<footer><p>Imprint, terms, contact.</p></footer></body></html>"
+        want = [" ".join(text.replace("&amp;", "&").split()) for _, text in blocks]
+        assert extract.main_text(page).split("\n") == want, shape
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (None, None, None, None), (BIG, "", "", 1)], "page_id long, url string, html string, n_chars int")
     assert Counter(map(tuple, extract.extract_pages(pages).collect())) == Counter({(1, "u", "a", 1): 2, (None, None, "", 0): 1, (BIG, "", "", 0): 1})

@@ -23,6 +23,8 @@ K1, B = 1.2, 0.75
 PASSAGE, STEP = 160, 80
 #: Items of more words are indexed in pieces of so many, so that a piece fits into one passage.
 ITEM_WORDS = 80
+#: Items of fewer words have too few triples to be told by a share of them; they have to stand in a passage as they are.
+SHORT = 5
 #: Share of an item's own BM25 score that a passage has to reach.
 SCORE_SHARE = 0.6
 #: Share of the word triples of the question, and of the answer, that the passage has to hold.
@@ -47,6 +49,12 @@ def triples(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def parts_of(question: list[str], answer: list[str]) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]]]:
+    """What a passage has to hold of a piece: triples of question and answer, or a short piece's whole run of words."""
+    whole = tuple(question + answer)
+    return ({whole} if whole else set(), set()) if len(whole) < SHORT else (triples(question), triples(answer))
+
+
 def held(part: set[tuple[str, ...]], passage: list[str]) -> float:
     """Share of the runs that occur in the passage; an empty part is held."""
     if not part:
@@ -114,8 +122,9 @@ def build_index(pieces: list[tuple[int, list[str], list[str]]], idf: dict[str, f
                 rest[p] += x
     for p, x in enumerate(rest):
         light[p // RANGE] = max(light[p // RANGE], x)
+    wanted = [parts_of(x[1], x[2]) for x in pieces]
     return Index(
-        [x[0] for x in pieces], [triples(x[1]) for x in pieces], [triples(x[2]) for x in pieces], words,
+        [x[0] for x in pieces], [q for q, _ in wanted], [a for _, a in wanted], words,
         [np.array([p for p, _ in rows]) for rows in posted], [np.array([x for _, x in rows]) for rows in posted],
         np.array([max(x for _, x in rows) for rows in posted]), telling, light, np.array(begin), np.array(range_of, np.int64), np.array(range_most), len(pieces) // RANGE + 1)
 
@@ -209,7 +218,8 @@ def item_pieces(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, row, question array, answer array): words of each item, cut into pieces of at most ITEM_WORDS.
 
     The answer is what follows the last line break but closing ones, or else the last question or sentence end; a text of one
-    sentence is halved. An item of fewer than five words says too little to be found by, it takes no part."""
+    sentence is halved. Where the last piece would have fewer than SHORT words, it begins SHORT words earlier. Only items without
+    words take no part."""
     kind = items.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +231,11 @@ def item_pieces(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lines = [e for e in ends if text[e - 1] == "\n"]
                 words = words_of(text)
                 n = len(words_of(text[:(lines or ends or [0])[-1]])) or len(words) // 2
-                if len(words) < 5:
-                    continue
-                for k in range(0, len(words), ITEM_WORDS):
-                    part = words[k:k + ITEM_WORDS]
-                    if k and len(part) < 5:
-                        continue
+                cuts = list(range(0, len(words), ITEM_WORDS))
+                if len(cuts) > 1 and len(words) - cuts[-1] < SHORT:
+                    cuts[-1] -= SHORT
+                for k, end in zip(cuts, [*cuts[1:], len(words)]):
+                    part = words[k:end]
                     at.append(i)
                     number.append(k)
                     q, a = question_and_answer(part, min(max(n - k, 0), len(part)))
@@ -248,13 +257,15 @@ def contaminated(
 
     Each passage of every document is a BM25 query to the index of test items; all items whose score reaches
     ``score_share`` of their own are taken (no best-k limit), and confirmed if the passage holds ``overlap`` of the word triples of the
-    question and of the answer. Per document and item the passage with the largest (least overlap, score), the first of
+    question and of the answer. Items of fewer than SHORT words are confirmed where all their words stand in a row, so one of a single word is held
+    by every document with that word. Per document and item the passage with the largest (least overlap, score), the first of
     equals, is returned, ``start`` being its first word; an item of several pieces by its best piece.
 
-    The index is cut by hash into shards of about ``shard_words`` words of items, each broadcast and searched in a pass of its own,
+    Rows of items that share an id are one item; those without an id are one each. The index is cut by hash into shards of about ``shard_words`` words of items, each broadcast and searched in a pass of its own,
     so the items may be many. Null and empty texts hold nothing; null ids are kept as they are; repeated rows give
     repeated results; other columns are not read. Jobs run when this is called."""
     pieces = settle(item_pieces(items, item_id, item_text), "items")
+    place = F.when(F.col("item").isNull(), F.xxhash64("question", "answer")).otherwise(F.xxhash64("item"))  # items without an id are dealt by their words
     size = F.size("question") + F.size("answer")
     n, total = pieces.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     shards = max(1, math.ceil(total / shard_words))
@@ -265,7 +276,7 @@ def contaminated(
     item_kind = items.schema[item_id].dataType.simpleString()
     out = None
     for shard in range(shards):
-        rows = seen.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).collect()  # of bounded size
+        rows = seen.where(F.pmod(place, F.lit(shards)) == shard).collect()  # of bounded size
         found = _search(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), docs.sparkSession, rows, n, total / max(1, n), kind, item_kind, score_share, overlap)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_id)
@@ -273,8 +284,14 @@ def contaminated(
 
 def _search(docs: DataFrame, spark: SparkSession, rows: list, n: int, mean_words: float, kind: str, item_kind: str, share: float, overlap: float) -> DataFrame:
     idf = {x.word: math.log(1 + (n - x.df + 0.5) / (x.df + 0.5)) for r in rows for x in r.df}
-    given = sorted(((i, list(r.question), list(r.answer)) for i, r in enumerate(rows)), key=lambda x: rows[x[0]].item)
-    shared = spark.sparkContext.broadcast((build_index(given, idf, mean_words), [r.item for r in rows]))
+    # rows without an id stay apart; the pieces of an item count as one
+    rows = sorted(rows, key=lambda r: (r.item is None, 0 if r.item is None else r.item, r.number, r.question, r.answer))
+    names, given = [], []
+    for r in rows:
+        if not names or r.item is None or r.item != names[-1]:
+            names.append(r.item)
+        given.append((len(names) - 1, list(r.question), list(r.answer)))
+    shared = spark.sparkContext.broadcast((build_index(given, idf, mean_words), names))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, item_of = shared.value

@@ -33,6 +33,8 @@ AROUND = frozenset(
     "breadcrumbs footer header masthead topbar comment comments commentlist disqus respond replies discussion cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe subscription signup social share sharing related recommended recommendations widget widgets toolbar pagination pager skip "
     "login search form outbrain taboola tags".split())
+#: Whole names of <article> elements that are none.
+NO_ARTICLE = frozenset("comment comments reply related promo advert".split())
 WITHIN = frozenset("article body content main post entry story text page".split())
 PREFIXES = frozenset("with has no is js".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -45,6 +47,8 @@ def _surrounds(tag: str, rest: str) -> bool:
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return True
+    if tag == "article" and not NO_ARTICLE.isdisjoint(f"{found.get('class', '')} {found.get('id', '')}".lower().split()):
+        return True
     if tag in ("html", "body", "article", "main", "p", "a", "span", "b", "i", "em", "strong") and tag not in ("p", "span"):
         return False
     if found.get("role", "").lower() in ROLES:
@@ -58,6 +62,10 @@ def _surrounds(tag: str, rest: str) -> bool:
     return False
 
 
+#: Share of the best article's points from which an article beside it belongs to the same text.
+SIBLING = 0.2
+
+
 class Page:
     """A page as arrays in document order: tag and parent of each element, and its runs of text between block limits."""
 
@@ -162,12 +170,13 @@ class Page:
             if block[i] == i or whole[i]:
                 whole[self.parent[i]] += whole[i]
                 in_links[self.parent[i]] += in_links[i]
-        score = [0.0] * n
+        score, mass = [0.0] * n, [0.0] * n
         for i in range(n):
             if length[i] and not gone[i]:
                 points = (1 + commas[i] + min(length[i] / 100, 3)) * (1 - linked[i] / length[i])
                 if self.tags[i] in HEADINGS:
                     points /= 4
+                mass[i] = points
                 up, share = (self.parent[i] if self.tags[i] in PARAGRAPHS else i), 1.0
                 for level in range(2, 8):
                     score[up] += points * share
@@ -185,6 +194,15 @@ class Page:
         best = top or best  # the marked article, where the best container lies in one
         keep = [False] * n
         keep[best] = True
+        # a text may be spread over articles side by side: those with a like share of all points inside them belong to it
+        for i in range(n - 1, 0, -1):
+            mass[self.parent[i]] += mass[i]
+        home = self.parent[best] if self.tags[best] == "article" else best
+        beside = [i for i in range(1, n) if self.tags[i] == "article" and self.parent[i] == home and not gone[i] and whole[i]]
+        worth = {i: mass[i] * (1 - in_links[i] / whole[i]) for i in beside}
+        slight = {i for i in beside if worth[i] < SIBLING * max(worth.values())}
+        for i in beside:
+            keep[i] = keep[i] or i not in slight
         if best and not article[best]:
             side = max(10.0, final[best] * 0.2)
             for i in range(1, n):
@@ -193,7 +211,7 @@ class Page:
                     plain = self.tags[i] in PARAGRAPHS and dense < 0.25 and (whole[i] > 60 or self.tags[i] in HEADINGS)
                     keep[i] = final[i] >= side or plain
         for i in range(1, n):
-            keep[i] = keep[i] or keep[self.parent[i]]
+            keep[i] = keep[i] or keep[self.parent[i]] and i not in slight
         lines, line = [], []
         for i, run in [*self.runs, (-1, "")]:
             if i < 0:
@@ -217,7 +235,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     names itself menu, header, footer, sidebar, notice, advert, form, comment, script or style is out. Every block of text gives points,
     one and more for commas and length, less the share of its text in links, to the elements around it, fewer the further
     out. The element with most points, less its own share of links, is the container; it and siblings of like
-    score or with running text are kept, or the whole <article> or <main> that it lies in. Blocks are joined by one line
+    score or with running text are kept, or the whole <article> or <main> that it lies in, with the articles beside
+    each other there that hold SIBLING of the best one's points or more. Of equal scores the first container is taken. Blocks are joined by one line
     break, white space in them is one space. A null or empty page, or one of links only, has an empty text; repeated rows give repeated
     results, null ids and urls stay; other columns are not read. One pass, no shuffle."""
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
