@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import comment, frame
 from voxrisk.functions import lexicon as lx
-from voxrisk.operators import distinct, joins, sentiment
+from voxrisk.operators import distinct, joins, sentiment, wordsearch
 from voxrisk.operators.wordsearch import found_words, with_found, word_index
 from voxrisk.streaming import spikes
 
@@ -61,6 +61,22 @@ def test_null_keys_and_empty_tables(spark):
     assert found_words(df.limit(0), words_table(spark, ["ab"]), ["ord"]).count() == 0
 
 
+def test_words_are_found_where_the_texts_are(spark, monkeypatch):
+    texts, words = texts_and_words(5, 60, 300)
+    words += ["a b谣言", texts[3] + "x"]
+    df = spark.createDataFrame(list(enumerate([*texts, "xa b谣言 " * 9])), "ord long, content string")
+    listed = words_table(spark, words).withColumn("category", F.lit("k"))
+    hits = found_words(df, listed, ["ord"])
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Exchange" not in plan and "Join" not in plan  # no row moves
+    here = sorted(map(tuple, hits.collect())), sorted(map(str, with_found(df, listed, ["ord"], "hits").collect()))
+    monkeypatch.setattr(wordsearch, "MAX_HELD_WORDS", 0)
+    assert here == (sorted(map(tuple, found_words(df, listed, ["ord"]).collect())), sorted(map(str, with_found(df, listed, ["ord"], "hits").collect())))
+    monkeypatch.setattr(wordsearch._Search, "AT_ONCE", 50)  # texts looked at in many parts
+    whose, which = wordsearch._Search(words).hits(texts)
+    assert set(zip(whose.tolist(), which.tolist())) == {(i, k) for i, t in enumerate(texts) for k, w in enumerate(words) if t and w in t}
+
+
 @pytest.mark.parametrize("profile", [lx.V1, lx.V2])
 def test_long_lists_score_like_short_ones(spark, monkeypatch, profile):
     rng = random.Random(4)
