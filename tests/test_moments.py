@@ -179,6 +179,17 @@ def test_lloyd_step_and_empty_cluster(spark):
     assert km.lloyd_step(rows, step.centres).cost <= step.cost
 
 
+def test_nearest_centre_of_whole_batches(spark):
+    rng = np.random.default_rng(11)
+    data, centres = rng.integers(0, 6, (km.AT_ONCE + 300, 2)).astype(float), rng.integers(0, 6, (9, 2)).astype(float)
+    _, df = frame(spark, data)
+    rows = df.select("id", km.nearest(F.when(F.col("id") != 5, F.array("c0", "c1")), centres.tolist()).alias("best")).coalesce(1)
+    assert "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString()
+    told = {r.id: r.best for r in rows.collect()}
+    d2 = ((data[:, None] - centres[None]) ** 2).sum(axis=2)
+    assert told.pop(5) is None and all(tuple(b) == (d2[i].min(), d2[i].argmin()) for i, b in told.items())  # the first of equally near ones
+
+
 def test_kmeans_edges(spark):
     names, df = frame(spark, np.zeros((0, 2)))
     found = km.kmeans(df, "id", names, 3)

@@ -6,20 +6,38 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxrisk.operators.geometry import squared_distance
 from voxrisk.operators.moments import numbers
 
 SEED, SEEDING_ROUNDS, OVERSAMPLING = 42, 5, 2.0
 Centres = list[list[float]]
 
 
+AT_ONCE = 4096  # rows of a batch whose distances are held together
+
+
 def nearest(x: Column, centres: Centres) -> Column:
-    """(d2, cluster) of the nearest centre, the first of equally near ones."""
-    table = F.array(*[F.struct(F.lit(c).alias("at"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)])
-    return F.array_min(F.transform(table, lambda c: F.struct(squared_distance(x, c["at"]).alias("d2"), c["cluster"].alias("cluster"))))
+    """(d2, cluster) of the nearest centre, the first of equally near ones. Squares are summed in column order; null without a point."""
+    at = np.array(centres, float)
+
+    def told(*columns: pa.Array) -> pa.Array:
+        points = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns])
+        best, near = np.empty(len(points)), np.empty(len(points), np.int32)
+        for low in range(0, len(points), AT_ONCE):
+            some = points[low : low + AT_ONCE]
+            d2 = np.zeros((len(at), len(some)))
+            for i in range(at.shape[1]):
+                off = some[:, i] - at[:, i : i + 1]
+                d2 += off * off
+            own = d2.argmin(axis=0)
+            near[low : low + AT_ONCE], best[low : low + AT_ONCE] = own, d2[own, np.arange(len(some))]
+        return pa.StructArray.from_arrays([pa.array(best), pa.array(near)], names=["d2", "cluster"])
+
+    best = F.arrow_udf(told, "struct<d2: double, cluster: int>")
+    return F.when(x.isNotNull(), best(*[x[i] for i in range(at.shape[1])]))
 
 
 def _luck(key: Column, turn: int) -> Column:
@@ -43,16 +61,15 @@ def lloyd_step(rows: DataFrame, centres: Centres) -> Step:
     such centres the others stay. Neither raises the cost. Sums are made in tasks, and one row per cluster reaches the driver."""
     d = len(centres[0])
     placed = rows.select("key", "x", nearest(F.col("x"), centres).alias("best")).select("key", "x", "best.*")
-    furthest = F.min(F.struct((-F.col("d2")).alias("d2"), "key", "x")).alias("far")
     sums = placed.groupBy("cluster").agg(
-        F.count("*").alias("n"), F.sum("d2").alias("cost"), furthest, *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)]).collect()
+        F.count("*").alias("n"), F.sum("d2").alias("cost"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)]).collect()
     found = {r.cluster: r for r in sums}
     after = [[found[c][f"m{i}"] for i in range(d)] if c in found else list(old) for c, old in enumerate(centres)]
     empty = [c for c in range(len(centres)) if c not in found]
     if empty and found:
-        far = min(found.values(), key=lambda r: (r.far.d2, r.far.key is not None, r.far.key))
-        if far.far.d2 < 0:
-            after[empty[0]] = list(far.far.x)
+        far = placed.agg(F.min(F.struct((-F.col("d2")).alias("d2"), "key", "x")).alias("far")).first().far  # seldom needed, so a pass of its own
+        if far.d2 < 0:
+            after[empty[0]] = list(far.x)
     return Step(float(sum(r.cost for r in sums)), [found[c].n if c in found else 0 for c in range(len(centres))], after)
 
 
