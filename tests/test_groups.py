@@ -190,3 +190,14 @@ def test_fill_and_drop(spark):
                                "n INT, s STRING, e STRING, c STRING")
     rows = sorted(map(tuple, prep.clean_table(df).collect()))
     assert rows == [(1.0, "b"), (2.5, "a"), (4.0, "a")]
+
+
+def test_tokens_counted_within_their_text(spark):
+    texts = [(1, "ab cd ab, ab!"), (1, "cd x 你好你好 zz"), (2, None), (3, ""), (None, "ab ab"), (None, "the ab"), (4, " ".join(f"w{i % 700}" for i in range(5000)))]
+    df = spark.createDataFrame(texts, "ord long, content string")
+    for cjk in (False, True):
+        rows = topics.token_rows(df, ["ord"], ["the"], cjk, counted=True)
+        assert "token" not in "".join(x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x)  # no task holds tokens to be grouped
+        plain = topics.token_rows(df, ["ord"], ["the"], cjk).groupBy("ord", "token").agg(F.count("*").alias("n"))
+        assert sorted(map(str, rows.select("ord", "token", "n").collect())) == sorted(map(str, plain.collect()))
+    assert topics.token_rows(df.limit(0), ["ord"], counted=True).count() == 0

@@ -154,8 +154,7 @@ SELECT ord, token, count(*) AS n FROM (SELECT ord, unnest({st.tokens('content')}
 WHERE token NOT IN ({st.stop(LATIN_STOPWORDS)}) GROUP BY 1, 2""")
 def join_stopwords_anti(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in LATIN_STOPWORDS], "word STRING")
-    kept = joins.without_stopwords(topics.token_rows(views.comments(spark, sf_dir), ["ord"]), words)
-    return kept.groupBy("ord", "token").agg(F.count("*").alias("n"))
+    return joins.without_stopwords(topics.token_rows(views.comments(spark, sf_dir), ["ord"], counted=True), words).select("ord", "token", "n")
 
 
 _ENGLISH = {**PROVINCE_EN, **{f"NATION_{i}": f"Nation {i}" for i in range(0, 25, 2)}}
@@ -320,8 +319,7 @@ def top_high_risk(spark, sf_dir):
 SELECT ord, token, count(*) AS n FROM (SELECT ord, unnest({st.tokens('content')}) AS token FROM comments)
 WHERE token NOT IN ({st.stop(LATIN_STOPWORDS)}) GROUP BY 1, 2""")
 def tokenize_split(spark, sf_dir):
-    rows = topics.token_rows(views.comments(spark, sf_dir), ["ord"], LATIN_STOPWORDS)
-    return rows.groupBy("ord", "token").agg(F.count("*").alias("n"))
+    return topics.token_rows(views.comments(spark, sf_dir), ["ord"], LATIN_STOPWORDS, counted=True)
 
 
 _CHARS = "'天气很好今天'"

@@ -19,8 +19,12 @@ def _keep(word: Column, stopwords: Sequence[str]) -> Column:
     return ~word.isin(*stopwords) if stopwords else F.lit(True)
 
 
-def token_rows(df: DataFrame, keep: Sequence[str], stopwords: Sequence[str] = (), cjk: bool = False) -> DataFrame:
-    """One row per token occurrence."""
+def token_rows(df: DataFrame, keep: Sequence[str], stopwords: Sequence[str] = (), cjk: bool = False, counted: bool = False) -> DataFrame:
+    """One row per token occurrence. ``counted``: one row per different token of the texts with equal ``keep``, with ``n``; the tokens of
+    a text are counted within it, so ``keep`` should tell the rows apart, and no task holds more than their texts."""
+    if counted:
+        texts = df.groupBy(*keep).agg(F.array_join(F.collect_list("content"), " ").alias("content"))
+        return _counted_tokens(texts, keep, cjk).filter(F.col("token").isNotNull() & _keep(F.col("token"), stopwords))
     content = F.col("content")
     words = tx.cjk_tokens(content) if cjk else tx.tokens(content)
     # outer: a plain explode would split every text once more to test for emptiness
@@ -28,6 +32,18 @@ def token_rows(df: DataFrame, keep: Sequence[str], stopwords: Sequence[str] = ()
     return rows.filter(F.col("token").isNotNull() & _keep(F.col("token"), stopwords))
 
 
+def _counted_tokens(texts: DataFrame, keep: Sequence[str], cjk: bool) -> DataFrame:
+    """(keep, token, n) per text: its tokens are sorted, and the places where a new one begins tell how often each stands."""
+    words = tx.cjk_tokens(F.col("content")) if cjk else tx.tokens(F.col("content"))
+    rows = sc.computed_once(texts.select(*keep, "content"), _words=F.sort_array(words)).select(*keep, "_words")
+    size = F.size("_words")
+    new = lambda i: (i == 0) | (F.get("_words", i) != F.get("_words", i - 1))
+    rows = sc.computed_once(rows, _begins=F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), new)))
+    count = lambda i, k: F.coalesce(F.get("_begins", k + 1), size) - i
+    found = F.transform("_begins", lambda i, k: F.struct(F.get("_words", i).alias("token"), count(i, k).cast("bigint").alias("n")))
+    return rows.select(*keep, F.inline_outer(found))
+
+
 def keywords_count(df: DataFrame, scope: Sequence[str], stopwords: Sequence[str], k: int = 20) -> DataFrame:
     """Most frequent tokens; equal counts in token order."""
     counts = token_rows(df, scope, stopwords).groupBy(*scope, "token").agg(F.count("*").alias("n"))
@@ -74,7 +90,7 @@ def keywords_tfidf(df: DataFrame, scope: Sequence[str], stopwords: Sequence[str]
 def keywords_per_row(df: DataFrame, stopwords: Sequence[str], k: int = 10) -> DataFrame:
     """Ten best tokens of every comment, known by (source_file, ord), by tf * ln(docs / df)."""
     row = ["source_file", "ord"]
-    per_row = token_rows(df, row, stopwords).groupBy(*row, "token").agg(F.count("*").alias("tf"))
+    per_row = token_rows(df, row, stopwords, counted=True).withColumnRenamed("n", "tf")
     present = df.select(F.explode_outer(F.array_distinct(tx.tokens(F.col("content")))).alias("token"))
     corpus = present.filter(F.col("token").isNotNull()).groupBy("token").agg(F.count("*").alias("_df"))
     docs = df.agg(F.count("*").alias("docs")).scalar()
