@@ -539,6 +539,46 @@ def test_quality(spark):
     assert kept.columns == ["doc_id", "text", "lang"]
 
 
+def test_ranking_is_fitted_on_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    width, ridge = len(quality.FEATURES), 1e-3
+    y = np.array([k % 3 > 0 for k in range(150)])
+    x = rng.normal(size=(150, width)) * rng.uniform(0.1, 5, width) + y[:, None] * rng.normal(size=width) / 4
+    x[:, 5] = 2.0  # a feature without variance
+    rows = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(y, x)], "y int, x array<double>").repartition(3)
+    got = quality.fit_ranking(rows, 0.3)
+    scale = x.std(0)
+    scale[scale < 1e-9] = 1.0
+    z = np.clip((x - x.mean(0)) / scale, -8, 8)
+    diff = (z[y][:, None] - z[~y][None]).reshape(-1, width)
+    w = np.zeros(width)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(diff @ w))
+        bend = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + ridge * np.eye(width)
+        w = w + np.linalg.solve(bend, diff.T @ p / len(diff) - ridge * w)
+    assert got.weights == pytest.approx(w, abs=1e-4) and np.abs(w).max() > 0.5
+    order = np.argsort(z @ got.weights)
+    reached = np.cumsum(np.where(y, 0.7 / y.sum(), 0.3 / (~y).sum())[order])
+    k = int((reached <= 0.3 * (1 + 1e-9)).sum())
+    assert got.cut == pytest.approx((z @ got.weights)[order[k - 1:k + 1]].mean())
+
+
+def test_every_labelled_row_is_learnt_from(spark):
+    n = 14_500
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 100 > 0).cast("int").alias("quality"))
+    found, share = quality.labelled_rows(rows, labels, "doc_id", "text", "quality")
+    want = Counter(int(i % 100 > 0) for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert want[1] > 10_500 and {r.y: r["count"] for r in found.groupBy("y").count().collect()} == want and share == want[0] / sum(want.values())
+
+
+@pytest.mark.parametrize("strengths,share,cut", [
+    ([(0, 1.0), (1, 2.0)], 0.5, 1.5), ([(0, 1.0), (0, 1.0), (1, 1.0), (1, 3.0)], 0.5, 1.0), ([(0, 5.0), (1, 5.0)], 0.5, 5.0),
+    ([(0, 1.0), (1, 1e9), (1, 2.0), (0, 1.0 + 1e-12)], 0.5, 1.5), ([(0, 4.0), (1, 1.0), (1, 2.0), (1, 3.0)], 0.01, 1.5), ([(0, 4.0), (1, 1.0)], 0.999, 2.5)])
+def test_cut_is_the_quantile(spark, strengths, share, cut):
+    assert quality.share_cut(spark.createDataFrame(strengths, "y int, s double"), share) == pytest.approx(cut)
+
+
 def test_held_out(spark):
     got = spark.range(200).select("id", quality.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)

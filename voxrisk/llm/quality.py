@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled rows of each label that the fit reads, those with the smallest hash of the id. More
-#: rows would not change some thirty weights; every text is scored.
-MAX_ROWS_PER_LABEL = 10_000
-PAIRS_PER_ROW = 8
+from voxrisk.llm.graphs import narrow
+from voxrisk.session import settle
+
 THRESHOLD = 0.7
+#: Strengths are noted at places so far apart, further if that were more than MOST_PLACES. Sums over pairs read between four places, with an
+#: error of a chance below 10^-6.
+SPACING, MOST_PLACES = 1 / 16, 1 << 13
+BINS = 1024
 
 #: Characters counted one by one; the others by class.
 SYMBOLS = "&%$#*|!<>{}[]()/\\=+_@~^;:.,?-'\""
@@ -82,8 +86,11 @@ class Ranking:
     weights: np.ndarray
     cut: float
 
+    def standard(self, rows: np.ndarray) -> np.ndarray:
+        return np.clip((rows - self.mean) / self.scale, -8, 8)
+
     def strength(self, rows: np.ndarray) -> np.ndarray:
-        return np.clip((rows - self.mean) / self.scale, -8, 8) @ self.weights
+        return self.standard(rows) @ self.weights
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Monotone in the strength; the cut becomes THRESHOLD."""
@@ -91,37 +98,172 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(at, -60, 60)))
 
 
-def fit_ranking(good: np.ndarray, bad: np.ndarray, share_bad: float, seed: int = 7, ridge: float = 1e-3, rounds: int = 25) -> Ranking:
-    """Bradley-Terry: P(a before b) = sigmoid(w . (a - b)) over preference pairs of a label-1 and a label-0
-    row, fitted by Newton steps on the ridge-penalised logistic loss. The cut is the ``share_bad`` quantile of
-    the strengths, each label weighted by its share. Without rows of both labels every text gets THRESHOLD."""
+Part = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _values(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+    return x, batch.column("y").to_numpy(zero_copy_only=False)
+
+
+def _summed(labelled: DataFrame, part: Part, count: int, width: int) -> np.ndarray:
+    """``count`` rows of ``width`` sums over all rows of ``labelled``. ``part`` makes them of a batch (features, labels), tasks add up their
+    batches and Spark the tasks."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((count, width))
+        for batch in batches:
+            total += part(*_values(batch))
+        filled = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"i": pa.array(filled, pa.int32()), "v": pa.array(list(total[filled]), pa.list_(pa.float64()))})
+
+    sums = labelled.mapInArrow(read, "i int, v array<double>").groupBy("i").agg(F.array(*[F.sum(F.get("v", k)) for k in range(width)]).alias("v"))
+    out = np.zeros((count, width))
+    for r in sums.collect():
+        out[r.i] = r.v
+    return out
+
+
+@dataclass
+class Places:
+    """Equidistant places that cover all strengths of some weights."""
+
+    spacing: float
+    half: int
+
+    @classmethod
+    def covering(cls, weights: np.ndarray) -> Places:
+        reach = 8 * float(np.abs(weights).sum())  # standardised features lie between -8 and 8
+        spacing = max(SPACING, 2 * reach / MOST_PLACES)
+        return cls(spacing, math.ceil(reach / spacing) + 2)
+
+    @property
+    def count(self) -> int:
+        return 2 * self.half + 1
+
+    def at(self, numbers: np.ndarray) -> np.ndarray:
+        return (numbers - self.half) * self.spacing
+
+    def around(self, strengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The numbers of the four places next to each strength, and their weights in a cubic between them."""
+        u = strengths / self.spacing
+        k = np.floor(u)
+        f, first = u - k, k.astype(np.int64) + self.half - 1
+        weights = (-f * (f - 1) * (f - 2) / 6, (f + 1) * (f - 1) * (f - 2) / 2, -(f + 1) * f * (f - 2) / 2, (f + 1) * f * (f - 1) / 6)
+        return [(first + i, w) for i, w in enumerate(weights)]
+
+
+class PairSums:
+    """Loss, slope and curvature of the Bradley-Terry fit over all pairs of a label-1 and a label-0 row, at some weights.
+
+    The chance of a pair depends on the difference of two strengths only. So rows are summed by place and label, and the pairs are those of
+    the places, whose number does not grow with the rows."""
+
+    def __init__(self, labelled: DataFrame, start: Ranking, weights: np.ndarray, ridge: float) -> None:
+        self.labelled, self.ranking, self.ridge = labelled, Ranking(start.mean, start.scale, weights, 0.0), ridge
+        self.places = places = Places.covering(weights)
+        ranking, count, width = self.ranking, places.count, len(FEATURES) + 1
+
+        def by_place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            z = ranking.standard(x)
+            rows, out = np.column_stack([np.ones(len(z)), z]), np.zeros(2 * count * width)
+            for number, weight in places.around(z @ ranking.weights):
+                to = ((number + y * count)[:, None] * width + np.arange(width)).ravel()
+                out += np.bincount(to, (rows * weight[:, None]).ravel(), len(out))
+            return out.reshape(2 * count, width)
+
+        sums = _summed(labelled, by_place, 2 * count, width).reshape(2, count, width)
+        self.bad, self.good = (np.flatnonzero(side.any(axis=1)) for side in sums)
+        self.n_bad, self.sum_bad = sums[0][self.bad, 0], sums[0][self.bad, 1:]
+        self.n_good, self.sum_good = sums[1][self.good, 0], sums[1][self.good, 1:]
+        self.pairs = self.n_good.sum() * self.n_bad.sum()
+        self.loss, self.slope = 0.0, -ridge * weights
+        self.bend_good, self.bend_bad = np.zeros(len(self.good)), np.zeros(len(self.bad))
+        self.mixed = np.zeros((len(FEATURES), len(FEATURES)))
+        for some in np.array_split(np.arange(len(self.good)), max(1, len(self.good) // 256)):
+            ahead = places.at(self.good[some])[:, None] - places.at(self.bad)
+            wrong = 1 / (1 + np.exp(np.clip(ahead, -700, 700)))  # chance that the pair is ordered wrongly
+            self.loss += self.n_good[some] @ np.logaddexp(0, -ahead) @ self.n_bad / self.pairs
+            self.slope += (self.sum_good[some].T @ (wrong @ self.n_bad) - self.sum_bad.T @ (wrong.T @ self.n_good[some])) / self.pairs
+            bend = wrong * (1 - wrong)
+            self.bend_good[some] = bend @ self.n_bad / self.pairs
+            self.bend_bad += bend.T @ self.n_good[some] / self.pairs
+            self.mixed += self.sum_good[some].T @ bend @ self.sum_bad / self.pairs
+        self.loss += ridge / 2 * float(weights @ weights)
+
+    def curvature(self) -> np.ndarray:
+        places, ranking, count = self.places, self.ranking, self.places.count
+        bend = np.zeros(2 * count)
+        bend[self.bad], bend[count + self.good] = self.bend_bad, self.bend_good
+
+        def own(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            z = ranking.standard(x)
+            here = sum(bend[number + y * count] * weight for number, weight in places.around(z @ ranking.weights))
+            return (z * here[:, None]).T @ z
+
+        return _summed(self.labelled, own, len(FEATURES), len(FEATURES)) - self.mixed - self.mixed.T + self.ridge * np.eye(len(FEATURES))
+
+
+def share_cut(strengths: DataFrame, share_bad: float) -> float:
+    """The ``share_bad`` quantile of the strengths (y, s), each label weighted by its share: midway between the last row below it and the
+    first above, of which there is one each at least. Rows are counted by range, and the range with the quantile is divided again until it holds one value."""
+    sums = [F.count(F.when(F.col("y") == y, 1)).alias(f"n{y}") for y in (0, 1)]
+    ends = [F.min("s").alias("low"), F.max("s").alias("high")]
+    whole = strengths.agg(*sums, *ends).first()
+    weight = share_bad / whole.n0, (1 - share_bad) / whole.n1
+    most = min(max(share_bad, *weight) * (1 + 1e-9), 1 - min(weight) / 2)
+    low, high, n0, n1, last = whole.low, whole.high, 0, 0, whole.low
+    while low < high:
+        bin_ = F.least(F.floor((F.col("s") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        counted = strengths.where(F.col("s").between(low, high)).groupBy(bin_.alias("bin")).agg(*sums, *ends)
+        for r in sorted(counted.collect(), key=lambda r: r.bin):
+            low, high = r.low, r.high
+            if (n0 + r.n0) * weight[0] + (n1 + r.n1) * weight[1] > most:
+                here = r
+                break
+            n0, n1, last = n0 + r.n0, n1 + r.n1, r.high
+        else:
+            return last
+        if here.low == here.high:
+            first = weight[1] if here.n1 else weight[0]  # equal strengths count label 1 first
+            if n0 * weight[0] + n1 * weight[1] + first <= most:
+                last = here.low
+    return (last + high) / 2
+
+
+def fit_ranking(labelled: DataFrame, share_bad: float, ridge: float = 1e-3, rounds: int = 25) -> Ranking:
+    """Bradley-Terry: P(a before b) = sigmoid(w . (a - b)) over all preference pairs of a label-1 and a label-0
+    row of ``labelled`` (y, x), fitted by Newton steps on the ridge-penalised logistic loss; a step that raises the loss is halved. The cut is
+    the ``share_bad`` quantile of the strengths, each label weighted by its share. Without rows of both labels every text gets THRESHOLD.
+
+    Every step sums over all rows on Spark; the driver sees sums by place and feature only."""
     width = len(FEATURES)
-    if not len(good) or not len(bad):
+    labels = [F.count(F.when(F.col("y") == y, 1)).alias(f"n{y}") for y in (0, 1)]
+    moments = [f(F.get("x", i)) for f in (F.avg, F.stddev_pop) for i in range(width)]
+    n0, n1, *found = labelled.agg(*labels, *moments).first()
+    if not n0 or not n1:
         return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
-    both = np.concatenate([good, bad])
-    mean, scale = both.mean(0), both.std(0)
+    mean, scale = np.array(found[:width]), np.array(found[width:])
     scale[scale < 1e-9] = 1.0
-    a, b = (np.clip((x - mean) / scale, -8, 8) for x in (good, bad))
-    draw = np.random.default_rng(seed)
-    most = PAIRS_PER_ROW * max(len(a), len(b))
-    diff = a[draw.permutation(most) % len(a)] - b[draw.permutation(most) % len(b)]
-    w = np.zeros(width)
+    start = Ranking(mean, scale, np.zeros(width), 0.0)
+    now = PairSums(labelled, start, start.weights, ridge)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -60, 60)))  # chance that the pair is ordered wrongly
-        slope = diff.T @ p / most - ridge * w
-        bend = (diff * (p * (1 - p))[:, None]).T @ diff / most + ridge * np.eye(width)
-        step = np.linalg.solve(bend, slope)
-        w = w + step
+        step = np.linalg.solve(now.curvature(), now.slope)
+        then = PairSums(labelled, start, now.ranking.weights + step, ridge)
+        while then.loss > now.loss + 1e-7 and np.abs(step).max() >= 1e-6:
+            step = step / 2
+            then = PairSums(labelled, start, now.ranking.weights + step, ridge)
+        now = then
         if np.abs(step).max() < 1e-6:
             break
-    strengths = np.concatenate([a @ w, b @ w])
-    weight = np.concatenate([np.full(len(a), (1 - share_bad) / len(a)), np.full(len(b), share_bad / len(b))])
-    order = np.argsort(strengths, kind="stable")
-    reached = np.cumsum(weight[order])
-    k = int(np.searchsorted(reached, share_bad * (1 + 1e-9), side="right"))
-    k = min(max(k, 1), len(order) - 1)
-    cut = (strengths[order[k - 1]] + strengths[order[k]]) / 2  # between the last row below the quantile and the first above
-    return Ranking(mean, scale, w, float(cut))
+    fitted = now.ranking
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _values(batch)
+            yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "s": pa.array(fitted.strength(x), pa.float64())})
+
+    return Ranking(mean, scale, fitted.weights, share_cut(settle(labelled.mapInArrow(strengths, "y int, s double"), "quality-strengths"), share_bad))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -129,37 +271,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, limit: int) -> tuple[np.ndarray, np.ndarray, float]:
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, float]:
+    """(y, x) of all rows of ``docs`` that have a label and are not held out, and the share of label 0 among the labels. Features are made
+    where the texts are; only they are moved."""
+
+    @F.pandas_udf("array<double>")
+    def text_features(texts: pd.Series) -> pd.Series:
+        return pd.Series([features(t) for t in texts])
+
+    own = docs.schema[id_col].dataType
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(id_col).agg(F.max(label_col).alias("y"))  # one label a document, 1 where they disagree
+    known = known.groupBy(F.col(id_col).try_cast(own).alias("id")).agg(F.max(label_col).cast("int").alias("y"))  # one label a document, 1 where they disagree
+    known = settle(known, "quality-labels")
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not counts.get(0) or not counts.get(1):
-        return np.zeros((0, len(FEATURES))), np.zeros((0, len(FEATURES))), 0.0
-    # a threshold on a uniform hash keeps the sample bounded without a sort
-    lucky = lambda y: F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, limit / counts[y]))
-    chosen = known.where(((F.col("y") == 1) & lucky(1)) | ((F.col("y") == 0) & lucky(0)))
-    labelled = docs.join(F.broadcast(chosen) if limit <= MAX_ROWS_PER_LABEL else chosen, id_col).select("y", "text")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "x": [features(t) for t in batch["text"]]})
-
-    rows = labelled.mapInPandas(read, "y int, x array<double>").collect()
-    x, y = np.array([r.x for r in rows], float).reshape(-1, len(FEATURES)), np.array([r.y for r in rows])
-    return x[y == 1], x[y == 0], counts[0] / (counts[0] + counts[1])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+    read = narrow(texts, "id", known, "id").select("id", text_features("text").alias("x"))
+    return settle(read.join(known, "id").select("y", "x"), "quality-rows"), counts.get(0, 0) / max(1, sum(counts.values()))
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows_per_label: int = MAX_ROWS_PER_LABEL,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> DataFrame:
     """All rows and columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if score >= THRESHOLD).
 
-    The ranking is fitted on at most about ``max_rows_per_label`` labelled rows of either label outside the
-    held-out part; scores depend on the text alone. Null and empty texts are scored by their (zero) features;
+    The ranking is fitted on all labelled rows outside the held-out part; scores depend on the text alone. Null and empty texts are scored by their (zero) features;
     ids without a label, null labels and labels other than 0 and 1 are not learnt from; repeated rows are
     each scored. Columns named score or predicted are replaced. The fit runs when this is called."""
-    good, bad, share = _labelled(docs.select(F.col(id_col), F.col(text_col).alias("text")), labels, id_col, label_col, max_rows_per_label)
-    ranking = fit_ranking(good, bad, share)
+    ranking = fit_ranking(*labelled_rows(docs, labels, id_col, text_col, label_col))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
