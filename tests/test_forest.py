@@ -60,6 +60,20 @@ def test_ranges_meet(spark):
     assert {x: pytest.approx(y) for x, y in want.items()} == got
 
 
+def test_sums_leave_the_tasks_not_the_draws(spark):
+    """A batch leaves one row for a tree and value, however many rows it has; means count rows as often as they are drawn."""
+    rows = [(f"k{i}" if i else None, float(i % 3), float(i)) for i in range(300)]
+    means = forest.sampled_means(spark.createDataFrame(rows, "key string, x double, y double").repartition(2), 6)
+    assert "Generate" not in means._jdf.queryExecution().toString()
+    want = {}
+    for t in range(6):
+        for x in range(3):
+            some = [y for k, at, y in rows if at == x for _ in range(drawn(k, t) if k else sum(
+                int(hashlib.md5(str(t // 4).encode()).hexdigest()[t % 4 * 8:][:8], 16) >= b for b in forest.POISSON_BOUNDS))]
+            want |= {(t, x): pytest.approx(sum(some) / len(some))} if some else {}
+    assert {(r.tree, r.x): r["mean"] for r in means.collect()} == want
+
+
 def test_weights_follow_the_poisson_law(spark):
     counts = [drawn(k, t) for k in range(2000) for t in range(8)]
     assert abs(sum(counts) / len(counts) - 1) < 0.03 and abs(counts.count(0) / len(counts) - 0.368) < 0.015
