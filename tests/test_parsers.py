@@ -142,3 +142,18 @@ def test_many_replies(spark, tmp_path):
     replies = ",".join('{"comment":"r","user":"u"}' for _ in range(70_001))
     (folder / "bili_y.jsonl").write_text(f'{{"comment":"main","replies":[{replies}]}}', encoding="utf-8")
     assert readers.scan_jsonl(spark, str(folder)).select("ord").distinct().count() == 70_002
+
+
+def test_feed_joins_texts_once_and_packs_its_files(spark, monkeypatch):
+    from voxrisk import views
+    from voxrisk.catalog import table_queries as tq
+
+    made = []
+    row = ("1", "a text " * 50, "name", "3", 2, 1, 0, None, "X", False, None, 4)
+    schema = ("comment_id string, content string, user_name string, user_id string, user_level int, like_count long, reply_count long, "
+              "publish_time timestamp, ip_location string, is_reply boolean, parent_id string, ord long")
+    monkeypatch.setattr(views, "comments", lambda *_: made.append(1) or spark.createDataFrame([row], schema))
+    path = tq._feed(spark, "", "bilibili", "tieba", "zhihu", "douyin")
+    assert len(made) == 1
+    rows = readers.scan_dir(spark, path, pattern="*.txt.gz")
+    assert {r.platform: r["count"] for r in rows.groupBy("platform").count().collect()} == {"bilibili": 1, "tieba": 2, "zhihu": 1, "douyin": 1}

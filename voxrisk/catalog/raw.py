@@ -16,9 +16,9 @@ def _marked(text: Column) -> Column:
     return F.concat(F.lit("<b>"), text, F.lit("</b> [doge]\t @reader ")).alias("marked")
 
 
-def records(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
-    """(ord, line): one JSON record per comment of the platform's crawler shape."""
-    rows = views.comments(spark, sf_dir).withColumn("marked", _marked(F.col("content")))
+def records(spark: SparkSession, sf_dir: str, platform: str, comments: DataFrame | None = None) -> DataFrame:
+    """(ord, line): one JSON record per comment of the platform's crawler shape. ``comments`` are those of the view, if already made."""
+    rows = (views.comments(spark, sf_dir) if comments is None else comments).withColumn("marked", _marked(F.col("content")))
     ip = F.concat(F.lit("IP属地："), F.col("ip_location"))
     if platform == "bilibili":
         def reply(user: Column) -> Column:

@@ -13,7 +13,7 @@ from voxrisk.catalog.report_queries import STAMP, report_two
 from voxrisk.functions import text as tx
 from voxrisk.operators import distinct, forest, models, prep, quality
 from voxrisk.plans import reports
-from voxrisk.session import scratch_path
+from voxrisk.session import scratch_path, settle
 from voxrisk.sources import parsers, readers, writers
 from voxrisk.streaming import spikes, streams
 
@@ -21,14 +21,15 @@ from voxrisk.streaming import spikes, streams
 
 
 def _feed(spark, sf_dir, *platforms, broken: bool = False) -> str:
-    """Raw JSONL folders of some platforms below a new path."""
+    """Raw JSONL folders of some platforms below a new path. Texts and authors are joined once for all of them, and files are packed."""
     path = scratch_path(spark, "feed")
+    comments = settle(views.comments(spark, sf_dir), "feed-comments") if len(platforms) > 1 else None
     for name in platforms:
-        lines = raw.records(spark, sf_dir, name)
+        lines = raw.records(spark, sf_dir, name, comments)
         if broken:
             bad = F.when(F.col("ord") % 10 == 0, F.lit('{"comment": "cut off')).when(F.col("ord") % 10 == 1, F.lit("  "))
             lines = lines.withColumn("line", F.coalesce(bad, "line"))
-        lines.select("line").write.mode("overwrite").option("compression", "none").text(f"{path}/{name}.jsonl")
+        lines.select("line").write.mode("overwrite").option("compression", "gzip").text(f"{path}/{name}.jsonl")
     return path
 
 
@@ -52,7 +53,7 @@ SELECT platform, count(*) AS n, CAST(sum(length(c)) AS BIGINT) AS chars FROM (
 GROUP BY 1""")
 def scan_dir(spark, sf_dir):
     path = _feed(spark, sf_dir, "bilibili", "tieba", "zhihu", "douyin")
-    rows = readers.scan_dir(spark, path, pattern="*.txt")
+    rows = readers.scan_dir(spark, path, pattern="*.txt.gz")
     return rows.groupBy("platform").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
