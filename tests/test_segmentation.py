@@ -95,3 +95,21 @@ def test_segment_texts(spark):
     got = {(r.ord, r.token): r.n for r in sg.segment(df, ["ord"], words=words).collect()}
     assert got == {(0, "看"): 1, (0, "视频"): 2, (4, "\U00020000好"): 1, (4, "视频"): 1}
     assert sg.segment(df.limit(0), ["ord"]).count() == 0
+
+
+def test_best_split_of_a_long_run():
+    """Time in proportion to the length; equal weights take the shorter last word, unknown characters stand alone."""
+    weights = {"a": -1.0, "b": -1.0, "ab": -2.0, "ba": -1.5}
+    assert sg.best_split("ab", weights, 4) == ["a", "b"] and sg.best_split("aba?", weights, 4) == ["a", "ba", "?"] and sg.best_split("", weights, 4) == []
+    rng = random.Random(2)
+    weights |= {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))): -rng.random() * 4 for _ in range(40)}
+    run = "".join(rng.choice("abc\U00020000") for _ in range(5000))
+    assert sg.best_split(run, weights, 4) == plain_split(run, weights)
+
+
+def test_splits_are_made_in_batches(spark):
+    words = spark.createDataFrame([("ab", -1.0), ("a", -2.0), ("b", None)], "word string, weight double")
+    found = spark.createDataFrame([("ab", 1), ("b", 1)], "run string, n long")
+    split = sg.split_runs(found, words)
+    assert "ArrowEvalPython" in split._jdf.queryExecution().toString()
+    assert {r.run: r.words for r in split.collect()} == {"ab": ["ab"], "b": ["b"]}

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxrisk.functions.scoring import computed_once
 from voxrisk.session import settle
 
 #: Fixed value: runs of Chinese, Japanese and Korean characters.
 RUNS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+"
 MOST_LETTERS, LEAST_COUNT, LEAST_COHESION, LEAST_ENTROPY = 4, 5, 20.0, 0.8
+UNKNOWN = -1000.0  # weight of a character that no list holds
 EDGE = "\x00"  # stands on both sides of a run; no text holds it within a run
 
 
@@ -62,42 +63,39 @@ def find_words(
     return settle(varied.unionByName(single).withColumn("weight", F.log(F.col("n") / F.lit(float(total)))), "words")
 
 
+def best_split(run: str, weights: dict[str, float], most_letters: int) -> list[str]:
+    """The words of one run: for each place the best word that ends there, then back from the end."""
+    scores, taken = [0.0], [0]
+    for end in range(1, len(run) + 1):
+        best, k_best = scores[end - 1] + weights.get(run[end - 1], UNKNOWN), 1
+        for k in range(2, min(end, most_letters) + 1):
+            own = weights.get(run[end - k:end])
+            if own is not None and scores[end - k] + own > best:
+                best, k_best = scores[end - k] + own, k
+        scores.append(best)
+        taken.append(k_best)
+    words, end = [], len(run)
+    while end:
+        words.append(run[end - taken[end]:end])
+        end -= taken[end]
+    return words[::-1]
+
+
 def split_runs(found: DataFrame, words: DataFrame, most_letters: int = MOST_LETTERS) -> DataFrame:
     """(run, words): the split of each run whose words have the largest sum of weights, of equal ones that with the shorter last words.
 
-    The words that a run offers are looked up by a join and come back as one map per run. The best split is found from left to right: for each
-    place the best word that ends there, then back from the end, in column expressions. Characters are words of their own weight, so there is
-    always a split; one that no list holds weighs less than any that does."""
+    The words that a run offers are looked up by a join and come back as one map per run; the best split is found in Arrow batches. Characters
+    are words of their own weight, so there is always a split; one that no list holds weighs less than any that does."""
     offered = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("run", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in range(1, most_letters + 1)])))
-    met = found.select("run", F.explode(offered).alias("word")).join(words.select("word", "weight"), "word")
+    met = found.select("run", F.explode(offered).alias("word")).join(words.select("word", "weight").where("weight IS NOT NULL"), "word")
     listed = met.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights"))
-    given = found.select("run").join(listed, "run", "left").withColumns({
-        "weights": F.coalesce("weights", F.create_map().cast("map<string,double>")),
-        # taking characters of a string by their place would read it from the start each time
-        "letters": F.regexp_extract_all("run", F.lit("(?s)(.)"), F.lit(1))})
-
-    taken = lambda end, k: F.array_join(F.slice("letters", end - k + 1, k), "")
-    unknown = -1000.0
-
-    def best(done: Column, end: Column) -> Column:
-        def choice(k: Column) -> Column:
-            own = F.try_element_at("weights", taken(end, k))
-            weight = F.coalesce(own, F.when(k == 1, F.lit(unknown)))
-            return F.when(weight.isNotNull(), F.struct((F.get(done, end - k)["score"] + weight).alias("score"), (-k).alias("k")))
-
-        return F.array_max(F.transform(F.sequence(F.lit(1), F.least(end, F.lit(most_letters))), choice))
-
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("k")))
-    places = F.sequence(F.lit(1), F.size("letters"))
-    scored = computed_once(given, best=F.aggregate(places, start, lambda done, end: F.concat(done, F.array(best(done, end)))))
-    none = F.struct(F.size("letters").alias("end"), F.array().cast("array<string>").alias("words"))
+    given = found.select("run").join(listed, "run", "left").withColumn("weights", F.coalesce("weights", F.create_map().cast("map<string,double>")))
 
-    def back(state: Column, _: Column) -> Column:
-        k = -F.get(F.col("best"), state["end"])["k"]
-        return F.when(state["end"] == 0, state).otherwise(F.struct(
-            (state["end"] - k).alias("end"), F.concat(F.array(taken(state["end"], k)), state["words"]).alias("words")))
+    @F.pandas_udf("array<string>")
+    def best(runs: pd.Series, words: pd.Series, weights: pd.Series) -> pd.Series:
+        return pd.Series([best_split(run, dict(zip(w.tolist(), x.tolist())), most_letters) for run, w, x in zip(runs, words, weights)], dtype=object)
 
-    return scored.select("run", F.aggregate(places, none, back)["words"].alias("words"))
+    return given.select("run", best("run", F.map_keys("weights"), F.map_values("weights")).alias("words"))
 
 
 def segment(df: DataFrame, keys: list[str], content: str = "content", pattern: str = RUNS, words: DataFrame | None = None, **limits) -> DataFrame:
