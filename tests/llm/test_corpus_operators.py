@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxrisk.llm import chat, decontaminate, extract, licenses, lines, minhash, neighbours, packing, quality, sharding
 from voxrisk.llm.graphs import components, narrow, without
-from voxrisk.session import settle
+from voxrisk.session import COMPILED_BYTES, METHOD_CONF, settle
 
 DOC = "doc_id long, text string, lang string"
 BIG = (1 << 60) + 1
@@ -603,3 +603,23 @@ def test_scan_licenses(spark):
     assert (out[20].base_labels, out[20].labels, out[20].score) == ("apache,gpl,mit", "apache,gpl,gpl-3.0-notice,mit,mit-notice", 1.0)
     assert (out[1].n_words, out[1].first_word, out[1].labels, out[1].score) == (0, None, "", 0.0) and out[BIG].n_words == 30_000
     assert hashlib.md5(out[20].spans.encode()).hexdigest() and licenses.scan_licenses(docs(spark, [])).count() == 0
+
+
+def test_dedup_lines_steps_are_compiled_and_unsorted(spark, monkeypatch):
+    seen = {}
+
+    def watched(df, name="table"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen[name] = spark.conf.get(METHOD_CONF, None), "SortAggregate" in plan
+        return settle(df, name)
+
+    monkeypatch.setattr(lines, "settle", watched)
+    before = spark.conf.get(METHOD_CONF, None)
+    line = "the same line stands in both of these documents"
+    rows = [(2, f"{line}\nsecond text of its own"), (1, f"a first line of its own\nand one more line of it\n{line}"), (2, f"{line}\nanother text of this id")]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    # the least id and the least line number of the repeated line belong to different rows
+    got = {(r.doc_id, r.text, r.n_exact) for r in out.collect()}
+    assert got == {(2, "second text of its own", 1), (2, "another text of this id", 1), (1, rows[1][1], 0)}
+    assert seen["line-keys"][0] == COMPILED_BYTES and not any(sorts for name, (_, sorts) in seen.items() if name in ("line-held", "line-known"))
+    assert spark.conf.get(METHOD_CONF, None) == before

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxrisk.llm.graphs import maybe_among, narrow, numbered
 from voxrisk.llm.sharding import FIRST, ranges_below
-from voxrisk.session import settle
+from voxrisk.session import compiled_methods, settle
 
 THRESHOLD = 2
 LETTERS = "etanoirshdlucmgb"  # frequent in the languages of the corpus; any sixteen keep the result
@@ -148,15 +148,15 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD, chars_per_edit: int
     that one line alone probes links nothing; such keys, nearly all, go after counting. Only lines that share a key with another get
     letter counts, and pairs whose counts alone tell that they are further apart are dropped by the join itself, so many lines that
     share a segment but differ elsewhere make few rows. Only lines that have a candidate are fetched and compared."""
-    length = F.length("line")
-    line = F.col("line")
+    line, length = F.col("line"), F.col("length")
     plain = F.octet_length("line") == length  # one byte a character: segments are cut without counting characters
 
     def cut(keys) -> Column:
-        return F.when(plain, keys(line.cast("binary"), length, threshold, chars_per_edit)).otherwise(keys(line, length, threshold, chars_per_edit))
+        return F.when(plain, keys(F.col("bytes"), length, threshold, chars_per_edit)).otherwise(keys(line, length, threshold, chars_per_edit))
 
-    # the texts are read and cut once; the keys of both sides are exploded from what is written
-    keys = settle(lines.where(length >= chars_per_edit).select("k", cut(index_keys).alias("index"), cut(probe_keys).alias("probes")), "line-keys")
+    # the texts are read, counted and cut once; the keys of both sides are exploded from what is written
+    sized = lines.select("k", "line", F.length("line").alias("length"), line.cast("binary").alias("bytes")).where(length >= chars_per_edit)
+    keys = settle(sized.select("k", cut(index_keys).alias("index"), cut(probe_keys).alias("probes")), "line-keys")
     index, probes = (keys.select("k", F.explode(side).alias("key")) for side in ("index", "probes"))
     shared = settle(probes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "line-shared")
     index = settle(narrow(index, "key", shared, "key").join(shared, "key", "left_semi"), "line-index")
@@ -238,10 +238,14 @@ def line_decisions(
     which it shares most stay if both, without their other repeated lines, are near-duplicates (see spared_rows): that is a copy of a
     document, to be judged as a whole. Repeats in one row always go."""
     lines = line_rows(docs, id_col, text_col)
-    known = settle(lines.groupBy("k", "k2").agg(F.min(F.struct("doc", "t", "pos")).alias("first"), F.count("*").alias("n")), "line-known")
-    # lines that stand in one place need no grouping, and most do
-    marked = maybe_among(lines.select("line", "k"), "k", known.where("n > 1"), "k")
-    once = marked.where("NOT _maybe").select("line", "k").unionByName(marked.where("_maybe").select("line", "k").distinct())
+    # the least of each part is the place of a line that stands in one, as most do; numbers alone are summed up without sorting
+    held = settle(lines.groupBy("k", "k2").agg(*[F.min(x).alias(x) for x in ("doc", "t", "pos")], F.count("*").alias("n")), "line-held")
+    marked = maybe_among(lines, "k", held.where("n > 1"), "k")
+    several = settle(marked.where("_maybe").select("doc", "t", "pos", "line", "k", "k2"), "line-several")
+    once = marked.where("NOT _maybe").select("line", "k").unionByName(several.select("line", "k").distinct())
+    place = F.struct("doc", "t", "pos")
+    again = several.groupBy("k", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    known = held.where("n = 1").select("k", "k2", place.alias("first"), "n").unionByName(settle(again, "line-again"))
     links = settle(near_lines(once, threshold, chars_per_edit), "line-links")
     ends = links.select("a", "b").union(links.select("b", "a"))
     side = lambda x: known.select(F.col("k").alias(x), F.col("first").alias(f"first_{x}"), F.col("n").alias(f"n_{x}"))
@@ -296,7 +300,8 @@ def dedup_lines(
     text of which every line goes becomes empty. Rows with a null id come first in order. Rows with one id and
     one text are one document and are treated alike. Columns named like the three counts are replaced. Jobs run
     when this is called."""
-    decisions = settle(line_decisions(docs, id_col, text_col, threshold, chars_per_edit, min_places, spare_copies), "line-decisions")
+    with compiled_methods(docs.sparkSession):
+        decisions = settle(line_decisions(docs, id_col, text_col, threshold, chars_per_edit, min_places, spare_copies), "line-decisions")
     given = docs.drop("n_lines", "n_exact", "n_near")
     held = numbered(given)
     id_, text_ = (F.col(held.columns[given.columns.index(c)]) for c in (id_col, text_col))
