@@ -15,7 +15,7 @@ from voxrisk.llm.lines import drop_repeated_lines
 from voxrisk.llm.minhash import drop_near_duplicates
 from voxrisk.llm.packing import pack_documents
 from voxrisk.llm.quality import keep_good
-from voxrisk.session import settle
+from voxrisk.session import settle_last
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -60,7 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settle_last(spark, lambda: stage(spark, docs, sf_dir), f"stage-{name}")  # noqa: B023
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

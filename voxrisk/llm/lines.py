@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxrisk.llm.graphs import maybe_among, narrow, numbered
 from voxrisk.llm.sharding import FIRST, ranges_below
-from voxrisk.session import compiled_methods, settle
+from voxrisk.session import compiled_methods, settle, settle_last
 
 THRESHOLD = 2
 LETTERS = "etanoirshdlucmgb"  # frequent in the languages of the corpus; any sixteen keep the result
@@ -246,7 +246,7 @@ def line_decisions(
     place = F.struct("doc", "t", "pos")
     again = several.groupBy("k", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     known = held.where("n = 1").select("k", "k2", place.alias("first"), "n").unionByName(settle(again, "line-again"))
-    links = settle(near_lines(once, threshold, chars_per_edit), "line-links")
+    links = settle_last(docs.sparkSession, lambda: near_lines(once, threshold, chars_per_edit), "line-links")
     ends = links.select("a", "b").union(links.select("b", "a"))
     side = lambda x: known.select(F.col("k").alias(x), F.col("first").alias(f"first_{x}"), F.col("n").alias(f"n_{x}"))
     linked = ends.join(side("a"), "a").join(side("b"), "b").where("first_b < first_a")
@@ -278,7 +278,8 @@ def line_decisions(
         rows = settle(rows, "line-rows")
         every = F.concat("sure", "open")
         if spare_copies:
-            spared = settle(spared_rows(docs, rows, id_col, text_col).withColumn("spared", F.lit(True)), "line-spared")
+            copies = rows
+            spared = settle_last(docs.sparkSession, lambda: spared_rows(docs, copies, id_col, text_col).withColumn("spared", F.lit(True)), "line-spared")
             rows = rows.join(spared, ["doc", "t"], "left")
             every = F.when(F.col("spared"), F.col("sure")).otherwise(every)
         flat = rows.select("doc", "t", every.alias("rows")).where(F.size("rows") > 0)
@@ -301,7 +302,8 @@ def dedup_lines(
     one text are one document and are treated alike. Columns named like the three counts are replaced. Jobs run
     when this is called."""
     with compiled_methods(docs.sparkSession):
-        decisions = settle(line_decisions(docs, id_col, text_col, threshold, chars_per_edit, min_places, spare_copies), "line-decisions")
+        decisions = settle_last(
+            docs.sparkSession, lambda: line_decisions(docs, id_col, text_col, threshold, chars_per_edit, min_places, spare_copies), "line-decisions")
     given = docs.drop("n_lines", "n_exact", "n_near")
     held = numbered(given)
     id_, text_ = (F.col(held.columns[given.columns.index(c)]) for c in (id_col, text_col))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxrisk.llm.graphs import components, narrow, without
-from voxrisk.session import settle
+from voxrisk.session import settle, settle_last
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -270,6 +270,18 @@ def near_duplicates(
     prepared = _prepared(given.withColumn("id", F.col("id").cast("string")), shingle_words).withColumn("id", F.col("id").cast("long"))
     prepared = settle(prepared, "near-prepared")
     given = given.where(F.col("id").isNotNull())
+    named = settle_last(docs.sparkSession, lambda: _named(prepared, given, shingle_words, percent, star_rounds), "near-named")
+    # rows without words match no class and stay their own component
+    out = prepared.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _named(prepared: DataFrame, docs: DataFrame, size: int, percent: int, star_rounds: int) -> DataFrame:
+    """(n, d1, d2, component_id) of every class of equal sets, by the steps of near_duplicates."""
+    spark = docs.sparkSession
     classes = settle(
         prepared.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.min("sig").alias("sig")), "near-classes")
     keys = _keys(classes)
@@ -285,15 +297,15 @@ def near_duplicates(
         offered = crossing.where("component <> m").groupBy("rep", "centre").agg(F.count("*").alias("n"))
         offered = offered.select(F.col("rep").alias("a"), F.col("centre").alias("b"), "n").join(tested, ["a", "b"], "left_anti")
         pairs = settle(offered.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "near-pairs")
-        more = settle(_confirmed(pairs, given, shingle_words, percent), "near-found")
+        more = settle_last(spark, lambda: _confirmed(pairs, docs, size, percent), "near-found")  # noqa: B023
         if more.isEmpty():
             break
         tested = settle(tested.union(pairs), "near-tested")
         links = settle(links.union(more), "near-links")
-        groups = settle(components(links).select(F.col("node").alias("rep"), "component"), "near-groups")
+        groups = _groups(links)
 
     crossing = settle(_crossing(members, groups).select("key", "rep", "component"), "near-crossing")
-    shareable = settle(_shareable(crossing, classes, given, shingle_words, percent), "near-shareable")
+    shareable = settle_last(spark, lambda: _shareable(crossing, classes, docs, size, percent), "near-shareable")
     # a class has at most POSITIONS keys; they travel as one row, so that a group of near copies joins its classes, not their keys
     held = crossing.groupBy("rep").agg(F.first("component").alias("component"), F.collect_list("key").alias("keys"))
     sized = settle(held.join(shareable, "rep").select("rep", "component", "n", "c", F.explode("keys").alias("key")), "near-sized")
@@ -311,21 +323,15 @@ def near_duplicates(
     pairs = settle(meet.select(F.col("rep").alias("a"), "b").distinct(), "near-pairs")
     both_ways = tested.union(tested.select("b", "a"))
     pairs = settle(_apart(pairs.join(both_ways, ["a", "b"], "left_anti"), classes), "near-pairs")
-    more = _confirmed(pairs, given, shingle_words, percent).union(
-        _within_buckets(sized.where(F.col("members") > FEW), classes, given, shingle_words, percent))
-    more = settle(more, "near-found")
+    more = settle_last(spark, lambda: _confirmed(pairs, docs, size, percent).union(
+        _within_buckets(sized.where(F.col("members") > FEW), classes, docs, size, percent)), "near-found")
     if not more.isEmpty():
-        links = links.union(more)
-        groups = settle(components(links).select(F.col("node").alias("rep"), "component"), "near-groups")
+        groups = _groups(links.union(more))
+    return classes.join(groups, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
 
-    named = settle(classes.join(groups, "rep", "left").select(
-        "n", "d1", "d2", F.coalesce("component", "rep").alias("component_id")), "near-named")
-    # rows without words match no class and stay their own component
-    out = prepared.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+def _groups(links: DataFrame) -> DataFrame:
+    return settle_last(links.sparkSession, lambda: components(links).select(F.col("node").alias("rep"), "component"), "near-groups")
 
 
 def _crossing(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -338,5 +344,6 @@ def _crossing(members: DataFrame, groups: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, that of the smallest id; columns as they came. Of repeated rows with one
     id all stay, as they are one document."""
-    gone = near_duplicates(docs, shingle_words=shingle_words, percent=percent).where("NOT kept").select("doc_id").distinct()
-    return without(docs, "doc_id", settle(gone, "near-gone"), "doc_id")
+    found = lambda: near_duplicates(docs, shingle_words=shingle_words, percent=percent)
+    gone = settle_last(docs.sparkSession, lambda: found().where("NOT kept").select("doc_id").distinct(), "near-gone")
+    return without(docs, "doc_id", gone, "doc_id")

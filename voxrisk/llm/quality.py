@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxrisk.llm.graphs import narrow
-from voxrisk.session import settle
+from voxrisk.session import scratch_tables, settle
 
 THRESHOLD = 0.7
 #: Strengths are noted at places so far apart, further if that were more than MOST_PLACES. Sums over pairs read between four places, with an
@@ -297,7 +297,8 @@ def score_quality(
     The ranking is fitted on all labelled rows outside the held-out part; scores depend on the text alone. Null and empty texts are scored by their (zero) features;
     ids without a label, null labels and labels other than 0 and 1 are not learnt from; repeated rows are
     each scored. Columns named score or predicted are replaced. The fit runs when this is called."""
-    ranking = fit_ranking(*labelled_rows(docs, labels, id_col, text_col, label_col))
+    with scratch_tables(docs.sparkSession):
+        ranking = fit_ranking(*labelled_rows(docs, labels, id_col, text_col, label_col))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
