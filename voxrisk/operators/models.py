@@ -6,10 +6,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF, PolynomialExpansion, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxrisk.operators import bagged
+
 SEED = 42
 TEST_TENTHS = 2
 
@@ -69,15 +71,18 @@ def expression(intercept: float, coefs: list[float]) -> str:
 
 
 def fit_forest(pairs: DataFrame, trees: int = 100, depth: int = 5) -> PipelineModel:
-    stages = [
-        VectorAssembler(inputCols=["x"], outputCol="_x1"),
-        RandomForestRegressor(featuresCol="_x1", labelCol="y", numTrees=trees, maxDepth=depth, seed=SEED),
-    ]
-    return Pipeline(stages=stages).fit(pairs.filter(~F.col("is_test")))
+    """The model that Spark ML fits, without a copy of the rows: ``bagged`` adds up what the trees need."""
+    assembler = VectorAssembler(inputCols=["x"], outputCol="_x1")
+    forest = RandomForestRegressor(featuresCol="_x1", labelCol="y", numTrees=trees, maxDepth=depth, seed=SEED)
+    rows = pairs.filter(~F.col("is_test"))
+    model = bagged.fit(forest, rows)
+    return Pipeline(stages=[assembler, forest]).fit(rows) if model is None else PipelineModel([assembler, model])
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Adds ``prediction`` to rows with a column ``x``."""
+    if isinstance(model.stages[-1], RandomForestRegressionModel):
+        return bagged.predict(model.stages[-1], rows)
     return model.transform(rows).drop("_x1", "_xn")
 
 
