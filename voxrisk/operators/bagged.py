@@ -39,7 +39,8 @@ def checked(rows: DataFrame) -> DataFrame:
 
 def poisson_draws(row: Column, trees: int, seed: int) -> Column:
     """How often each tree draws a row, as Spark ML does it: Poisson numbers of mean 1 from one generator for a partition, which is seeded by the
-    partition's number at its first row. ``row`` is the ``monotonically_increasing_id``; every task has its own copy of the generator."""
+    partition's number at its first row. ``row`` is the ``monotonically_increasing_id``; every task has its own copy of the
+    generator. Works in generated code only: with ``spark.sql.codegen.factoryMode`` NO_CODEGEN it fails."""
     jvm = SparkSession.active()._jvm
     catalyst, types, columns = jvm.org.apache.spark.sql.catalyst.expressions, jvm.org.apache.spark.sql.types, jvm.org.apache.spark.sql.classic.ExpressionUtils
     of = lambda column: columns.expression(column._jc)
